@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barsmith.functions.algebra import Engine, X
 from barsmith.functions.features import FEATURES
 from barsmith.operators.formula_ops import OPERATORS
+from barsmith.plans import reports
 from barsmith.sources import bars as B
 from barsmith.sql import panels as P
 from barsmith.sql.duck import Duck
@@ -80,6 +81,31 @@ for _f in FEATURES.values():
     panel_query(f"feat_{_f.name}", _feature(_f), out=("raw", "value"))
 
 
+def pnl_of(b) -> dict[str, X]:
+    return reports.profit(b, reports.slice_factor(b))
+
+
+def report_query(name: str, rep: reports.Report, only: str | None = None) -> None:
+    """A report over the profit of the standard factor."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        b = Engine(B.day_panel(spark, sf_dir, only))
+        return rep.run(spark, b.frame(**pnl_of(b)))
+
+    def text() -> str:
+        b = Duck(P.day_panel(only))
+        with_ = f"WITH {b.ctes(**pnl_of(b))}"
+        return f"{with_}, {rep.ctes} {rep.select}".replace(",  SELECT", " SELECT").replace("{pnl}", "out")
+
+    QUERIES[name], SQL[name] = run, text
+
+
+for _r in reports.REPORTS.values():
+    report_query(_r.name, _r)
+for _n in ("score_components", "score_modes", "score_evaluate", "stat_slice"):
+    report_query(f"{_n}_n1", reports.REPORTS[_n], only="A")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

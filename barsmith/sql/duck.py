@@ -202,6 +202,10 @@ class Duck(Base):
 
     def query(self, select: str, tail: str = "", **out: X) -> str:
         """SELECT `select` over the panel with the outputs as columns of a CTE named out."""
+        return f"WITH {self.ctes(**out)} SELECT {select} FROM out {tail}"
+
+    def ctes(self, **out: X) -> str:
+        """The definitions up to `out`."""
         out = {n: self.let(x) for n, x in out.items()}
         parts, last = [self.panel], "bars"
         for level in sorted(self.levels):
@@ -210,4 +214,4 @@ class Duck(Base):
             last = f"l{level}"
         cols = ", ".join(f"{x.e} AS {n}" for n, x in out.items())
         parts.append(f"out AS (SELECT symbol, bar_idx, time, open, high, low, close, volume, {cols} FROM {last})")
-        return f"WITH {', '.join(parts)} SELECT {select} FROM out {tail}"
+        return ", ".join(parts)
