@@ -365,6 +365,12 @@ class Engine(Base):
     def symbols(self) -> X:
         return self.let(self._win("symbols", F.count(F.lit(1)).over(self.across).cast("double"), self.i))
 
+    def constant(self, x) -> X:
+        """Whether the factor hardly varies over all bars of all symbols; a count, a sum and a
+        sum of squares for each symbol meet in one row."""
+        x = self._named(x)
+        return self.let(X(self, None, f"constant[{x.k}]", x.lv, True), ("constant", x.k, 0))
+
     def _across(self, name: str, f, x) -> X:
         x = self.plain(x)
         return self.let(self._win(name, f(x.e).over(self.across), x))
@@ -387,17 +393,25 @@ class Engine(Base):
         order = self.across.orderBy(x.e, "symbol")
         return self.let(self._win("xplace", (F.row_number().over(order) - 1).cast("double"), x))
 
+    def _named(self, x) -> X:
+        """x as a column, for functions that take their input by name."""
+        x = self.x(x)
+        return x if x.k.isidentifier() else self.let(X(self, x.e, x.k, x.lv, True))
+
     def ema(self, x, span: int) -> X:
-        x = self.let(X(self, self.x(x).e, self.x(x).k, self.x(x).lv, True)) if self.x(x).k not in ("open", "high", "low", "close", "volume") else self.x(x)
+        """The exact recursion, from the first value on."""
+        x = self._named(x)
         return self.let(X(self, None, f"ema{span}[{x.k}]", x.lv, True), ("ema", x.k, span))
 
     def fema(self, x, span: int) -> X:
-        x = self.let(X(self, self.x(x).e, self.x(x).k, self.x(x).lv, True)) if self.x(x).k not in ("open", "high", "low", "close", "volume") else self.x(x)
+        """The features' average: the recursion on short series, else cut off where its weights
+        fall below a millionth, with the first value in place of missing ones."""
+        x = self._named(x)
         return self.let(X(self, None, f"fema{span}[{x.k}]", x.lv, True), ("fema", x.k, span))
 
     def rn(self, x) -> X:
-        x = self.x(x)
-        x = self.let(X(self, x.e, x.k, x.lv, True)) if not x.k.startswith("c") or not x.k[1:].isdigit() else x
+        """The rolling robust norm."""
+        x = self._named(x)
         return self.let(X(self, None, f"rn[{x.k}]", x.lv, True), ("rn", x.k, NORM_WINDOW))
 
     def frame(self, **out: X) -> DataFrame:
@@ -409,6 +423,11 @@ class Engine(Base):
             calls = [(n, call) for n, _, call in self.levels[level] if call is not None]
             if plain:
                 df = df.select("*", *[x.e.alias(n) for n, x in plain])
+            for name, (kind, source, _) in calls:
+                if kind == "constant":
+                    one = df.agg((F.stddev_samp(source) < 1e-6).alias(name))
+                    df = df.join(F.broadcast(one))  # one row
+            calls = [c for c in calls if c[1][0] != "constant"]
             if calls:
                 df = grouped(df, calls)
         return df.select(*self.panel.columns, *[x.e.alias(n) for n, x in out.items()])

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from barsmith.functions.algebra import Engine, X
 from barsmith.functions.features import FEATURES
+from barsmith.functions.features import ret as B_ret
 from barsmith.operators.formula_ops import OPERATORS
-from barsmith.plans import reports
+from barsmith.plans import evaluate, formulas, quality, reports, risk, search
 from barsmith.sources import bars as B
 from barsmith.sql import panels as P
 from barsmith.sql.duck import Duck
+from barsmith.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str | Callable[[], str]] = {}
@@ -106,6 +108,195 @@ for _n in ("score_components", "score_modes", "score_evaluate", "stat_slice"):
     report_query(f"{_n}_n1", reports.REPORTS[_n], only="A")
 
 
+# ---- formulas and their normalisation
+
+
+def _formula(text: str):
+    def build(b):
+        x = formulas.compiled(b, text.split())
+        return {"factor": x, "value": formulas.normalised(b, x)}
+
+    return build
+
+
+for _n, _text in formulas.PUBLISHED.items():
+    panel_query(f"formula_{_n}", _formula(_text), out=("factor", "value"))
+panel_query("norm_cross", lambda b: formulas.normalised(b, B_ret(b)))
+panel_query("norm_rolling", lambda b: formulas.normalised(b, B_ret(b)), only="A")
+panel_query("norm_constant", lambda b: formulas.normalised(b, b.let(b.rmax(b.close * 0.0, 10))), only="A")
+
+
+def formula_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of every step of a formula, in one pass."""
+    b = Engine(B.day_panel(spark, sf_dir))
+    df = b.frame(**_steps(b))
+    kinds = ", ".join(f"'{i}', s{i}" for i in range(8))
+    rows = df.selectExpr(f"stack(8, {kinds}) AS (step, v)").groupBy("step")
+    return rows.agg(rounded("mean", F.avg("v")), rounded("std", F.stddev_pop("v")))
+
+
+def _steps(b) -> dict[str, X]:
+    names, stack, out = formulas.PUBLISHED["forex_v2"].split(), [], {}
+    for i, name in enumerate(names):
+        if name in FEATURES:
+            x = b.let(FEATURES[name].build(b))
+        else:
+            arity = OPERATORS[name].arity
+            args, stack = stack[len(stack) - arity :], stack[: len(stack) - arity]
+            x = b.let(OPERATORS[name].build(b, *args))
+        stack.append(x)
+        out[f"s{i}"] = x
+    return out
+
+
+def _trace_sql() -> str:
+    b = Duck(P.day_panel())
+    each = " UNION ALL ".join(f"SELECT '{i}' AS step, {sql_rounded('mean', f'avg(s{i})')}, {sql_rounded('std', f'stddev_pop(s{i})')} FROM out" for i in range(8))
+    return f"WITH {b.ctes(**_steps(b))} {each}"
+
+
+QUERIES["formula_trace"], SQL["formula_trace"] = formula_trace, _trace_sql
+
+# ---- evaluation of candidates
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = Engine(B.day_panel(spark, sf_dir))
+    return evaluate.candidates(b.frame(**evaluate.columns(b)))
+
+
+def _candidate_ctes() -> str:
+    b = Duck(P.day_panel())
+    return f"{b.ctes(**evaluate.columns(b))}, {evaluate.candidates_sql()}"
+
+
+def evaluation_query(rep: reports.Report) -> None:
+    QUERIES[rep.name] = lambda spark, sf_dir: rep.run(spark, _candidates(spark, sf_dir))
+    more = f", {rep.ctes}" if rep.ctes else ""
+    SQL[rep.name] = lambda: f"WITH {_candidate_ctes()}{more} {rep.select}".replace("{pnl}", "cand")
+
+
+for _r in evaluate.EVALUATIONS.values():
+    evaluation_query(_r)
+
+
+def eval_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.mutual_information(_candidates(spark, sf_dir)).select("name", rounded("mi"))
+
+
+def eval_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cand = _candidates(spark, sf_dir)
+    ranks = spark.sql(f"WITH {evaluate.RANKED} SELECT name, rank_ic FROM ev".replace("{pnl}", "{cand}"), cand=cand)
+    return evaluate.scored(ranks, evaluate.mutual_information(cand)).select("name", rounded("score"))
+
+
+def eval_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of names meet on the driver, never bars."""
+    scores = {r["name"]: r["score"] for r in eval_score(spark, sf_dir).collect()}
+    pairs = evaluate.EVALUATIONS["eval_correlations"].run(spark, _candidates(spark, sf_dir)).collect()
+    rows = evaluate.pruned(scores, {frozenset((r["one"], r["two"])): r["correlation"] for r in pairs}, 0.5)
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "name string, score double, status string, pruned_in_favor_of string")
+
+
+QUERIES |= {"eval_mutual_information": eval_mutual_information, "eval_score": eval_score, "eval_prune": eval_prune}
+SQL["eval_mutual_information"] = lambda: f"WITH {_candidate_ctes()}, {evaluate.mutual_information_sql()} SELECT name, {sql_rounded('mi')} FROM mi"
+SQL["eval_score"] = lambda: f"""WITH {_candidate_ctes()}, {evaluate.mutual_information_sql()}, {evaluate.RANKED.replace("{pnl}", "cand")},
+  ra AS (SELECT name, row_number() OVER (ORDER BY abs(rank_ic), name) - 1 AS a, row_number() OVER (ORDER BY mi, name) - 1 AS m, count(*) OVER () AS n FROM ev JOIN mi USING (name))
+  SELECT name, {sql_rounded("score", "0.6::DOUBLE * (a / greatest(n - 1, 1)) + 0.4::DOUBLE * (m / greatest(n - 1, 1))")} FROM ra"""
+
+# ---- raw bars: panels and checks
+
+RAW = {"days": (B.lineitem_days, P.lineitem_days), "hours": (B.event_hours, P.event_hours), "weeks": (B.order_weeks, P.order_weeks)}
+BAR = "symbol, time, open, high, low, close, volume"
+
+
+def raw_query(name: str, source: str, run: Callable, select: str, ctes: str = "") -> None:
+    frame, text = RAW[source]
+    QUERIES[name] = lambda spark, sf_dir: run(frame(spark, sf_dir))
+    SQL[name] = lambda: f"WITH {text()}{', ' + ctes if ctes else ''} {select}"
+
+
+for _s in RAW:
+    raw_query(f"panel_bars_{_s}", _s, lambda bars: bars.select(*B.COLUMNS), f"SELECT {BAR} FROM raw")
+    raw_query(f"panel_aligned_{_s}", _s, B.aligned, f"SELECT symbol, bar_idx, {BAR[8:]} FROM bars", P.ALIGNED)
+raw_query("panel_filled", "hours", B.filled, "SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS bar_idx, time, open, high, low, close, volume FROM ff", P.FILLED)
+raw_query("panel_min_bars", "weeks", lambda bars: B.enough(bars, 345), f"SELECT {BAR} FROM raw WHERE symbol IN (SELECT symbol FROM raw GROUP BY symbol HAVING count(*) >= 345)")
+raw_query(
+    "panel_appended", "days",
+    lambda bars: B.appended(bars.filter("time < 800000000"), bars),
+    f"SELECT {BAR} FROM raw WHERE time < 800000000 UNION ALL SELECT {BAR} FROM raw r WHERE time > (SELECT coalesce(max(time), -1) FROM raw m WHERE m.time < 800000000 AND m.symbol = r.symbol)",
+)
+raw_query("panel_continuous", "days", lambda bars: B.continuous(bars, "ALL"), "SELECT 'ALL' AS symbol, time, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY time ORDER BY volume DESC, symbol) AS n FROM raw) WHERE n = 1")
+for _k, _o in (("first", "symbol"), ("last", "symbol DESC"), ("max_volume", "volume DESC, symbol")):
+    raw_query(
+        f"panel_dedup_{_k}", "days",
+        lambda bars, k=_k: B.deduplicated(bars.withColumns({"ingest": F.col("symbol"), "symbol": F.lit("ALL")}), k).select(*B.COLUMNS),
+        f"SELECT 'ALL' AS symbol, time, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY time ORDER BY {_o}) AS n FROM raw) WHERE n = 1",
+    )
+
+
+def check_query(rep: reports.Report, source: str) -> None:
+    frame, text = RAW[source]
+    QUERIES[rep.name] = lambda spark, sf_dir: rep.run(spark, frame(spark, sf_dir))
+    more = f", {rep.ctes}" if rep.ctes else ""
+    SQL[rep.name] = lambda: f"WITH {text()}{more} {rep.select}".replace("{pnl}", "raw")
+
+
+for _r in quality.CHECKS.values():
+    check_query(_r, "hours" if _r.name == "dq_sessions" else "days")
+
+
+def dq_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of each symbol at each timeframe."""
+    parts = [f(spark, sf_dir).select("symbol", F.lit(s).alias("tf")) for s, (f, _) in RAW.items()]
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("symbol").pivot("tf", list(RAW)).count().na.fill(0)
+
+
+QUERIES["dq_matrix"] = dq_matrix
+SQL["dq_matrix"] = lambda: "WITH " + ", ".join(text().replace("raw AS", f"{s}_ AS") for s, (_, text) in RAW.items()) + " SELECT symbol, " + ", ".join(
+    f"count(CASE WHEN tf = '{s}' THEN 1 END) AS {s}" for s in RAW
+) + " FROM (" + " UNION ALL ".join(f"SELECT symbol, '{s}' AS tf FROM {s}_" for s in RAW) + ") GROUP BY symbol"
+
+# ---- sizes, signals, monitoring, streams
+
+for _r in risk.RISKS.values():
+    report_query(_r.name, _r)
+QUERIES["live_portfolio_sync"] = lambda spark, sf_dir: risk.SYNC.run(spark, spark.read.parquet(f"{sf_dir}/orders.parquet"))
+SQL["live_portfolio_sync"] = risk.SYNC.text("orders")
+
+
+def stream_closed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.drained(spark, live.closed_bars(live.ticks(spark, sf_dir)), "closed-bars")
+
+
+def stream_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.drained(spark, live.flips(live.ticks(spark, sf_dir)), "flips")
+
+
+QUERIES |= {"stream_closed_bars": stream_closed_bars, "stream_flips": stream_flips}
+SQL["stream_closed_bars"] = (
+    "WITH " + P.bars("event_type", "epoch(date_trunc('day', ts))", "value", "1", "row(ts, event_id)", "events")
+    + f" SELECT {BAR} FROM raw WHERE time + 86400 <= (SELECT epoch(max(ts)) FROM events)"
+)
+SQL["stream_flips"] = """WITH d AS (SELECT event_type AS symbol, ts, event_id, CASE WHEN value >= 55 THEN 'LONG' WHEN value <= 45 THEN 'SHORT' ELSE 'FLAT' END AS dir FROM events),
+  f AS (SELECT *, lag(dir) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS was FROM d) SELECT symbol, event_id, was, dir FROM f WHERE was <> dir"""
+
+# ---- search
+
+
+def search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.scores(Engine(B.day_panel(spark, sf_dir)), search.POOL)
+
+
+def search_elite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.elite(search_scores(spark, sf_dir), 3)
+
+
+QUERIES |= {"search_scores": search_scores, "search_elite": search_elite}
+SQL["search_scores"] = lambda: search.scores_sql(Duck(P.day_panel()), search.POOL)
+SQL["search_elite"] = lambda: f"SELECT formula, status, score FROM ({search.scores_sql(Duck(P.day_panel()), search.POOL)}) WHERE status = 'ok' ORDER BY score DESC, formula LIMIT 3"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -126,9 +126,21 @@ report(
     {r6(f"avg(pnl) * {n(PPY)} / (max(down) + 1e-10)", "calmar_eps")} FROM dd GROUP BY symbol""",
     EQUITY,
 )
-FLAT = """fl AS (SELECT symbol, bar_idx, pnl, sum(pnl) OVER (ORDER BY symbol, bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM {pnl}),
-  fd AS (SELECT *, max(cum) OVER (ORDER BY symbol, bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cum AS down FROM fl)"""
-report("stat_flattened", f"SELECT count(*) AS n, {r6(sortino1(), 'sortino')}, {r6(clip(f'avg(pnl) * {n(PPY)} / greatest(max(down), 1e-8)', -10, 10), 'calmar')} FROM fd", FLAT)
+
+
+def flattened(table: str) -> str:
+    """fd: the rows of a table with `down`, the drawdown of the path that runs through one symbol
+    after the other. Running sums stay within a symbol; offsets and earlier peaks come from one
+    row for each symbol, so no task orders all bars."""
+    earlier = "ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""fl AS (SELECT *, sum(pnl) OVER ({SO_FAR}) AS own FROM {table}),
+  ft AS (SELECT symbol, sum(pnl) AS total, max(own) AS top FROM fl GROUP BY symbol),
+  fo AS (SELECT symbol, top, coalesce(sum(total) OVER ({earlier}), 0e0) AS base FROM ft),
+  fp AS (SELECT symbol AS p_symbol, base, max(base + top) OVER ({earlier}) AS peak FROM fo),
+  fd AS (SELECT fl.*, greatest(max(own) OVER ({SO_FAR}) + base, peak) - (base + own) AS down FROM fl JOIN fp ON symbol = p_symbol)"""
+
+
+report("stat_flattened", f"SELECT count(*) AS n, {r6(sortino1(), 'sortino')}, {r6(clip(f'avg(pnl) * {n(PPY)} / greatest(max(down), 1e-8)', -10, 10), 'calmar')} FROM fd", flattened("{pnl}"))
 report(
     "stat_portfolio",
     f"""SELECT count(*) AS n_bars, {r6("sum(p)", "total_return")}, {r6(f"avg(p) / stddev_pop(p) * sqrt({n(PPY)})", "sharpe")}, {r6("max(peak - cum)", "max_drawdown")} FROM pk""",
@@ -235,12 +247,22 @@ report(
     pu AS (SELECT *, sum(p) OVER (PARTITION BY symbol, scale ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM ps),
     pk AS (SELECT *, greatest(max(cum) OVER (PARTITION BY symbol, scale ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0e0) AS peak FROM pu)""",
 )
+PORT = f"""pf AS (SELECT bar_idx, avg(pnl) AS p, avg(position * target - turnover * {n(2 * COST)}) AS p2 FROM {{pnl}} GROUP BY bar_idx),
+  pc AS (SELECT *, sum(p) OVER (ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, count(*) OVER (PARTITION BY 1) AS bars FROM pf),
+  pk AS (SELECT *, max(cum) OVER (ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cum AS down FROM pc)"""
 report(
     "stat_verdict",
-    """SELECT symbol, CASE WHEN sharpe > 5e0 OR total > 1e1 THEN 'INVALID' WHEN sharpe > 3e0 OR down < 1e-2 OR traded < 1e-2 THEN 'SUSPICIOUS' ELSE 'VALID' END AS verdict FROM vd""",
-    EQUITY
-    + f""", vd AS (SELECT dd.symbol, avg(dd.pnl) / (stddev_pop(dd.pnl) + 1e-8) * sqrt({n(PPY)}) AS sharpe, sum(dd.pnl) AS total, max(down) AS down, avg(p.turnover) AS traded
-    FROM dd JOIN {{pnl}} p ON p.symbol = dd.symbol AND p.bar_idx = dd.bar_idx GROUP BY dd.symbol)""",
+    """SELECT CASE WHEN low_return = 1 OR deep = 2 THEN 'INVALID' WHEN low_sharpe + least(deep, 1) + one_sided + halves_differ + folds_lose + cost_loses > 0 THEN 'SUSPICIOUS' ELSE 'VALID' END AS verdict,
+    low_return, low_sharpe, deep, one_sided, halves_differ, folds_lose, cost_loses FROM vd""",
+    PORT
+    + f""", sd AS (SELECT greatest(avg(CASE WHEN position > {n(DEAD_BAND)} THEN 1e0 ELSE 0e0 END), avg(CASE WHEN position < {n(-DEAD_BAND)} THEN 1e0 ELSE 0e0 END)) AS side FROM {{pnl}}),
+    wf AS (SELECT floor(bar_idx / floor(bars / 4e0)) AS fold, avg(p) AS m FROM pk WHERE bar_idx >= floor(bars / 4e0) AND bar_idx < 4 * floor(bars / 4e0) GROUP BY floor(bar_idx / floor(bars / 4e0))),
+    wc AS (SELECT CASE WHEN sum(CASE WHEN m > 0 THEN 1 ELSE 0 END) < count(*) * 5e-1 THEN 1 ELSE 0 END AS folds_lose FROM wf),
+    vd AS (SELECT CASE WHEN avg(p) * {n(PPY)} < 2e-2 THEN 1 ELSE 0 END AS low_return,
+      CASE WHEN avg(p) / (stddev_pop(p) + 1e-8) * sqrt({n(PPY)}) < 5e-1 THEN 1 ELSE 0 END AS low_sharpe,
+      CASE WHEN max(down) > 2e-1 THEN 2 WHEN max(down) > 1e-1 THEN 1 ELSE 0 END AS deep, max(CASE WHEN side > 8.5e-1 THEN 1 ELSE 0 END) AS one_sided,
+      CASE WHEN avg(CASE WHEN bar_idx < floor(bars / 2e0) THEN p END) * avg(CASE WHEN bar_idx >= floor(bars / 2e0) THEN p END) < 0 THEN 1 ELSE 0 END AS halves_differ,
+      max(folds_lose) AS folds_lose, CASE WHEN avg(p2) > 0 THEN 0 ELSE 1 END AS cost_loses FROM pk, sd, wc)""",
 )
 report(
     "stat_reversals",
@@ -255,7 +277,7 @@ report(
 )
 report(
     "trade_actions",
-    "SELECT symbol, bar_idx, CASE WHEN was = dir THEN CASE WHEN dir = 0 THEN 'STAY_FLAT' ELSE 'HOLD' END WHEN was = 0 THEN CASE WHEN dir > 0 THEN 'OPEN_LONG' ELSE 'OPEN_SHORT' END WHEN dir = 0 THEN 'CLOSE' ELSE 'REVERSE' END AS action FROM ac",
+    "SELECT symbol, bar_idx, CASE WHEN was = dir THEN 'HOLD' WHEN was = 0 THEN CASE WHEN dir > 0 THEN 'OPEN_LONG' ELSE 'OPEN_SHORT' END WHEN dir = 0 THEN 'CLOSE' WHEN dir > 0 THEN 'REVERSE_TO_LONG' ELSE 'REVERSE_TO_SHORT' END AS action FROM ac",
     ISLES.split(",\n  dm")[0] + f", ac AS (SELECT symbol, bar_idx, dir, coalesce(lag(dir) OVER ({ALONG}), 0) AS was FROM ds)",
 )
 
@@ -268,11 +290,11 @@ def _score(where: str) -> str:
     """CTEs that score the bars of `where` (over bar_idx and bars): cmp has the components."""
     return f"""sb AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS bars FROM {{pnl}}), s AS (SELECT * FROM sb WHERE {where}),
   sp AS (SELECT *, lag(factor) OVER ({ALONG}) AS f0, lead(target) OVER ({ALONG}) AS y, lag(abs(position)) OVER ({ALONG}) AS a0,
-    row_number() OVER ({ALONG}) AS rn, count(*) OVER (PARTITION BY symbol) AS n_bars,
-    sum(pnl) OVER (ORDER BY symbol, bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM s),
-  sq AS (SELECT *, max(cum) OVER (ORDER BY symbol, bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cum AS down,
+    row_number() OVER ({ALONG}) AS rn, count(*) OVER (PARTITION BY symbol) AS n_bars FROM s),
+  {flattened("sp")},
+  sq AS (SELECT *,
     CASE WHEN rn <= floor(n_bars / 2e0) THEN pnl END AS h1, CASE WHEN rn > floor(n_bars / 2e0) THEN pnl END AS h2,
-    position * target - turnover * {n(2 * COST)} AS stressed FROM sp),
+    position * target - turnover * {n(2 * COST)} AS stressed FROM fd),
   ps AS (SELECT symbol, {sortino1()} AS sor, count(CASE WHEN abs(abs(position) - a0) > 1e-1 THEN 1 END) AS trades, max(n_bars) AS n_bars,
     CASE WHEN stddev_pop(CASE WHEN y IS NOT NULL THEN factor END) >= 1e-6 AND stddev_pop(y) >= 1e-6
       THEN covar_pop(factor, y) / (stddev_pop(CASE WHEN y IS NOT NULL THEN factor END) * stddev_pop(y) + 1e-8) END AS ic,

@@ -156,6 +156,10 @@ class Duck(Base):
     def symbols(self) -> X:
         return self.let(self._win("symbols", "(count(*) OVER (PARTITION BY bar_idx))::DOUBLE", self.i))
 
+    def constant(self, x) -> X:
+        x = self.plain(x)
+        return self.let(self._win("constant", f"stddev_samp({x.e}) OVER () < 1e-6", x))
+
     def _across(self, name: str, x) -> X:
         x = self.plain(x)
         return self.let(self._win(f"x{name}", f"{name}({x.e}) OVER (PARTITION BY bar_idx)", x))

@@ -32,3 +32,11 @@ def order_weeks() -> str:
 
 def day_panel(only: str | None = None) -> str:
     return f"{lineitem_days(only)}, {ALIGNED}"
+
+
+FILLED = """gr AS (SELECT symbol, time FROM (SELECT DISTINCT symbol FROM raw), (SELECT DISTINCT time FROM raw)),
+  fx AS (SELECT g.symbol, g.time, r.open, r.high, r.low, r.close, r.volume FROM gr g LEFT JOIN raw r ON g.symbol = r.symbol AND g.time = r.time),
+  ff AS (SELECT symbol, time, """ + ", ".join(
+    f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS {c}"
+    for c in ("open", "high", "low", "close", "volume")
+) + " FROM fx)"
