@@ -217,8 +217,8 @@ class LineDedup:
         refs = self.refs.select(F.col("key").alias("r_key"), "n", "keeper")
         found = []
         for part, small in ((refs.filter(F.col("n") > hot), True), (refs.filter(F.col("n") <= hot), False)):
-            part = F.broadcast(part) if small else part
-            both = rows.join(part, F.col("key") == F.col("r_key")) if small else rows.join(part, F.col("key") == F.col("r_key"))
+            # fewer than HOT_SHARE keys can be hot
+            both = rows.join(F.broadcast(part) if small else part, F.col("key") == F.col("r_key"))
             found.append(both.filter(F.col("doc") != F.col("keeper")).select("doc", "key"))
         return found[0].union(found[1])
 
@@ -247,7 +247,7 @@ class LineDedup:
         # a salt bounds the rows that meet a shard's filter at once
         salts = 16
         salted = self.postings().select(shard_of(shards), (F.crc32(F.col("doc").cast("string").cast("binary")) % salts).alias("salt"), "key", "doc")
-        copies = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("salt"), "filter")
+        copies = self.filters.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "filter")
         both = salted.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt"))
         return both.applyInArrow(meet, "key binary, doc long")
 
