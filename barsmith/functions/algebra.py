@@ -16,6 +16,7 @@ grouped by symbol on Arrow batches, all of a level together.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -417,10 +418,11 @@ class Engine(Base):
     def frame(self, **out: X) -> DataFrame:
         """The panel with the outputs as further columns."""
         out = {n: self.let(x) for n, x in out.items()}
-        df = self.panel
+        df, had = self.panel, self.panel.columns
         for level in sorted(self.levels):
-            plain = [(n, x) for n, x, call in self.levels[level] if call is None]
-            calls = [(n, call) for n, _, call in self.levels[level] if call is not None]
+            named = self.levels[level]
+            plain = [(n, x) for n, x, call in named if call is None]
+            calls = [(n, call) for n, _, call in named if call is not None]
             if plain:
                 df = df.select("*", *[x.e.alias(n) for n, x in plain])
             for name, (kind, source, _) in calls:
@@ -428,9 +430,18 @@ class Engine(Base):
                     one = df.agg((F.stddev_samp(source) < 1e-6).alias(name))
                     df = df.join(F.broadcast(one))  # one row
             calls = [c for c in calls if c[1][0] != "constant"]
+            live = self._live(level, out)
             if calls:
-                df = grouped(df, calls)
-        return df.select(*self.panel.columns, *[x.e.alias(n) for n, x in out.items()])
+                # only what this level or a later one reads goes through the grouped function
+                reads = live | {call[1] for _, call in calls}
+                df = grouped(df.select(*[c for c in df.columns if c in had or c in reads]), calls)
+            df = df.select(*[c for c in df.columns if c in had or c in live])
+        return df.select(*had, *[x.e.alias(n) for n, x in out.items()])
+
+    def _live(self, level: int, out: dict[str, X]) -> set[str]:
+        """Columns that levels after this one or the outputs read."""
+        later = [x.k for lv, named in self.levels.items() if lv > level for _, x, _ in named]
+        return set(re.findall(r"\bc\d+\b", " ".join([*later, *(x.k for x in out.values())])))
 
 
 def power_of(v: Column, p: int) -> Column:
