@@ -24,7 +24,7 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 def panel(spark, closes: dict[str, list[float]], volume=None):
     rows = []
     for s, values in closes.items():
-        for i, c in enumerate(values):
+        for i, c in enumerate(map(float, values)):
             rows.append((s, i, 1_700_000_000 + 3600 * i, c * 0.999, c * 1.001, c * 0.998, c, float(volume[i] if volume else 100 + i % 7)))
     return spark.createDataFrame(rows, PANEL)
 
@@ -93,7 +93,7 @@ def test_degenerate_bars(spark):
     cases = {"flat": [5.0] * 220, "tiny": list(1e-8 * (1 + rng.random(220))), "huge": list(1e7 * (1 + rng.random(220)))}
     rows = []
     for s, values in cases.items():
-        for i, c in enumerate(values):
+        for i, c in enumerate(map(float, values)):
             h, lo = (c, c) if s == "flat" else (c * 1.01, c * 0.99)
             rows.append((s, i, 86400 * i, c, h, lo, c, 0.0 if s == "flat" else 1e5))
     df = spark.createDataFrame(rows, PANEL)
