@@ -23,6 +23,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EPS = 1e-9
 NORM_WINDOW = 200
@@ -283,7 +284,8 @@ class Engine(Base):
         return self.let(self._win(f"list{d}", F.concat(F.array_repeat(F.lit(0.0), d - F.size(real)), real), x))
 
     def _of(self, name: str, a: X, e: Column, *xs: X) -> X:
-        return X(self, e, f"{name}<{', '.join(x.k for x in (a, *xs))}>", self.depth(a, *xs)[0], False)
+        # named at once, so that no array lives longer than a level
+        return self.let(X(self, e, f"{name}<{', '.join(x.k for x in (a, *xs))}>", self.depth(a, *xs)[0], True))
 
     def rbelow(self, x, d: int) -> X:
         """Share of the window strictly below the present value."""
@@ -486,12 +488,14 @@ def grouped(df: DataFrame, calls: list[tuple[str, tuple]]) -> DataFrame:
 
     kinds = {"ema": ema, "fema": fema, "rn": rn}
 
-    def run(pdf):
-        pdf = pdf.sort_values("bar_idx")
+    def run(table):
+        import pyarrow as pa
+
+        table = table.sort_by("bar_idx")
         for name, (kind, source, size) in calls:
-            pdf[name] = kinds[kind](pdf[source].to_numpy(float), size)
-        return pdf
+            x = np.ascontiguousarray(table[source].to_numpy(), float)
+            table = table.append_column(name, pa.array(kinds[kind](x, size), pa.float64()))
+        return table
 
-    more = ", ".join(f"{name} double" for name, _ in calls)
-    had = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy("symbol").applyInPandas(run, f"{had}, {more}")
+    more = [T.StructField(name, T.DoubleType()) for name, _ in calls]
+    return df.groupBy("symbol").applyInArrow(run, T.StructType([*df.schema.fields, *more]))
