@@ -368,6 +368,11 @@ class Engine(Base):
     def symbols(self) -> X:
         return self.let(self._win("symbols", F.count(F.lit(1)).over(self.across).cast("double"), self.i))
 
+    def whole_median(self, x) -> X:
+        """The median of a symbol's whole series (it looks ahead)."""
+        x = self.plain(x)
+        return self.let(self._win("median", F.median(x.e).over(self.whole), x))
+
     def constant(self, x) -> X:
         """Whether the factor hardly varies over all bars of all symbols; a count, a sum and a
         sum of squares for each symbol meet in one row."""

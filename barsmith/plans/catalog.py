@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barsmith.functions.algebra import Engine, X
+from barsmith.functions import times
 from barsmith.functions.features import FEATURES
 from barsmith.functions.features import ret as B_ret
 from barsmith.operators.formula_ops import OPERATORS
-from barsmith.plans import evaluate, formulas, quality, reports, risk, search
+from barsmith.plans import evaluate, formulas, prefix, quality, reports, risk, search
 from barsmith.sources import bars as B
 from barsmith.sql import panels as P
 from barsmith.sql.duck import Duck
@@ -281,6 +282,43 @@ SQL["stream_closed_bars"] = (
 SQL["stream_flips"] = """WITH d AS (SELECT event_type AS symbol, ts, event_id, CASE WHEN value >= 55 THEN 'LONG' WHEN value <= 45 THEN 'SHORT' ELSE 'FLAT' END AS dir FROM events),
   f AS (SELECT *, lag(dir) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS was FROM d) SELECT symbol, event_id, was, dir FROM f WHERE was <> dir"""
 
+def live_next_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each symbol's forming daily bar closes, half a day after the last bar of any."""
+    last = B.lineitem_days(spark, sf_dir).groupBy("symbol").agg(F.max("time").alias("last_open"))
+    now = last.agg((F.max("last_open") + 129_600).alias("now"))
+    return last.join(F.broadcast(now)).select("symbol", "last_open", times.next_close(F.col("last_open"), 86_400, F.col("now")).alias("next_close"))  # now is one row
+
+
+def fn_time_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = B.event_hours(spark, sf_dir).select("symbol", "time")
+    local = times.text(F.col("time"), times.EAST)
+    return bars.select("symbol", "time", times.text(F.col("time")).alias("utc"), local.alias("local"), times.parsed(local).alias("back"))
+
+
+QUERIES |= {"live_next_close": live_next_close, "fn_time_text": fn_time_text}
+SQL["live_next_close"] = lambda: f"""WITH {P.lineitem_days()}, la AS (SELECT symbol, max(time) AS t FROM raw GROUP BY symbol), nw AS (SELECT max(t) + 129600 AS now FROM la)
+  SELECT symbol, t AS last_open, CASE WHEN t + 86400 > now THEN t + 86400 WHEN now - t - 86400 <= 172800 AND n - t - 86400 <= 172800 THEN n END AS next_close
+  FROM (SELECT *, (SELECT min(t + 86400 * k) FROM range(2, 10) r(k) WHERE t + 86400 * k > now) AS n FROM la, nw)"""
+SQL["fn_time_text"] = lambda: f"""WITH {P.event_hours()} SELECT symbol, time, strftime(make_timestamp(time * 1000000), '%Y-%m-%d %H:%M') AS utc,
+  strftime(make_timestamp((time + 28800) * 1000000), '%Y-%m-%d %H:%M') AS local, time AS back FROM raw"""
+
+
+def ensemble(b) -> dict[str, X]:
+    """Two formulas whose squashed values are averaged."""
+    one = b.let(formulas.compiled(b, "RET5 TS_ZSCORE_20".split()))
+    two = b.let(formulas.compiled(b, "RSI14 DELTA".split()))
+    mean = b.let((b.tanh(one) + b.tanh(two)) / 2.0)
+    return {"value": b.where(b.abs(mean) < reports.DEAD_BAND, 0.0, mean)}
+
+
+panel_query("live_ensemble", ensemble)
+
+# ---- the second language
+
+PREFIX = ("ADD RET5 MUL VOL_CHG TREND", "STD20 DELTA5 V_RET", "DIV MA20 RET ABS TREND", "SUB SIGN RET NEG TS_RANK20 RET5")
+for _i, _text in enumerate(PREFIX):
+    panel_query(f"prefix_{_i}", lambda b, t=_text: prefix.compiled(b, t.split()))
+
 # ---- search
 
 
@@ -292,6 +330,25 @@ def search_elite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.elite(search_scores(spark, sf_dir), 3)
 
 
+def search_pool_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which formulas of the pool a candidate resembles too much, on the training bars."""
+    b = Engine(B.day_panel(spark, sf_dir))
+    wide = b.frame(**search.columns(b, search.POOL), bars=b.bars()).filter("bar_idx < floor(bars * 8e-1)")
+    each = [F.abs(F.corr("x0", f"x{i}")).alias(f"x{i}") for i in (1, 2, 3)]
+    kinds = ", ".join(f"'{search.POOL[i]}', x{i}" for i in (1, 2, 3))
+    long = wide.agg(*each).selectExpr(f"stack(3, {kinds}) AS (formula, c)")
+    return long.select("formula", rounded("correlation", F.col("c")), F.when(F.col("c") > 0.85, 0.8).otherwise(1.0).alias("factor"))
+
+
+def _pool_sql() -> str:
+    b = Duck(P.day_panel())
+    cols = {**search.columns(b, search.POOL), "bars": b.bars()}
+    ctes = b.ctes(**cols)
+    each = " UNION ALL ".join(f"SELECT '{search.POOL[i]}' AS formula, abs(corr(x0, x{i})) AS c FROM out WHERE bar_idx < floor(bars * 0.8)" for i in (1, 2, 3))
+    return f"WITH {ctes}, pc AS ({each}) SELECT formula, {sql_rounded('correlation', 'c')}, CASE WHEN c > 0.85 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM pc"
+
+
+QUERIES["search_pool_penalty"], SQL["search_pool_penalty"] = search_pool_penalty, _pool_sql
 QUERIES |= {"search_scores": search_scores, "search_elite": search_elite}
 SQL["search_scores"] = lambda: search.scores_sql(Duck(P.day_panel()), search.POOL)
 SQL["search_elite"] = lambda: f"SELECT formula, status, score FROM ({search.scores_sql(Duck(P.day_panel()), search.POOL)}) WHERE status = 'ok' ORDER BY score DESC, formula LIMIT 3"

@@ -91,10 +91,8 @@ def mutual_information(cand: DataFrame) -> DataFrame:
 
 def mutual_information_sql() -> str:
     """`mi` over `cand`."""
-    edges = "list_transform(range(0, bins + 1), lambda i: i / bins)"
     inner = lambda e: f"list_sort(list_distinct({e}))[2:len(list_distinct({e})) - 1]"
     q = lambda v: f"list_transform(range(0, bins + 1), lambda i: {v}[floor(i / bins * (n - 1))::BIGINT + 1] + ({v}[ceil(i / bins * (n - 1))::BIGINT + 1] - {v}[floor(i / bins * (n - 1))::BIGINT + 1]) * (i / bins * (n - 1) - floor(i / bins * (n - 1))))"
-    del edges
     return f"""mn AS (SELECT name, count(*) AS n, greatest(5, least(20, floor(sqrt(count(*)))))::INTEGER AS bins, list_sort(list(x)) AS sx, list_sort(list(y)) AS sy FROM cand GROUP BY name),
   me AS (SELECT name, n, {q("sx")} AS ex, {q("sy")} AS ey FROM mn),
   mi0 AS (SELECT name, n, {inner("ex")} AS ix, {inner("ey")} AS iy FROM me),
@@ -124,3 +122,9 @@ def pruned(scores: dict[str, float], correlation: dict[frozenset, float], thresh
         kept += [name] if by is None else []
         out.append({"name": name, "score": scores[name], "status": "pruned" if by else "retained", "pruned_in_favor_of": by})
     return out
+
+
+def active_subset(rows: list[dict], threshold: float = 0.0, most: int | None = None) -> list[str]:
+    """Names that stay, best first; without a threshold those that cannot be scored stay, too."""
+    kept = sorted((r for r in rows if r["status"] == "retained"), key=lambda r: (-r["score"], r["name"]))
+    return [r["name"] for r in kept if threshold <= 0 or r["score"] >= threshold][:most]

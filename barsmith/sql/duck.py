@@ -156,6 +156,10 @@ class Duck(Base):
     def symbols(self) -> X:
         return self.let(self._win("symbols", "(count(*) OVER (PARTITION BY bar_idx))::DOUBLE", self.i))
 
+    def whole_median(self, x) -> X:
+        x = self.plain(x)
+        return self.let(self._win("median", f"median({x.e}) OVER (PARTITION BY symbol)", x))
+
     def constant(self, x) -> X:
         x = self.plain(x)
         return self.let(self._win("constant", f"stddev_samp({x.e}) OVER () < 1e-6", x))
