@@ -89,12 +89,14 @@ def aligned(bars: DataFrame) -> DataFrame:
     return indexed(bars.join(common_times(bars), "time", "left_semi"))
 
 
-def filled(bars: DataFrame) -> DataFrame:
-    """Bars at all times of any symbol: the last known values, zeros before the first bar. Each
-    symbol's bars are cut up over the times at its own side only."""
-    grid = bars.select("symbol").distinct().join(F.broadcast(bars.agg(F.sort_array(F.collect_set("time")).alias("times"))))
-    grid = grid.select("symbol", F.explode("times").alias("time"))
-    rows = grid.join(bars, ["symbol", "time"], "left")
+def filled(bars: DataFrame, groups: int = 16) -> DataFrame:
+    """Bars at all times of any symbol: the last known values, zeros before the first bar. Times and
+    symbols meet in groups of symbols, so neither side is sent to every task."""
+    group = F.pmod(F.xxhash64("symbol"), F.lit(groups)).alias("_g")
+    symbols = bars.select("symbol").distinct().select("symbol", group)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+    times = bars.select("time").distinct().select("time", each.alias("_g"))
+    rows = times.join(symbols, "_g").select("symbol", "time").join(bars, ["symbol", "time"], "left")
     so_far = W.partitionBy("symbol").orderBy("time").rowsBetween(W.unboundedPreceding, 0)
     values = [F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.lit(0.0)).alias(c) for c in COLUMNS[2:]]
     return indexed(rows.select("symbol", "time", *values))
