@@ -48,6 +48,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows that a Python function turns into objects at once.
+ROWS_AT_ONCE = 256
+
+
+def sliced(batches):
+    """Arrow batches in pieces of few rows: the rows of one piece at a time exist as Python objects,
+    and results leave piece by piece."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(start, ROWS_AT_ONCE)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, partitions, stored
+from .common import WS_CHARS, partitions, sliced, stored
 
 MIN_CHARS = 10
 HOT_SHARE = 2000
@@ -49,7 +49,7 @@ def key_of(line: bytes) -> bytes | None:
 
 def keys_of(batches):
     """(key, doc) of every different key of each document."""
-    for batch in batches:
+    for batch in sliced(batches):
         keys, docs = [], []
         ids = batch.column(0).to_pylist()
         for doc, text in zip(ids, batch.column(1).to_pylist(), strict=True):
@@ -271,7 +271,7 @@ def _doc():
 
 def kept_text(batches):
     """Removes the lines whose keys are in `drops`."""
-    for batch in batches:
+    for batch in sliced(batches):
         texts, drops = batch.column("text").to_pylist(), batch.column("drops").to_pylist()
         kept, lines, gone = [], [], []
         for text, own in zip(texts, drops, strict=True):
