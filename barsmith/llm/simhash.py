@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sliced, stored
 from .components import stars
 
 SHINGLE = 3
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp), fp the signed 64-bit form."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             fps = [fingerprint(t or b"", shingle) for t in batch.column(1).to_pylist()]
             signed = np.array(fps, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.int64())], names=["doc_id", "fp"])
