@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import partitions, sliced, stored
 
 CAPACITY = 2048
 END = 0
@@ -79,7 +79,7 @@ def cut(n: int, capacity: int) -> list[int]:
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     def run(batches):
         encode = encoder(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, cols = [], ([], [], [], [])
             for row, text in enumerate(batch.column(1).to_pylist()):
                 tokens = np.array([*encode(text or ""), END], "<u4").tobytes()
