@@ -15,6 +15,7 @@ a length that a third of all pieces share is spread over many tasks.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -31,6 +32,9 @@ ROUNDS = 150
 #: Fixed value: the split pattern of this byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = "<|endoftext|>"
+#: The rank-based encoder's split pattern needs a stack as deep as a run of white space is long;
+#: texts with longer runs go to the file's tokenizer.
+LONG_SPACE = 100_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 _encoders: dict = {}
@@ -47,7 +51,9 @@ def byte_of() -> dict[str, int]:
 def encoder(vocabulary: str):
     """Text to ids. The vocabulary file's merges are in id order, so its ids are merge ranks and
     a rank-based encoder gives the file's own ids, several times faster; texts with the special
-    token's string, which the file's tokenizer reads as that token, go to that tokenizer."""
+    token's string, which the file's tokenizer reads as that token, or with a very long run of
+    white space go to that tokenizer."""
+    long_space = re.compile(rf"\s{{{LONG_SPACE}}}").search
     if vocabulary not in _encoders:
         import tiktoken
         from tokenizers import Tokenizer
@@ -61,7 +67,7 @@ def encoder(vocabulary: str):
         whole = Tokenizer.from_file(path)
 
         def encode(text: str) -> list[int]:
-            if SPECIAL in text:
+            if SPECIAL in text or len(text) >= LONG_SPACE and long_space(text):
                 return whole.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
