@@ -75,7 +75,7 @@ KINDS = (
         "email",
         rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
         lambda h: F.lit(True),
-        lambda h: F.rlike(h, F.lit(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,}$")),
+        lambda h: F.rlike(h, F.lit(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]{1,63}\.)++[A-Za-z]{2,}$")),
         lambda h: F.lower(F.regexp_extract(h, r"([^.]*)$", 1)).isin(DOMAINS),
         "@",
     ),
