@@ -60,7 +60,7 @@ RULES = (
     Rule("access", "AKIA[A-Z0-9]+", lambda hit: F.length(hit) >= 20, ("AKIA",)),
     Rule("hex", "[0-9a-f]{24,}"),
     Rule("pem", "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", gate=("PRIVATE KEY-----",)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", gate=("eyJ",)),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", gate=("eyJ",)),
     Rule(
         "prefixed",
         r"(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})",
