@@ -336,6 +336,7 @@ def test_token_ids_are_the_tokenizers_own(spark, sf):
     own, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder("byte_bpe_50k.json")
     texts = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
     texts += ["", " ", "  a\n\n b\t", "it's 1234 naïve 日本語 🎉\x00", "end <|endoftext|> here", LONG[:5000], " 　x y"]
+    texts += [" " * 1_200_000 + "x", "\n" * 120_000, "a" * 50_000, "0a9f" * 20_000, "日本" * 20_000]
     for t in texts:
         assert encode(t) == own.encode(t, add_special_tokens=False).ids
 
@@ -408,3 +409,28 @@ def test_language_blocks_do_not_matter(monkeypatch):
 def test_sha_of_nothing(docs):
     none = hashlib.sha256(b"").hexdigest()
     assert none in {r["base_sha256"] for r in RUNS["secrets"][0](docs).collect()}
+
+
+def test_extreme_texts(spark):
+    """Long runs that invite backtracking, deep recursion or quadratic scans."""
+    texts = [
+        "a@" + "b." * 100_000 + "c",
+        "x" * 500_000 + " @ ",
+        "1 " * 200_000,
+        "1." * 20_000 + "1",
+        "+1" + " 1" * 200_000,
+        "eyJ" * 100_000,
+        "token" + " " * 500_000,
+        "under " * 100_000 + "the mit license",
+        "-" * 300_000,
+        "same words here " * 30_000,
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    found = {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in RUNS["pii"][0](df).collect()}
+    assert found == {i: (0, 0, 0, 0) for i in range(10)} | {0: (1, 0, 0, 0), 3: (0, 5000, 0, 0)}
+    assert sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in RUNS["secrets"][0](df).collect()) == 0
+    assert {r["doc_id"]: r["n_base"] for r in licenses.scan(df).collect()} == {i: int(i == 7) for i in range(10)}
+    assert {r["doc_id"]: r["n_repeat_words"] for r in quality.judge(df).collect()}[9] == 90_000
+    assert simhash.near_duplicates(df).count() == linededup.dedup(df).count() == mixing.mix(df).count() == 10
+    assert packing.pack(df).agg(F.countDistinct("doc_id")).first()[0] == 10
+    assert language.identify(df).count() == 10
