@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import WS_CHARS, partitions, sliced, stored
 
 MIN_CHARS = 10
-HOT_SHARE = 2000
+HOT_SHARE = 50_000
 SLOTS = 4
 #: Fingerprints have 16 bits: about 2 * SLOTS / 65536 of the other keys pass, and are then
 #: refuted by the exact table.
