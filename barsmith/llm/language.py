@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 ORDER = 3
 #: Expected number of sampled texts for each language: the documented bound of the fit.
 SAMPLE = 400
@@ -212,7 +214,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def predict(batches):
         ascii_letter, letter = re.compile(rb"[A-Za-z]").search, re.compile(r"[^\W\d_]").search
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or b"" for t in batch.column(2).to_pylist()]
             named = np.array([bool(ascii_letter(t) or letter(t.decode())) for t in texts], bool) & bool(langs)
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
