@@ -14,6 +14,7 @@ a length that a third of all pieces share is spread over many tasks.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -64,11 +65,12 @@ def encoder(vocabulary: str):
         letters = byte_of()
         ranks = {bytes(letters[c] for c in w): i for w, i in words.items() if w != SPECIAL}
         fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        whole = Tokenizer.from_file(path)
+        # loaded by the first text that needs it, for workers keep what they load
+        whole = functools.cache(lambda: Tokenizer.from_file(path))
 
         def encode(text: str) -> list[int]:
             if SPECIAL in text or len(text) >= LONG_SPACE and long_space(text):
-                return whole.encode(text, add_special_tokens=False).ids
+                return whole().encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
         _encoders[vocabulary] = encode
