@@ -1,7 +1,10 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is a line. Its token set is joined with every template whose containment
-|block & template| / |template| reaches the threshold. Tokens are ordered by their document
+Blocks are the lines, the paragraphs (lines up to a blank one) and, for each template, all runs of
+as many words as it has, divided by the threshold; so a notice may be wrapped over lines or have
+words between. A block's token set is joined with every template whose containment
+|block & template| / |template| reaches the threshold. A paragraph contains no less of a template
+than any of its lines, so lines need no join of their own. Tokens are ordered by their document
 frequency in all rows, rarest first; a template of size s can only be met by a block that
 holds one of its s - need + 1 rarest tokens (prefix filter), has `need` tokens (length filter)
 and, from the place of its first shared token on, enough template tokens left (positional
@@ -23,6 +26,8 @@ from .common import ascii_lower, text_or_empty
 
 OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: The end of a line before a blank one.
+BLANK = r"\n[\x20\x09\x0B-\x0D]*+(?=\n)"
 #: Fixed values of the contract.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 THRESHOLD = 0.8
@@ -93,6 +98,28 @@ def joined_templates(block: Column, templates: dict[str, str], threshold: float,
     return probe(block).cast(kind)
 
 
+def window_matches(words: Column, templates: dict[str, str], threshold: float) -> Column:
+    """array<struct<label, score>> of the templates that a run of consecutive words meets. A run
+    starts at a template word, and only texts that hold enough of a template are searched."""
+
+    def best(label: str, text: str) -> Column:
+        tokens, span = sorted(set(text.split())), math.ceil(len(text.split()) / threshold - 1e-9)
+        need = math.ceil(threshold * len(tokens) - 1e-9)
+        at = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(tokens))
+
+        def counts(hits: Column) -> Column:
+            run = lambda h, k: F.filter(F.slice(hits, k + 1, F.lit(span)), lambda x: x["i"] < h["i"] + span)
+            return F.array_max(F.transform(hits, lambda h, k: F.size(F.array_distinct(F.transform(run(h, k), lambda x: x["w"])))))
+
+        # the array of one holds the places, so that they are found once
+        found = F.filter(F.transform(F.array(at), counts), lambda n: n >= need)
+        hit = F.transform(found, lambda n: F.struct(F.lit(label).alias("label"), (n / len(tokens)).alias("score")))
+        enough = F.size(F.array_intersect(F.array(*map(F.lit, tokens)), words)) >= need
+        return F.when(enough, hit).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
+
+    return F.flatten(F.array(*[best(label, text) for label, text in templates.items()]))
+
+
 def scan(
     docs: DataFrame,
     templates: dict[str, str] = TEMPLATES,
@@ -129,7 +156,7 @@ def labelled(df: DataFrame, templates: dict[str, str], threshold: float, seen: d
     last = F.when(some, F.size("words") - count(F.element_at(gaps, -1)) - count(F.element_at("base", -1)))
     names = F.transform("base", lambda b: F.coalesce(*[F.when(b.startswith(p.split()[0]), F.lit(n)) for p, n in PHRASES.items()]))
     df = df.withColumn("base_set", F.array_sort(F.array_distinct(names)))
-    # rarest tokens of every template that a document must hold for one of its lines to count
+    # rarest tokens of every template that a document must hold for one of its blocks to count
     sets = tokens_of(templates)
     rank = lambda t: (seen.get(t, 0), t)
     probes = set()
@@ -138,8 +165,9 @@ def labelled(df: DataFrame, templates: dict[str, str], threshold: float, seen: d
         probes |= set(sorted(tokens, key=rank)[: len(tokens) - need + 1])
     gate = F.arrays_overlap(F.array(*[F.lit(t) for t in sorted(probes)]), F.col("words"))
     met = F.flatten(
-        F.transform(F.split("text", "\n", -1), lambda line: joined_templates(F.array_distinct(words_of(line)), templates, threshold, seen))
+        F.transform(F.split("text", BLANK, -1), lambda part: joined_templates(F.array_distinct(words_of(part)), templates, threshold, seen))
     )
+    met = F.concat(met, window_matches(F.col("words"), templates, threshold))
     kind = "array<struct<label:string,score:double>>"
     df = df.withColumn("met", F.when(gate, met).otherwise(F.array().cast(kind)))
     both = F.array_sort(F.array_union("base_set", F.transform("met", lambda m: m["label"])))
