@@ -5,12 +5,13 @@ A byte's probability in a context is its count there over count plus number of d
 bytes, or else an escape (number of different bytes over the same sum) to the context that is a
 byte shorter, whose probabilities are renormalised over the bytes not yet excluded; below the
 empty context all bytes are alike. The statistics are frozen before scoring, so the code length of
-a byte is a fixed function of it and its longest known context: the trees of all languages are
-laid out as one table (context, byte, language) of code lengths, in integer units of
-1 / 4096 bit, and a text's exact code length in every language is a sum of table rows.
+a byte is a fixed function of it and its longest known context: the tree of each language is
+laid out as a table (context, byte) of code lengths, in integer units of
+1 / 4096 bit, and a text's exact code length in every language is a sum of table cells.
 
-The model is fitted on a bounded sample of whole labelled texts, `sample` per language in
-expectation, chosen by a hash of the id; so its size is bounded and may be broadcast. Every
+The model is fitted on a bounded sample of labelled texts, `sample` per language in
+expectation, chosen by a hash of the id; of long texts, blocks are taken. Every label takes part,
+so the size is bounded by the number of languages and may be broadcast. Every
 text is then scored whole, in blocks of bytes, in one narrow pass without a shuffle.
 """
 
@@ -29,11 +30,11 @@ from .common import sliced
 ORDER = 3
 #: Expected number of sampled texts for each language: the documented bound of the fit.
 SAMPLE = 400
-#: Languages that take part, the most frequent ones; a second bound of the fit.
-MAX_LANGUAGES = 64
-#: Texts of more bytes are left out of the fit, never out of the predictions.
+#: Of texts of more bytes the fit takes FIT_BLOCKS blocks at even distances, of so many bytes together
+#: at most; predictions read them whole.
 MAX_FIT_BYTES = 100_000
-#: Cells of the table of code lengths, 4 bytes each; beyond it the rarest contexts are pruned.
+FIT_BLOCKS = 4
+#: Cells of a language's table of code lengths, 4 bytes each; beyond it the rarest contexts are pruned.
 MAX_CELLS = 1 << 24
 UNIT = 4096
 BLOCK = 1 << 19
@@ -49,15 +50,14 @@ def sampled(docs: DataFrame, sample: int) -> DataFrame:
     """Labelled texts for the fit: (lang, text). A count for each language gives the share to
     keep, so no group of a language is gathered or sorted."""
     usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    usable = usable.filter(F.octet_length("text") <= MAX_FIT_BYTES)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return usable.select("lang", "text").limit(0)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, sample / r["count"])).otherwise(share)
+    counts = usable.groupBy(F.col("lang").alias("c_lang")).agg(F.count(F.lit(1)).alias("count"))
     u = F.pmod(F.xxhash64(F.lit("language-fit"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return usable.filter(u < share).select("lang", "text")
+    chosen = usable.join(F.broadcast(counts), F.col("lang") == F.col("c_lang")).filter(u < F.lit(float(sample)) / F.col("count"))
+    size = MAX_FIT_BYTES // (4 * FIT_BLOCKS)  # characters of up to 4 bytes
+    step = (F.length("text") - size) / (FIT_BLOCKS - 1)
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(FIT_BLOCKS - 1)), lambda k: F.substr("text", F.floor(k * step).cast("int") + 1, F.lit(size)))
+    part = F.when(F.octet_length("text") <= MAX_FIT_BYTES, F.array("text")).otherwise(blocks)
+    return chosen.select("lang", F.explode(part).alias("text"))
 
 
 def grams_of(batches):
@@ -92,13 +92,11 @@ def grams_of(batches):
             )
 
 
-class Model:
-    """Frozen trees of all languages as one table of code lengths, a row for each context."""
+class Tree:
+    """The frozen tree of one language as a table of code lengths, a row for each context."""
 
-    def __init__(self, langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray]):
-        self.langs = langs
-        every, weight = np.concatenate(grams), np.concatenate(counts)
-        # bytes that occur anywhere get a class each; class 0 is any other byte
+    def __init__(self, every: np.ndarray, weight: np.ndarray):
+        # bytes that occur get a class each; class 0 is any other byte
         known = np.unique(np.concatenate([(every >> (8 * k)) & 255 for k in range(ORDER + 1)]))
         self.classes = np.zeros(256, np.int64)
         self.classes[known] = np.arange(1, len(known) + 1)
@@ -112,7 +110,7 @@ class Model:
                 out = out * a + self.classes[(g >> (8 * k)) & 255]
             return out
 
-        rows, contexts = max(MAX_CELLS // (a * len(langs)), 1), []
+        rows, contexts = max(MAX_CELLS // a, 1), []
         for depth in range(ORDER + 1):
             code, at = np.unique(context(every, depth), return_inverse=True)
             if depth:  # a context needs its suffix, and the frequent ones go first
@@ -121,18 +119,17 @@ class Model:
                 room = max(rows - sum(map(len, contexts)), 0)
                 code = np.sort(code[np.argsort(-seen, kind="stable")[: min(room, int(inside.sum()))]])
             contexts.append(code)
-        tables = [self.lengths(g, n, contexts, context, unseen) for g, n in zip(grams, counts, strict=True)]
-        self.tables = np.stack([t.ravel() for t in tables])
+        self.table = self.lengths(every, weight, contexts, context, unseen).ravel()
         # the state after any ORDER bytes: the row of their longest known suffix
         first = 0
         for depth, code in enumerate(contexts):
             states = np.tile(states, a) if depth else np.zeros(1, np.int32)  # noqa: F821
             states[code] = np.arange(first, first + len(code))
             first += len(code)
-        self.states = states.astype(np.int64) * a
+        self.states = states.astype(np.int32) * np.int32(a)  # below MAX_CELLS or 257
 
     def lengths(self, g, n, contexts, context, unseen: int) -> np.ndarray:
-        """Code lengths of one language in all contexts, the shortest contexts first."""
+        """Code lengths in all contexts, the shortest contexts first."""
         a, out = self.a, []
         members = np.r_[float(unseen), np.ones(a - 1)]  # bytes in each class
         below = np.full((1, a), 1 / 256)
@@ -152,6 +149,24 @@ class Model:
         bits = -np.log2(np.maximum(np.concatenate(out), 2.0**-40))
         return (bits * UNIT).round().astype(np.int32)
 
+    def bits(self, text: np.ndarray) -> np.ndarray:
+        """Code length of each byte but the first ORDER."""
+        c = self.classes[text]
+        state = np.zeros(len(c) - ORDER, np.int64)
+        for k in range(ORDER):  # the oldest byte first
+            state = state * self.a + c[k : len(c) - ORDER + k]
+        return self.table[self.states[state] + c[ORDER:]]
+
+
+class Model:
+    """A tree for each language."""
+
+    def __init__(self, langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray]):
+        self.langs = langs
+        self.trees = [Tree(g, n) for g, n in zip(grams, counts, strict=True)]
+        self.tables = [t.table for t in self.trees]
+        self.a = max((t.a for t in self.trees), default=1)
+
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Exact code length of each text in each language, in 1 / UNIT bit."""
         out = np.zeros((len(texts), len(self.langs)), np.int64)
@@ -170,16 +185,12 @@ class Model:
         return out
 
     def _add(self, out: np.ndarray, parts: list[bytes], owners: list[int]) -> None:
-        c = self.classes[np.frombuffer(b"".join(parts), np.uint8)]
-        state = np.zeros(len(c) - ORDER, np.int64)
-        for k in range(ORDER):  # the oldest byte first
-            state = state * self.a + c[k : len(c) - ORDER + k]
-        cell = self.states[state] + c[ORDER:]
+        text = np.frombuffer(b"".join(parts), np.uint8)
         ends = np.cumsum([len(p) for p in parts])
         starts = np.r_[0, ends[:-1]]
         borders = np.stack([starts, ends - ORDER], 1).ravel()[:-1]  # of the coded bytes
-        for k, table in enumerate(self.tables):
-            np.add.at(out[:, k], owners, np.add.reduceat(table[cell], borders, dtype=np.int64)[::2])
+        for k, tree in enumerate(self.trees):
+            np.add.at(out[:, k], owners, np.add.reduceat(tree.bits(text), borders, dtype=np.int64)[::2])
 
 
 _models: dict[str, Model] = {}
@@ -208,7 +219,8 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     langs = sorted(set(table["lang"].to_pylist()))
     column = np.array(table["lang"].to_pylist(), object)
     gram, n = table["gram"].to_numpy(), table["n"].to_numpy()
-    by = [(gram[column == x], n[column == x]) for x in langs]
+    ends = np.r_[np.flatnonzero(column[1:] != column[:-1]) + 1, len(column)]
+    by = [(gram[a:b], n[a:b]) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)][: len(langs)]
     key = uuid.uuid4().hex
     fit = spark.sparkContext.broadcast((langs, [g for g, _ in by], [c for _, c in by]))
 
