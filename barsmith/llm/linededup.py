@@ -3,7 +3,7 @@
 State, all of it tables in the shared folder:
 
 * postings: (key, doc), one row for each different key of a document, appended by `insert`;
-  `delete` names documents whose postings no longer count. A key is the 128-bit hash of a
+  `delete` names documents whose postings so far no longer count; inserted again, they do. A key is the 128-bit hash of a
   stripped, lower-cased line; only keys of at least MIN_CHARS code points have postings.
 * reference counts: (key, n documents, smallest document), aggregated from live postings with a
   map-side combine, so a line that stands in every document crosses the network once a task.
@@ -176,8 +176,10 @@ class LineDedup:
     def delete(self, ids: DataFrame) -> None:
         """Takes documents (a column doc_id) out again: their references no longer count, and
         keys that fall below two references leave their shard's filter."""
-        gone = stored(ids.select(_doc()).distinct(), "line-deleted")
-        self.deleted = gone if self.deleted is None else stored(self.deleted.union(gone).distinct(), "line-deleted")
+        # batches below this number are taken out, later ones are not
+        gone = ids.select(_doc()).withColumn("below", F.lit(len(self.batches)))
+        gone = gone if self.deleted is None else self.deleted.union(gone)
+        self.deleted = stored(gone.groupBy("doc").agg(F.max("below").alias("below")), "line-deleted")
         before = self.refs
         self._count()
         lost = before.filter("n >= 2").select("key").join(self.refs.filter("n >= 2").select("key"), "key", "left_anti")
@@ -195,10 +197,13 @@ class LineDedup:
             self.filters = stored(both.applyInArrow(whole, "shard int, filter binary"), "line-filters")
 
     def postings(self) -> DataFrame:
-        live = self.batches[0]
-        for more in self.batches[1:]:
+        parts = self.batches
+        if self.deleted is not None:
+            parts = [p.join(self.deleted.filter(F.col("below") > i), "doc", "left_anti").select("key", "doc") for i, p in enumerate(parts)]
+        live = parts[0]
+        for more in parts[1:]:
             live = live.union(more)
-        return live if self.deleted is None else live.join(self.deleted, "doc", "left_anti").select("key", "doc")
+        return live
 
     def _count(self) -> None:
         counts = self.postings().groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("low"), F.max("doc").alias("high"))
