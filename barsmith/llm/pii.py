@@ -3,10 +3,10 @@
 Patterns propose candidate spans. Four labelers vote on each, 1 for personal, 0 for not, -1
 for no opinion: the strict form of the kind, a gazetteer (top-level domains, calling codes,
 issuer prefixes, country codes, reserved networks), the words before the span, and its
-borders. All candidates of all rows are counted by kind and vote pattern; that table has
-at most kinds * 3 ** 4 rows whatever the input, and expectation-maximisation on it estimates
-each labeler's reliability and the share of true spans. Its posteriors train the last span
-classifier, a logistic regression that becomes one expression. Spans of the four base kinds
+borders. All candidates of all rows are counted by kind, vote pattern and shape; that table is
+bounded whatever the input, and expectation-maximisation on its votes estimates each labeler's
+reliability and the share of true spans. Its posteriors train the last span classifier, a
+logistic regression on votes, shape and kind that becomes one expression. Spans of the four base kinds
 always stay; spans of the further kinds stay if the classifier says so.
 
 One pass over the texts writes the candidates; the counts and the verdicts read those.
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, matches, stored, text_or_empty
+from .common import joined, let, matches, running, stored, text_or_empty
 
 BASE = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -127,7 +127,9 @@ KINDS = (
     ),
 )
 VOTERS = ("strict", "gazetteer", "context", "border")
-CANDIDATE = "array<struct<start:int,order:int,end:int,kind:string,votes:array<int>,base:boolean>>"
+#: What the last classifier sees besides the votes, each yes or no: the span's length and shape.
+SHAPES = ("long", "parted", "spaced", "capital", "lettered", "alone")
+CANDIDATE = "array<struct<start:int,order:int,end:int,kind:string,votes:array<int>,shape:array<int>,base:boolean>>"
 
 
 def candidates(text: Column, kind: Kind, order: int) -> Column:
@@ -135,22 +137,31 @@ def candidates(text: Column, kind: Kind, order: int) -> Column:
         return F.when(said, 1).otherwise(0)
 
     def one(s: Column) -> Column:
-        hit, start = s["hit"], s["start"]
-        before = F.lower(F.substr(text, F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40))))
+        hit = s["hit"]
+        before = F.lower(s["before"])  # a candidate's own words end at the candidate before it
         context = (
             F.when(F.rlike(before, F.lit(rf"\b(?:{FOR})\b")), 1)
             .when(F.rlike(before, F.lit(rf"\b(?:{AGAINST})\b")), 0)
             .otherwise(-1)
         )
-        around = F.concat(F.substr(before, F.greatest(F.length(before), F.lit(1)), F.lit(1)), F.substr(text, s["end"] + 1, F.lit(1)))
+        around = F.concat(F.right(before, F.lit(1)), s["after"])
         border = vote(~F.rlike(around, F.lit("[0-9A-Za-z_]")))
         votes = F.array(vote(kind.strict(hit)), vote(kind.gazetteer(hit)), context, border)
+        shape = F.array(
+            vote(F.length(hit) > 20),
+            vote(F.rlike(hit, F.lit("[.()-]"))),
+            vote(F.contains(hit, F.lit(" "))),
+            vote(F.rlike(hit, F.lit("^[A-Z]"))),
+            vote(F.rlike(hit, F.lit("[A-Za-z]"))),
+            vote(F.rlike(around, F.lit(r"^\s*+$"))),
+        )
         return F.struct(
-            start.alias("start"),
+            s["start"].alias("start"),
             F.lit(order).alias("order"),
             s["end"].alias("end"),
             F.lit(kind.name).alias("kind"),
             votes.alias("votes"),
+            shape.alias("shape"),
             (kind.base(hit) if kind.base else F.lit(False)).alias("base"),
         )
 
@@ -161,6 +172,29 @@ def candidates(text: Column, kind: Kind, order: int) -> Column:
     return F.when(F.contains(text, F.lit(kind.gate)), found).otherwise(F.array().cast(CANDIDATE)) if kind.gate else found
 
 
+def apart(more: Column, base: Column) -> Column:
+    """The spans of `more` that touch no span of `base`. Both are put in one order by start; a span
+    touches one that starts no later if the largest end so far is beyond its start, and one that
+    starts later if the smallest start to come is before its end. So n spans cost n log n."""
+    none = F.array().cast(CANDIDATE)
+    key = lambda s, rank: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s.alias("s"))
+    merged = F.concat(F.transform(base, lambda s: key(s, 0)), F.transform(more, lambda s: key(s, 1)))
+    far, least = F.lit(2**31).cast("long"), F.lit(-1).cast("long")
+
+    def scanned(m: Column) -> Column:
+        ends = F.transform(m, lambda x: F.when(x["rank"] == 0, x["s"]["end"].cast("long")).otherwise(least))
+        starts = F.reverse(F.transform(m, lambda x: F.when(x["rank"] == 0, x["start"].cast("long")).otherwise(far)))
+        before = running(ends, least, lambda a, x: F.greatest(a, x))
+        after = F.reverse(running(starts, far, lambda a, x: F.least(a, x)))
+        limits = F.zip_with(before, after, lambda b, a: F.struct(b.alias("b"), a.alias("a")))
+        both = F.zip_with(m, limits, lambda x, z: F.struct(x.alias("x"), z.alias("z")))
+        free = lambda y: (y["x"]["rank"] == 1) & (y["z"]["b"] <= y["x"]["start"]) & (y["z"]["a"] >= y["x"]["s"]["end"])
+        return F.transform(F.filter(both, free), lambda y: y["x"]["s"])
+
+    alone = F.when(F.size(base) > 0, let(F.array_sort(merged), scanned)).otherwise(more)
+    return F.when(F.size(more) > 0, alone).otherwise(none)
+
+
 def estimated(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 30) -> dict[tuple, float]:
     """Expectation-maximisation over (kind, votes, count): a share of true spans for each kind
     and, for each voter, how often it votes 1 on true and on false spans, with weak priors that
@@ -187,39 +221,51 @@ def estimated(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 30
     return posterior
 
 
-def fitted(patterns: list[tuple[str, tuple[int, ...], int]], posterior: dict[tuple, float], steps: int = 400) -> list[float]:
-    """Weights of the logistic regression on the posteriors: a constant, then 1 or -1 times each
-    vote. Each pattern weighs the logarithm of its count, so that no kind drowns the others."""
-    weights = [0.0] * (1 + len(VOTERS))
-    rows = [(features(v), posterior[k, v], 1 + math.log(n)) for k, v, n in patterns]
-    total = sum(w for _, _, w in rows) or 1
+def fitted(rows: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], posterior: dict[tuple, float], steps: int = 400) -> list[float]:
+    """Weights of the logistic regression on the posteriors. rows: kind, votes, shape and count. A
+    pattern weighs the logarithm of its count, so that no kind drowns the others. The posterior
+    knows the votes alone, so what the shape tells is learned from spans on which they agree."""
+    weights = [0.0] * len(features(rows[0][0], rows[0][1], rows[0][2])) if rows else [0.0] * _WIDTH
+    known = [(features(k, v, x), posterior[k, v], 1 + math.log(n)) for k, v, x, n in rows]
+    total = sum(w for _, _, w in known) or 1
     for _ in range(steps):
         slope = [0.01 * w for w in weights]
-        for x, y, w in rows:
+        for x, y, w in known:
             p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(weights, x, strict=True))))
             for i, b in enumerate(x):
-                slope[i] += w * (p - y) * b / total
+                if b:
+                    slope[i] += w * (p - y) * b / total
         weights = [a - g for a, g in zip(weights, slope, strict=True)]
     return weights
 
 
-def features(votes: tuple[int, ...]) -> list[float]:
-    return [1.0, *({1: 1.0, 0: -1.0, -1: 0.0}[v] for v in votes)]
+_WIDTH = 1 + len(VOTERS) + len(SHAPES) + len(KINDS)
+
+
+def features(kind: str, votes: tuple[int, ...], shape: tuple[int, ...]) -> list[float]:
+    """A constant, 1 or -1 times each vote, the shape, and the kind."""
+    said = ({1: 1.0, 0: -1.0, -1: 0.0}[v] for v in votes)
+    return [1.0, *said, *map(float, shape), *(float(k.name == kind) for k in KINDS)]
 
 
-def classified(votes: Column, weights: list[float]) -> Column:
-    z = F.lit(weights[0])
-    for i, w in enumerate(weights[1:]):
-        v = F.get(votes, F.lit(i))
+def classified(c: Column, weights: list[float]) -> Column:
+    z, rest = F.lit(weights[0]), weights[1:]
+    for i, w in enumerate(rest[: len(VOTERS)]):
+        v = F.get(c["votes"], F.lit(i))
         z = z + F.when(v == 1, w).when(v == 0, -w).otherwise(0.0)
+    for i, w in enumerate(rest[len(VOTERS) : len(VOTERS) + len(SHAPES)]):
+        z = z + F.get(c["shape"], F.lit(i)) * w
+    for kind, w in zip(KINDS, rest[len(VOTERS) + len(SHAPES) :], strict=True):
+        z = z + F.when(c["kind"] == kind.name, w).otherwise(0.0)
     return 1 / (1 + F.exp(-z))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document doc_id and `found`: spans with kind, votes, base flag and score.
+    """Per document doc_id and `found`: spans with kind, votes, shape, base flag and score.
 
     Null and empty texts hold nothing; null ids and repeated rows are kept as they are; an empty
-    table gives an empty result; other columns are not read.
+    table gives an empty result; other columns are not read. Spans that start together stand in
+    the order of the kinds; a score of just 0.5 counts as personal.
     """
     text = text_or_empty(text_col)
     df = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
@@ -230,13 +276,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.concat(*[c for k, c in named if not k.base]).alias("more"),
     )
     # a further kind never reports a part of a base span again
-    apart = lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"]))
-    df = df.select("doc_id", F.concat("base", F.filter("more", apart)).alias("found"))
+    df = df.select("doc_id", F.concat("base", apart(F.col("more"), F.col("base"))).alias("found"))
     rows = stored(df, "pii-candidates")
-    votes = rows.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes").count()
-    patterns = sorted((r["kind"], tuple(r["votes"]), r["count"]) for r in votes.collect())
-    weights = fitted(patterns, estimated(patterns))
-    score = lambda c: c.withField("score", classified(c["votes"], weights))
+    # at most kinds * 3 ** 4 * 2 ** 6 rows, whatever the input
+    seen = rows.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes", "c.shape").count()
+    patterns = sorted((r["kind"], tuple(r["votes"]), tuple(r["shape"]), r["count"]) for r in seen.collect())
+    votes: dict[tuple, int] = {}
+    for kind, said, _, n in patterns:
+        votes[kind, said] = votes.get((kind, said), 0) + n
+    weights = fitted(patterns, estimated([(k, v, n) for (k, v), n in sorted(votes.items())]))
+    score = lambda c: c.withField("score", classified(c, weights))
     scored = F.transform("found", score)
     return rows.select("doc_id", F.filter(scored, lambda c: c["base"] | (c["score"] >= 0.5)).alias("found"))
 

@@ -48,6 +48,8 @@ def either_case(word: str) -> str:
 KEYWORDS = "|".join(
     [*(either_case(w) for w in ("password", "passwd", "secret", "token")), either_case("api") + "_?" + either_case("key")]
 )
+#: Characters of the parts of a web token.
+WEB = "[A-Za-z0-9_-]"
 ASSIGN_HEAD = rf"""(?:{KEYWORDS})["']?\x20*[:=]\x20*["']?"""
 #: Base rules first, in the order in which reports list them; then the rules that this
 #: library adds: key blocks, web tokens, prefixed service tokens and passwords in addresses.
@@ -59,32 +61,36 @@ RULES = (
     ),
     Rule("access", "AKIA[A-Z0-9]+", lambda hit: F.length(hit) >= 20, ("AKIA",)),
     Rule("hex", "[0-9a-f]{24,}"),
-    Rule("pem", "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", gate=("PRIVATE KEY-----",)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", gate=("eyJ",)),
+    # no length is bounded from above: possessive repeats over characters that cannot start another
+    # match, or a border before the match, keep a search linear however long a run is
+    Rule("pem", "-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----", gate=("PRIVATE KEY-----",)),
+    Rule("jwt", rf"(?<!{WEB})eyJ{WEB}{{8,}}+\.eyJ{WEB}{{8,}}+\.{WEB}{{8,}}+", gate=("eyJ",)),
     Rule(
         "prefixed",
-        r"(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})",
-        gate=("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza"),
+        r"(?:gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35})",
+        gate=("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "AIza"),
     ),
-    Rule("address", r"://[A-Za-z0-9._~-]{1,64}:[^\x00-\x20/@:]{3,64}@", gate=("://",)),
+    Rule("address", r"://[A-Za-z0-9._~-]*+:[^\x00-\x20/@:]{3,}+@", gate=("://",)),
 )
 BASE = ("assign", "access", "hex")
 
 FOUND = "array<struct<start:int,order:int,end:int,kind:string>>"
-LEDGER = f"blob string, scanned array<string>, found {FOUND}"
+SPANS = "array<struct<version:string,start:int,end:int>>"
+LEDGER = f"blob string, scanned array<string>, spans {SPANS}"
 
 
-def findings(text: Column, rule: Rule, order: int) -> Column:
-    """The rule's valid spans in a text, tagged."""
+def findings(text: Column, rule: Rule) -> Column:
+    """The rule's valid spans in a text, with its version."""
     spans = matches(text, rule.pattern)
     if rule.valid is not None:
         spans = F.filter(spans, lambda s: rule.valid(s["hit"]))
+    spans = F.transform(spans, lambda s: F.struct(F.lit(rule.version).alias("version"), s["start"].alias("start"), s["end"].alias("end")))
     if not rule.gate:
-        return tagged(spans, rule.name, order)
+        return spans
     gate = F.lit(False)
     for literal in rule.gate:
         gate = gate | F.contains(text, F.lit(literal))
-    return F.when(gate, tagged(spans, rule.name, order)).otherwise(F.array().cast(FOUND))
+    return F.when(gate, spans).otherwise(F.array().cast(SPANS))
 
 
 class SecretLedger:
@@ -110,12 +116,18 @@ class SecretLedger:
         and returns every row of it without the text, with its address `blob` and `found`.
 
         A null text is the empty blob; repeated rows return once each; an empty table leaves
-        the ledger as it is. Rows of `versions` named blob or found are replaced.
+        the ledger as it is. Rows of `versions` named blob or found are replaced, other columns
+        may have any name. Spans of one kind never overlap, so there are no ties to break; of two
+        kinds that start together the rule listed first comes first. Findings of rule versions
+        that this ledger's rules no longer have are not reported, and those that two updates at
+        once have both written count once.
         """
         text = text_or_empty(text_col)
-        # the ids need only the address, the scan only one copy of each text
-        rows = versions.withColumn("blob", F.sha2(text, 256)).drop("found")
-        blobs = rows.select("blob", text.alias("text")).dropDuplicates(["blob"])
+        kept = [F.col(f"`{c}`") for c in versions.columns if c not in (text_col, "blob", "found")]
+        # the ids need only the address, the scan only one copy of each text; a struct keeps the
+        # caller's columns apart from those here
+        rows = versions.select(F.sha2(text, 256).alias("blob"), F.struct(*(kept or [F.lit(0)])).alias("row"))
+        blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text")).dropDuplicates(["blob"])
         ledger, current = self.read(), {r.version: r for r in self.rules}
         if ledger is not None:
             seen = ledger.groupBy(F.col("blob").alias("l_blob")).agg(F.flatten(F.collect_list("scanned")).alias("seen"))
@@ -125,20 +137,32 @@ class SecretLedger:
         else:
             todo = F.array(*map(F.lit, current))
         blobs = blobs.withColumn("scanned", todo).filter(F.size("scanned") > 0)
-        none = F.array().cast(FOUND)
         parts = []
-        for order, (version, rule) in enumerate(current.items()):
-            part = findings(F.col("text"), rule, order)
-            parts.append(part if ledger is None else F.when(F.array_contains("scanned", version), part).otherwise(none))
-        batch = blobs.select("blob", "scanned", F.concat(*parts).alias("found"))
+        for version, rule in current.items():
+            part = findings(F.col("text"), rule)
+            parts.append(part if ledger is None else F.when(F.array_contains("scanned", version), part).otherwise(F.array().cast(SPANS)))
+        batch = blobs.select("blob", "scanned", F.concat(*parts).alias("spans"))
         batch.write.mode("append").parquet(f"{self.path}/batch={uuid.uuid4().hex}")
         self.started = True
-        known = self.read().filter(F.size("found") > 0).groupBy(F.col("blob").alias("f_blob"))
-        known = known.agg(F.flatten(F.collect_list("found")).alias("found"))
-        rules = F.array(*[F.lit(r.name) for r in self.rules])
-        known = known.withColumn("found", F.filter("found", lambda s: F.array_contains(rules, s["kind"])))
-        out = rows.drop(text_col).join(known, F.col("blob") == F.col("f_blob"), "left").drop("f_blob")
-        return out.withColumn("found", F.sort_array(F.coalesce("found", none)))
+        known = self.read().filter(F.size("spans") > 0).groupBy(F.col("blob").alias("f_blob"))
+        known = known.agg(F.collect_list(F.struct("scanned", "spans")).alias("batches"))
+
+        # a batch row holds all spans of its versions, so of two with one version either will do
+        def once(row: Column, i: Column) -> Column:
+            earlier = F.slice("batches", F.lit(1), i)
+            said = lambda s: F.exists(earlier, lambda y: F.array_contains(y["scanned"], s["version"]))
+            return F.filter(row["spans"], lambda s: ~said(s))
+
+        known = known.select("f_blob", F.flatten(F.transform("batches", once)).alias("spans"))
+
+        def found_by(version: str) -> Column:
+            return F.filter("spans", lambda s: s["version"] == version)
+
+        of = [tagged(found_by(version), rule.name, order) for order, (version, rule) in enumerate(current.items())]
+        known = known.select("f_blob", F.sort_array(F.concat(*of)).alias("found"))
+        out = rows.join(known, F.col("blob") == F.col("f_blob"), "left")
+        row = [F.col(f"row.`{c}`") for c in versions.columns if c not in (text_col, "blob", "found")]
+        return out.select(*row, "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

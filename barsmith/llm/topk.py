@@ -1,14 +1,19 @@
 """Exact top-k search over an impact-ordered index, score at a time.
 
-Components are integers, split into levels of quantised impact from the highest bits to the
-lowest. A posting segment holds the candidates with one level in one dimension; segments are
-processed level by level, that is by descending impact, into one accumulator for each query and
-candidate. What the levels still to come can add lies between two bounds that depend on the
-query alone. A query stops only on proof: when few candidates can still reach the k-th lower
-bound; those are rescored exactly. At the last level the scores are exact themselves.
-
-Queries and candidates meet in blocks of bounded size, both dealt by hash, so no task holds
-more than a block of either, and only k rows for each query leave a block.
+The index has a row for each block of candidates. In a block every dimension has posting segments,
+one for each level of its quantised components: the candidates at that level, the levels in order.
+For one query a posting's impact is |q| times how far its level lies from the worst end of the
+dimension (the lowest component for positive q, the highest for negative), so no impact is
+negative and the whole score is a constant plus all impacts. Segments of all dimensions are
+processed by descending impact into one accumulator for each candidate. At any time a candidate's
+score lies between its accumulator and that plus what each dimension can still add at most. The
+search stops only on proof: when so few candidates can reach the k-th best lower bound that
+rescoring them exactly is cheaper, or when all segments are done. All possible members are
+rescored exactly, however many they are.
+
+Candidates never move: a query block of bounded size is broadcast and one narrow pass over the index
+searches every block with it. A task carries each query's k-th best score from block to block, and
+only its best k rows for each query leave it.
 """
 
 from __future__ import annotations
@@ -18,16 +23,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shared_path, stored
+
 K = 5
 QUERY_EVERY = 50
-ROWS_PER_BLOCK = 2048
-QUERIES_PER_BLOCK = 512
-#: Bits of each level after the first, which takes the rest.
-LEVEL_BITS = 2
-LEVELS = 3
-#: So many possible members are rescored rather than told apart by another level.
+#: Candidates of an index block, and queries that are broadcast at once: bounds of memory, not of work.
+ROWS_PER_BLOCK = 4096
+QUERIES_PER_BLOCK = 8192
+#: Levels of quantised impact in a dimension, at most.
+LEVELS = 32
+#: Tests whether the search may stop, evenly spread over the segments of a query.
+TESTS = 12
+#: A query stops once a 1 / RESCORE of a block's candidates at most can be members.
 RESCORE = 64
-OUT = "query_id long, vec_id long, score long"
+INDEX = "block string, n int, width int, ids binary, vectors binary"
+OUT = "q long, vec_id long, score long"
 
 
 def quantised(vector: Column) -> Column:
@@ -37,103 +47,162 @@ def quantised(vector: Column) -> Column:
     return F.when(vector.isNotNull() & usable, values)
 
 
-class Index:
-    """Candidates of a block, laid out by level of impact."""
+class Segments:
+    """The posting segments of a block of candidates."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], values[order]
-        self.base = self.values.min(0) if len(ids) else np.zeros(values.shape[1], np.int64)
-        rest = self.values - self.base
-        self.shifts = [LEVEL_BITS * i for i in range(LEVELS, -1, -1)]
-        self.levels = []
-        for i, shift in enumerate(self.shifts):
-            level = rest >> shift
-            self.levels.append((level if i == 0 else level & ((1 << LEVEL_BITS) - 1)) << shift)
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int):
-        """Row numbers and scores of the best k candidates of each query, but never of the row
-        with the query's own id; better scores first, ties by smaller id."""
-        most = max(np.abs(queries).max(initial=0), 1) * max(np.abs(self.values).max(initial=0), np.abs(self.base).max(initial=0), 1)
-        exact = float(most) * 4 * queries.shape[1]
-        kind = np.float32 if exact < 2**24 else np.float64 if exact < 2**53 else object
-        q = queries.astype(kind)
-        mine = own[:, None] == self.ids[None, :]
-        scores = np.repeat((q @ self.base.astype(kind))[:, None], len(self.ids), 1)
-        up = np.where(queries > 0, queries, 0).sum(1).astype(kind)
-        down = np.where(queries < 0, queries, 0).sum(1).astype(kind)
-        out: list = [None] * len(q)
-        active = np.arange(len(q))
-        for shift, level in zip(self.shifts, self.levels, strict=True):
-            scores[active] += q[active] @ level.T.astype(kind)
-            left = (1 << shift) - 1
-            still = []
-            for i in active:
-                s = np.where(mine[i], -np.inf, scores[i].astype(float)) if kind is not object else scores[i]
-                usable = np.flatnonzero(~mine[i])
-                if len(usable) > k:
-                    floor = np.partition(s[usable], len(usable) - k)[len(usable) - k] + left * down[i]
-                    possible = usable[s[usable] + left * up[i] >= floor]
-                else:
-                    possible = usable
-                if shift and len(possible) > RESCORE:
-                    still.append(i)
-                    continue
-                score = self.values[possible].astype(object if kind is object else np.int64) @ queries[i]
-                best = np.lexsort((self.ids[possible], -score))[:k]
-                out[i] = (possible[best], score[best])
-            active = np.array(still, int)
-        return out
-
-
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors, equal rows once; shorter vectors end in zeros."""
-    ids, vectors = table["vec_id"].to_numpy(), table["v"].to_pylist()
+        n, self.width = self.values.shape
+        self.low, self.high = (f(0) if n else np.zeros(self.width, values.dtype) for f in (self.values.min, self.values.max))
+        self.postings, self.segments = [], []  # segments: dimension, first and last posting, least and largest component
+        for d in range(self.width if n else 0):
+            column, low = self.values[:, d], int(self.low[d])
+            step = (int(self.high[d]) - low) // LEVELS + 1
+            level = ((column - low) // step).astype(np.int64)
+            rows = np.argsort(level, kind="stable")
+            self.postings.append(rows)
+            borders = np.flatnonzero(np.r_[True, np.diff(level[rows]) > 0, True])
+            for a, b in zip(borders[:-1], borders[1:], strict=True):
+                own = column[rows[a:b]]
+                self.segments.append((d, a, b, int(own.min()), int(own.max())))
+        self.of = np.array([s[0] for s in self.segments], np.int64)
+        self.least = np.array([s[3] for s in self.segments], self.values.dtype)
+        self.most = np.array([s[4] for s in self.segments], self.values.dtype)
+
+    def search(self, q: np.ndarray, own: int, k: int, floor: int | None):
+        """Row numbers and exact scores of the best k candidates but the query's own id, of those that
+        reach `floor`; better scores first, ties by smaller id."""
+        n = len(self.ids)
+        mine = self.ids == own
+        if n - int(mine.sum()) == 0:
+            return np.zeros(0, np.int64), np.zeros(0, self.values.dtype)
+        pad = q[: self.width] if len(q) >= self.width else np.r_[q, np.zeros(self.width - len(q), q.dtype)]
+        size, upward = np.abs(pad), pad > 0
+        # impact of a segment's worst and best posting, from the worst end of its dimension
+        up = upward[self.of]
+        weight = size[self.of]
+        worst = weight * np.where(up, self.least - self.low[self.of], self.high[self.of] - self.most)
+        best = weight * np.where(up, self.most - self.low[self.of], self.high[self.of] - self.least)
+        constant = (pad * np.where(upward, self.low, self.high)).sum()
+        order = np.argsort(-best, kind="stable")
+        # what a dimension can still add to any accumulator: the loss inside the segments done, or the best to come
+        inside = np.zeros(self.width, self.values.dtype)
+        scores = np.zeros(n, self.values.dtype)
+        if mine.any():
+            scores[mine] = -(size * (self.high - self.low)).sum() - 1  # below every other score
+        tests = max(1, -(-len(order) // TESTS))
+        possible = np.flatnonzero(~mine)
+        for at, s in enumerate(order, 1):
+            d, a, b, _, _ = self.segments[s]
+            if weight[s]:
+                scores[self.postings[d][a:b]] += worst[s]
+                inside[d] = max(inside[d], best[s] - worst[s])
+            if at % tests and at < len(order):
+                continue
+            left = order[at:]
+            to_come = np.zeros(self.width, self.values.dtype)
+            np.maximum.at(to_come, self.of[left], best[left])
+            slack = np.maximum(inside, to_come).sum()
+            bar = np.partition(scores, n - k)[n - k] if n - int(mine.sum()) >= k else None
+            if floor is not None:
+                bar = floor - constant if bar is None else max(bar, floor - constant)
+            if bar is not None:
+                possible = np.flatnonzero((scores + slack >= bar) & ~mine)
+            if len(possible) * RESCORE <= n or len(possible) <= k:
+                break
+        exact = self.values[possible] @ pad
+        if floor is not None:
+            possible, exact = possible[exact >= floor], exact[exact >= floor]
+        top = np.lexsort((self.ids[possible], -exact))[:k]
+        return possible[top], exact[top]
+
+
+def _matrix(column) -> np.ndarray:
+    """Vectors as rows; shorter vectors end in zeros."""
+    vectors = column.to_pylist()
     width = max(map(len, vectors), default=0)
     values = np.zeros((len(vectors), width), np.int64)
     for row, v in zip(values, vectors, strict=True):
         row[: len(v)] = v
-    both = np.unique(np.column_stack([ids, values]), axis=0)
-    return both[:, 0], both[:, 1:]
+    return values
+
+
+def build(rows: DataFrame) -> DataFrame:
+    """The index of (vec_id, v): a stored table with a row for each block of candidates. Blocks
+    are cut from the partitions as they are, so nothing is shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_PER_BLOCK):
+                part = batch.slice(start, ROWS_PER_BLOCK)
+                values, ids = _matrix(part.column(1)), part.column(0).to_numpy()
+                name = f"{int(ids.min())}-{int(ids.max())}"
+                columns = [[name], [len(ids)], [values.shape[1]], [ids.astype("<i8").tobytes()], [values.astype("<i8").tobytes()]]
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "n", "width", "ids", "vectors"])
+
+    return stored(rows.select("vec_id", "v").mapInArrow(run, INDEX), "topk-index")
+
 
+def _scan(sent, kind, k: int):
+    """Searches every index block of a task with the queries of a broadcast."""
 
-def _meet(k: int):
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: tuple[list, list, list] = ([], [], [])
-        if len(left) and len(right):
-            (own, q), (ids, values) = _matrix(left), _matrix(right)
-            width = max(q.shape[1], values.shape[1])
-            q, values = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, values))
-            index = Index(ids, values)
-            for query, (rows, scores) in zip(own, index.search(q, own, k), strict=True):
-                found[0].extend([query] * len(rows))
-                found[1].extend(index.ids[rows])
-                found[2].extend(map(int, scores))
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), found, strict=True)})
+    def run(batches):
+        own, queries = sent.value
+        best: list[list[tuple[int, int]]] = [[] for _ in own]  # score, id; best first
+        for batch in batches:
+            for n, width, ids, vectors in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                values = np.frombuffer(vectors, "<i8").reshape(n, width).astype(kind)
+                block = Segments(np.frombuffer(ids, "<i8"), values)
+                for i, (me, q) in enumerate(zip(own, queries, strict=True)):
+                    floor = best[i][-1][0] if len(best[i]) == k else None
+                    rows, scores = block.search(q.astype(kind), me, k, floor)
+                    if len(rows):
+                        more = zip(scores.tolist(), block.ids[rows].tolist(), strict=True)
+                        best[i] = sorted([*best[i], *more], key=lambda x: (-x[0], x[1]))[:k]
+        out = [(i, v, s) for i, found in enumerate(best) for s, v in found]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["q", "vec_id", "score"])
 
-    return meet
+    return run
 
 
 def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame:
     """Per query (rows whose vec_id is divisible by `every`) its k best candidates: query_id,
     rank, vec_id, score.
 
-    Null ids, null vectors and vectors with null or non-finite components take no part. Equal
-    rows count once, and a query never finds its own id. A shorter vector counts as ending in
-    zeros. With fewer candidates than k all are returned; an empty table gives an empty result.
-    Scores have to fit in 64 bits.
+    Null ids, null vectors and vectors with null or non-finite components take no part. Every
+    other row is a candidate, repeated rows each, and no query finds a row with its own id. Rows of a
+    query that repeat give its result once each. Equal scores go by the smaller vec_id. A shorter
+    vector counts as ending in zeros. With fewer candidates than k all are returned; an empty
+    table gives an empty result. A reported score that does not fit in 64 bits is an error.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     is_query = F.col("vec_id") % every == 0
-    n = rows.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(is_query, 1)).alias("queries")).first()
-    groups, blocks = max(1, -(-n["rows"] // ROWS_PER_BLOCK)), max(1, -(-n["queries"] // QUERIES_PER_BLOCK))
-    group = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("g")
-    block = F.pmod(F.xxhash64(F.lit("query"), "vec_id"), F.lit(blocks)).cast("int").alias("b")
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    queries = rows.filter(is_query).select(block, each(groups).alias("g"), "vec_id", "v")
-    every_row = rows.select(each(blocks).alias("b"), group, "vec_id", "v")
-    found = queries.groupBy("b", "g").cogroup(every_row.groupBy("b", "g")).applyInArrow(_meet(k), OUT)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    largest = F.array_max(F.transform("v", F.abs))
+    first = rows.agg(F.max(largest).alias("most"), F.max(F.size("v")).alias("width")).first()
+    most = max(abs(first["most"] or 0), 1)
+    # whole numbers beyond 64 bits are Python's
+    kind = np.int64 if 4 * most * most * max(first["width"] or 1, 1) < 2**62 else object
+    index = build(rows)
+    queries = rows.filter(is_query).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times"))
+    queries = stored(queries.withColumn("part", F.xxhash64(F.lit("query"), "vec_id", F.col("v").cast("string"))), "topk-queries")
+    blocks = max(1, -(-queries.count() // QUERIES_PER_BLOCK) * 2)  # about half full each
+    found = shared_path(spark, "topk-found")
+    for block in range(blocks if blocks > 2 else 1):
+        part = queries if blocks == 2 else queries.filter(F.pmod("part", F.lit(blocks)) == block)
+        table = part.select("vec_id", "v", "times").toArrow()  # of bounded size
+        own, values = table["vec_id"].to_pylist(), _matrix(table["v"])
+        sent = spark.sparkContext.broadcast((own, values))
+        hits = index.mapInArrow(_scan(sent, kind, k), OUT)
+        names = spark.createDataFrame([(i, o, t) for i, (o, t) in enumerate(zip(own, table["times"].to_pylist(), strict=True))], "n long, query_id long, times long")
+        best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        hits = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        hits = hits.join(F.broadcast(names), F.col("q") == F.col("n"))  # a row a query of the block
+        hits = hits.withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+        hits.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(found)
+        sent.unpersist()
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(found)

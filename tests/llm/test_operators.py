@@ -79,6 +79,7 @@ def test_ledger_scans_only_what_is_new(spark, docs):
     more = spark.createDataFrame([(900, "secret=abcdefghi", "en", "s", 1)], SCHEMA)
     assert secrets.report(ledger.update(more)).first()["n_assign"] == 1
     assert ledger.read().count() == first + 1
+    assert ledger.read().select("spans").filter(F.size("spans") > 0).count() > 0
     newer = tuple(secrets.Rule(r.name, r.pattern, r.valid, r.gate, 2) if r.name == "hex" else r for r in secrets.RULES)
     changed = secrets.SecretLedger(spark, ledger.path, newer)
     again = changed.update(docs)
@@ -87,6 +88,31 @@ def test_ledger_scans_only_what_is_new(spark, docs):
     assert again.filter(F.size(F.filter("found", lambda s: s["kind"] == "hex")) > 0).count() == 1
 
 
+def test_narrowed_rule_and_doubled_batches(spark):
+    """A narrower version drops what the wider one found, and a batch written twice counts once."""
+    df = spark.createDataFrame([(1, "a" * 25 + " and " + "0123456789abcdef" * 2, "en", "s", 1)], SCHEMA)
+    ledger = secrets.SecretLedger(spark)
+    assert secrets.report(ledger.update(df)).first()["spans"] == "hex:0:25,hex:30:62"
+    narrow = tuple(secrets.Rule("hex", "[0-9a-f]{30,}") if r.name == "hex" else r for r in secrets.RULES)
+    again = secrets.SecretLedger(spark, ledger.path, narrow)
+    assert secrets.report(again.update(df)).first()["spans"] == "hex:30:62"
+    again.read().write.parquet(f"{ledger.path}/batch=twice")
+    row = secrets.report(again.update(df)).first()
+    assert (row["n_hex"], row["spans"]) == (1, "hex:30:62")
+    back = secrets.SecretLedger(spark, ledger.path)  # the older rules find their own spans again
+    assert secrets.report(back.update(df)).first()["spans"] == "hex:0:25,hex:30:62"
+
+
+def test_long_secrets(spark):
+    """No rule bounds a secret from above."""
+    long = "aB3" * 1700
+    texts = [f"x eyJ{long}.eyJ{long}.{long} y", f"redis://:{long}@host", f"https://{long}:{long}@host", "-----BEGIN " + "VERY " * 40 + "PRIVATE KEY-----", "github_pat_" + "g1" * 41]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["spans"] for r in RUNS["secrets"][0](df).collect()}
+    want = [f"jwt:2:{len(texts[0]) - 2}", f"address:5:{len(texts[1]) - 4}", f"address:5:{len(texts[2]) - 4}", f"pem:0:{len(texts[3])}", f"prefixed:0:{len(texts[4])}"]
+    assert [got[i] for i in range(5)] == want
+
+
 def test_quality(docs, plain):
     got = rows(RUNS["quality"][0](docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     want = []
@@ -237,12 +263,64 @@ def test_weak_supervision_learns_reliability():
     agree, differ = (1, 1, 1, 1), (0, 0, 0, 0)
     patterns = [("ssn", agree, 500), ("ssn", differ, 500), ("ssn", (1, 1, -1, 0), 20), ("ssn", (0, 0, -1, 1), 20)]
     post = pii.estimated(patterns)
-    weights = pii.fitted(patterns, post)
+    flat = (0,) * len(pii.SHAPES)
+    weights = pii.fitted([(k, v, flat, n) for k, v, n in patterns], post)
     assert post["ssn", agree] > 0.95 > 0.05 > post["ssn", differ]
-    value = lambda v: sum(a * b for a, b in zip(weights, pii.features(v), strict=True))
+    value = lambda v: sum(a * b for a, b in zip(weights, pii.features("ssn", v, flat), strict=True))
     assert value(agree) > 0 > value(differ)
 
 
+def test_pii_added_kinds_precision_and_recall(spark):
+    """Planted numbers of the three added kinds among look-alikes of other things."""
+    rng = random.Random(11)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts, planted = [], set()
+    for i in range(900):
+        ssn = f"{rng.randrange(1, 666):03d}-{rng.randrange(1, 99):02d}-{rng.randrange(1, 9999):04d}"
+        phone = f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{num(4)}"
+        iban = f"{rng.choice(['DE', 'FR', 'ES', 'IT'])}{num(2)} " + " ".join(num(4) for _ in range(5))
+        true = [("ssn", f"My social security number is ssn {{}} today.", ssn), ("local_phone", "Please call {} in the morning.", phone), ("iban", "Send it to the account {} please.", iban)]
+        false = [("ssn", "See part no {}_a of the catalogue.", f"000-00-{num(4)}"), ("local_phone", "The build {}x was broken.", f"1{num(2)}.{num(3)}.{num(4)}"), ("iban", "Serial {}_b of the machine.", f"QQ{num(2)}{num(4)}{num(4)}{num(4)}")]
+        kind, frame, hit = (true if i % 2 else false)[i // 2 % 3]
+        text = "Some words before. " * (i % 4) + frame.format(hit)
+        texts.append((i, text, "en", "s", 0))
+        if i % 2:
+            planted.add((i, kind, text.index(hit), text.index(hit) + len(hit)))
+    found = pii.find(spark.createDataFrame(texts, SCHEMA)).collect()
+    got = {(r["doc_id"], s["kind"], s["start"], s["end"]) for r in found for s in r["found"] if s["kind"] not in pii.BASE}
+    assert len(got & planted) >= 0.95 * len(planted)
+    assert len(got & planted) >= 0.95 * len(got)
+
+
+def test_many_matches_in_one_text(spark):
+    """400,000 addresses in one text: places in seconds, and the right ones."""
+    n = 400_000
+    text = " ".join(f"u{i}@host.example" for i in range(n))
+    df = spark.createDataFrame([(1, text, "en", "s", 0)], SCHEMA)
+    got = pii.report(pii.find(df)).first()
+    ends, at = [], 0
+    for i in range(n):
+        end = at + len(f"u{i}@host.example")
+        ends.append(f"email:{at}:{end}")
+        at = end + 1
+    assert got["n_email"] == n and got["base_sha256"] == digest(ends)
+    text = " ".join(f"token={i:08d}" for i in range(100_000))
+    got = RUNS["secrets"][0](spark.createDataFrame([(1, text, "en", "s", 0)], SCHEMA)).first()
+    assert got["n_assign"] == 100_000 and got["base_sha256"] == digest([f"assign:{15 * i}:{15 * i + 14}" for i in range(100_000)])
+
+
+def test_spans_apart(spark):
+    rng = random.Random(4)
+    make = lambda n: [(s := rng.randrange(4000), 0, s + rng.randrange(1, 30), "x", [1], [0], True) for _ in range(n)]
+    for a, b in ((0, 5), (5, 0), (90, 300)):
+        base, more = make(a), make(b)
+        kind = pii.CANDIDATE
+        df = spark.createDataFrame([(base, more)], f"base {kind}, more {kind}")
+        got = df.select(pii.apart(F.col("more"), F.col("base"))).first()[0]
+        want = [m for m in more if not any(m[0] < x[2] and x[0] < m[2] for x in base)]
+        assert sorted((r["start"], r["end"]) for r in got) == sorted((m[0], m[2]) for m in want)
+
+
 def test_simhash(docs, plain):
     got = rows(RUNS["simhash"][0](docs), "doc_id", "fingerprint", "component_id")
     pairs = [(d, fingerprint(t)) for d, t in plain]
@@ -281,11 +359,12 @@ def test_stars_on_a_long_chain(spark):
 
 
 def topk_plain(vectors, k=5, every=50):
-    usable = {i: [int(np.floor(np.float64(np.float32(x)) * 256)) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    """Every usable row is a candidate, repeated ones each; only a query's own id is left out."""
+    usable = [(i, [int(np.floor(np.float64(np.float32(x)) * 256)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, v in usable.items():
+    for q, v in usable:
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in usable.items() if i != q)[:k]
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in usable if i != q)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     return sorted(out, key=repr)
 
@@ -293,21 +372,45 @@ def topk_plain(vectors, k=5, every=50):
 @pytest.mark.parametrize("block", [2048, 16])
 def test_topk(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "ROWS_PER_BLOCK", block)
-    monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 2)
-    monkeypatch.setattr(topk, "RESCORE", 8)
+    monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 8192 if block > 16 else 2)
     rng = np.random.default_rng(2)
     vectors = [(int(i), [float(np.float32(x)) for x in rng.normal(0, 0.3, 8)]) for i in range(260)]
     vectors += [(400 + i, vectors[3][1]) for i in range(9)]  # ties
-    vectors += [vectors[100], vectors[50]]  # repeated rows
+    vectors += [vectors[100], vectors[50], vectors[50], vectors[1], vectors[1]]  # repeated rows
     vectors += [(500, None), (501, [None] * 8), (550, [float("nan")] * 8), (551, [float("inf")] * 8), (None, [0.1] * 8), (600, [0.0] * 8), (650, [1e4, -1e4] * 4)]
+    vectors += [(700, [0.5, -0.5]), (701, []), (702, [1.0] * 3)]  # shorter ones
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("v", F.lit("clash"))
+    df = df.withColumns({n: F.lit("clash") for n in ("q", "n", "times", "part", "rank", "each", "query_id", "score")})
     got = rows(topk.search(df), "query_id", "rank", "vec_id", "score")
-    assert got == topk_plain(dict((i, (i, v)) for i, v in vectors if i is not None).values())
+    assert got == topk_plain(vectors)
     assert topk.search(df.filter("false")).count() == 0
     few = spark.createDataFrame(vectors[:3], "vec_id long, embedding array<float>")
     assert topk.search(few).count() == 2  # fewer candidates than k
 
 
+def test_topk_beyond_64_bits(spark):
+    small = [(i, [1e6 * (i % 7), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(small, "vec_id long, embedding array<double>")
+    assert topk.search(df).count() == 10  # sums that pass 64 bits on the way
+    with pytest.raises(Exception, match="(?i)overflow|too large|int"):
+        topk.search(spark.createDataFrame([(0, [1e15]), (1, [1e15])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_topk_stops_on_proof(monkeypatch):
+    """Skewed vectors let the search stop early, and what it returns is still exact."""
+    rng = np.random.default_rng(3)
+    values = (rng.standard_t(2, (3000, 16)) * 20).astype(np.int64)
+    block = topk.Segments(np.arange(3000), values)
+    done = []
+    monkeypatch.setattr(topk.np, "partition", lambda s, k, real=np.partition: (done.append(1), real(s, k))[1])
+    for q in values[:20]:
+        found, scores = block.search(q, -1, 5, None)
+        exact = values @ q
+        assert scores.tolist() == sorted(exact.tolist(), reverse=True)[:5]
+        assert (exact[found] == scores).all()
+    assert len(done) < 20 * topk.TESTS  # some queries stop before their last segment
+
+
 def test_packing(docs, plain):
     out = packing.pack(docs, capacity=512).collect()
     encode = packing.encoder("byte_bpe_50k.json")
