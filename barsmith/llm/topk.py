@@ -1,14 +1,12 @@
 """Exact top-k search over an impact-ordered index, score at a time.
 
-The index has a row for each block of candidates. In a block every dimension has posting segments,
-one for each level of its quantised components: the candidates at that level, the levels in order.
-For one query a posting's impact is |q| times how far its level lies from the worst end of the
-dimension (the lowest component for positive q, the highest for negative), so no impact is
-negative and the whole score is a constant plus all impacts. Segments of all dimensions are
-processed by descending impact into one accumulator for each candidate. At any time a candidate's
-score lies between its accumulator and that plus what each dimension can still add at most. The
-search stops only on proof: when so few candidates can reach the k-th best lower bound that
-rescoring them exactly is cheaper, or when all segments are done. All possible members are
+The index has a row for each block of candidates. In a block every dimension has its postings by
+descending size of the component, cut into segments at quantised levels. For one query a segment's
+impact is |q| times the largest component in it. Segments of all dimensions are processed by
+descending impact, a step of impact at a time, into one accumulator for each candidate. A candidate's
+score then differs from its accumulator by no more than what the segments to come can add or take
+away, one of each dimension. The search stops only on proof: no candidate outside the possible members
+reaches the k-th best score that is proved so far. Once few are left, or no segment is, they are
 rescored exactly, however many they are.
 
 Candidates never move: a query block of bounded size is broadcast and one narrow pass over the index
@@ -28,14 +26,14 @@ from .common import shared_path, stored
 K = 5
 QUERY_EVERY = 50
 #: Candidates of an index block, and queries that are broadcast at once: bounds of memory, not of work.
-ROWS_PER_BLOCK = 4096
+ROWS_PER_BLOCK = 16384
 QUERIES_PER_BLOCK = 8192
-#: Levels of quantised impact in a dimension, at most.
-LEVELS = 32
-#: Tests whether the search may stop, evenly spread over the segments of a query.
-TESTS = 12
-#: A query stops once a 1 / RESCORE of a block's candidates at most can be members.
-RESCORE = 64
+#: Segments of a dimension, at most.
+LEVELS = 64
+#: Steps of impact, as parts of a query's highest one; after each the search may stop.
+STEPS = (0.2, 0.08, 0.05, 0.035, 0.02, 0.0)
+#: Rescoring starts once a 1 / RESCORE of a block's candidates at most can be members.
+RESCORE = 16
 INDEX = "block string, n int, width int, ids binary, vectors binary"
 OUT = "q long, vec_id long, score long"
 
@@ -48,69 +46,68 @@ def quantised(vector: Column) -> Column:
 
 
 class Segments:
-    """The posting segments of a block of candidates."""
+    """The posting segments of a block of candidates. Sums are exact: values are whole numbers,
+    of a kind that holds every score."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], values[order]
         n, self.width = self.values.shape
-        self.low, self.high = (f(0) if n else np.zeros(self.width, values.dtype) for f in (self.values.min, self.values.max))
-        self.postings, self.segments = [], []  # segments: dimension, first and last posting, least and largest component
-        for d in range(self.width if n else 0):
-            column, low = self.values[:, d], int(self.low[d])
-            step = (int(self.high[d]) - low) // LEVELS + 1
-            level = ((column - low) // step).astype(np.int64)
-            rows = np.argsort(level, kind="stable")
-            self.postings.append(rows)
-            borders = np.flatnonzero(np.r_[True, np.diff(level[rows]) > 0, True])
-            for a, b in zip(borders[:-1], borders[1:], strict=True):
-                own = column[rows[a:b]]
-                self.segments.append((d, a, b, int(own.min()), int(own.max())))
-        self.of = np.array([s[0] for s in self.segments], np.int64)
-        self.least = np.array([s[3] for s in self.segments], self.values.dtype)
-        self.most = np.array([s[4] for s in self.segments], self.values.dtype)
+        self.rows, self.parts = [], []
+        # a dimension's segments in order: first posting and largest component of each, then its end
+        self.first = np.full((self.width, LEVELS + 1), n, np.int64)
+        self.top = np.zeros((self.width, LEVELS + 1), values.dtype)
+        for d in range(self.width):
+            column = np.abs(self.values[:, d])
+            step = int(column.max(initial=0)) // LEVELS + 1
+            level = (column // step).astype(np.int64)
+            rows = np.argsort(-level, kind="stable")
+            borders = np.flatnonzero(np.diff(level[rows], prepend=-1))
+            self.rows.append(rows)
+            self.parts.append(self.values[rows, d])
+            self.first[d, : len(borders)] = borders
+            self.top[d, : len(borders)] = np.maximum.reduceat(column[rows], borders) if n else 0
 
     def search(self, q: np.ndarray, own: int, k: int, floor: int | None):
         """Row numbers and exact scores of the best k candidates but the query's own id, of those that
         reach `floor`; better scores first, ties by smaller id."""
         n = len(self.ids)
-        mine = self.ids == own
-        if n - int(mine.sum()) == 0:
-            return np.zeros(0, np.int64), np.zeros(0, self.values.dtype)
+        mine = np.flatnonzero(self.ids == own)
+        others = n - len(mine)
+        if not others:
+            return np.zeros(0, np.int64), self.values[:0, 0] if self.width else np.zeros(0, self.values.dtype)
         pad = q[: self.width] if len(q) >= self.width else np.r_[q, np.zeros(self.width - len(q), q.dtype)]
-        size, upward = np.abs(pad), pad > 0
-        # impact of a segment's worst and best posting, from the worst end of its dimension
-        up = upward[self.of]
-        weight = size[self.of]
-        worst = weight * np.where(up, self.least - self.low[self.of], self.high[self.of] - self.most)
-        best = weight * np.where(up, self.most - self.low[self.of], self.high[self.of] - self.least)
-        constant = (pad * np.where(upward, self.low, self.high)).sum()
-        order = np.argsort(-best, kind="stable")
-        # what a dimension can still add to any accumulator: the loss inside the segments done, or the best to come
-        inside = np.zeros(self.width, self.values.dtype)
+        size = np.abs(pad)
+        impact = size[:, None] * self.top
+        most = impact.max(initial=0)
         scores = np.zeros(n, self.values.dtype)
-        if mine.any():
-            scores[mine] = -(size * (self.high - self.low)).sum() - 1  # below every other score
-        tests = max(1, -(-len(order) // TESTS))
-        possible = np.flatnonzero(~mine)
-        for at, s in enumerate(order, 1):
-            d, a, b, _, _ = self.segments[s]
-            if weight[s]:
-                scores[self.postings[d][a:b]] += worst[s]
-                inside[d] = max(inside[d], best[s] - worst[s])
-            if at % tests and at < len(order):
-                continue
-            left = order[at:]
-            to_come = np.zeros(self.width, self.values.dtype)
-            np.maximum.at(to_come, self.of[left], best[left])
-            slack = np.maximum(inside, to_come).sum()
-            bar = np.partition(scores, n - k)[n - k] if n - int(mine.sum()) >= k else None
-            if floor is not None:
-                bar = floor - constant if bar is None else max(bar, floor - constant)
-            if bar is not None:
-                possible = np.flatnonzero((scores + slack >= bar) & ~mine)
-            if len(possible) * RESCORE <= n or len(possible) <= k:
+        at = np.zeros(self.width, np.int64)  # postings done in each dimension
+        each = np.arange(self.width)
+        possible = None
+        for step in STEPS:
+            if not most:
                 break
+            # one segment's impact is no more than that of the one before it
+            done = (impact >= most * step if step else impact > 0).sum(1)
+            ends = self.first[each, done]
+            for d in np.flatnonzero(ends > at).tolist():
+                part = slice(at[d], ends[d])
+                scores[self.rows[d][part]] += self.parts[d][part] * pad[d]  # each candidate once
+            at = ends
+            slack = impact[each, done].sum()  # either way, in all dimensions
+            bar = floor
+            if others >= k:
+                told = np.delete(scores, mine) if len(mine) else scores
+                proved = np.partition(told, others - k)[others - k] - slack
+                bar = proved if bar is None else max(bar, proved)
+            if bar is not None:
+                possible = np.flatnonzero(scores + slack >= bar)
+                if len(possible) * RESCORE <= n:
+                    break
+        if possible is None:
+            possible = np.arange(n)
+        if len(mine):
+            possible = np.setdiff1d(possible, mine, assume_unique=True)
         exact = self.values[possible] @ pad
         if floor is not None:
             possible, exact = possible[exact >= floor], exact[exact >= floor]
@@ -159,7 +156,7 @@ def _scan(sent, kind, k: int):
                     floor = best[i][-1][0] if len(best[i]) == k else None
                     rows, scores = block.search(q.astype(kind), me, k, floor)
                     if len(rows):
-                        more = zip(scores.tolist(), block.ids[rows].tolist(), strict=True)
+                        more = zip(map(int, scores.tolist()), block.ids[rows].tolist(), strict=True)
                         best[i] = sorted([*best[i], *more], key=lambda x: (-x[0], x[1]))[:k]
         out = [(i, v, s) for i, found in enumerate(best) for s, v in found]
         if out:
@@ -185,8 +182,8 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     largest = F.array_max(F.transform("v", F.abs))
     first = rows.agg(F.max(largest).alias("most"), F.max(F.size("v")).alias("width")).first()
     most = max(abs(first["most"] or 0), 1)
-    # whole numbers beyond 64 bits are Python's
-    kind = np.int64 if 4 * most * most * max(first["width"] or 1, 1) < 2**62 else object
+    # doubles hold whole numbers below 2 ** 53; larger ones are Python's
+    kind = np.float64 if 4 * most * most * max(first["width"] or 1, 1) < 2**53 else object
     index = build(rows)
     queries = rows.filter(is_query).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times"))
     queries = stored(queries.withColumn("part", F.xxhash64(F.lit("query"), "vec_id", F.col("v").cast("string"))), "topk-queries")
