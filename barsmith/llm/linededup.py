@@ -3,13 +3,17 @@
 State, all of it tables in the shared folder:
 
 * postings: (key, doc), one row for each different key of a document, appended by `insert`;
-  `delete` names documents whose postings so far no longer count; inserted again, they do. A key is the 128-bit hash of a
-  stripped, lower-cased line; only keys of at least MIN_CHARS code points have postings.
-* reference counts: (key, n documents, smallest document), aggregated from live postings with a
-  map-side combine, so a line that stands in every document crosses the network once a task.
-* cuckoo filters: the keys with two or more references, dealt to shards by their first bytes;
-  each shard is built, read and rebuilt on its own. Deleting a document removes the
-  fingerprints of the keys that fall below two references from their shards.
+  `delete` names documents whose postings so far no longer count; inserted again, they do. A key is
+  the 128-bit hash of a stripped, lower-cased line; only keys of at least MIN_CHARS code points have
+  postings.
+* reference counts: (key, n documents, smallest document), a log. An insertion or deletion appends
+  the new state of the keys that it touches and of no others; the latest state of a key counts.
+  Counts are aggregated with a map-side combine, so a line that stands in every document crosses the
+  network once a task.
+* cuckoo filters: the keys with two or more references, dealt to shards by their first bytes. The
+  keys that an insertion brings to two references are inserted into their shards, those that a
+  deletion takes below two are removed; a shard that overflows is built anew from the counts, and
+  all are dealt anew to more shards once a shard would hold more than SHARD_KEYS on average.
 
 A decision sends only lines that pass their shard's filter to the exact table. Keys with more
 references than a 1 / HOT_SHARE of all postings are joined by broadcast: there are fewer than
@@ -24,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import WS_CHARS, partitions, sliced, stored
 
@@ -36,6 +41,11 @@ MAX_KICKS = 500
 #: Filters of at most so many bytes together are broadcast; larger ones meet the postings by
 #: a shuffle on the shard.
 BROADCAST_BYTES = 32 << 20
+#: Keys of a shard, and postings that meet its filter in one task, on average.
+SHARD_KEYS = 100_000
+TASK_POSTINGS = 1_000_000
+MAX_SHARDS = 65536
+COUNTS = ("key", "n", "keeper", "before", "version")
 _WS = WS_CHARS.encode()
 
 
@@ -143,83 +153,158 @@ def as_keys(column: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, 16)
 
 
+FILTERS = "shard int, filter binary"
+
+
 def filter_of(table: pa.Table) -> pa.Table:
     """One shard's filter from its keys."""
     keys = Cuckoo.built(as_keys(table["key"].to_pylist()))
     return pa.table({"shard": table["shard"][:1], "filter": pa.array([keys.packed()], pa.binary())})
 
 
+def with_keys(held: pa.Table, more: pa.Table) -> pa.Table:
+    """A shard's filter with more keys; null if they do not fit."""
+    if not len(held):
+        return filter_of(more)
+    if not len(more):
+        return held
+    keys, own = as_keys(more["key"].to_pylist()), Cuckoo.unpacked(held["filter"][0].as_py())
+    fits = all(own.insert(keys[i : i + 1]) for i in own.bulk(keys))
+    return pa.table({"shard": held["shard"], "filter": pa.array([own.packed() if fits else None], pa.binary())})
+
+
+def without_keys(held: pa.Table, gone: pa.Table) -> pa.Table:
+    if not len(held) or not len(gone):
+        return held
+    own = Cuckoo.unpacked(held["filter"][0].as_py())
+    for key in gone["key"].to_pylist():
+        own.remove(as_keys([key]))
+    return pa.table({"shard": held["shard"], "filter": pa.array([own.packed()], pa.binary())})
+
+
 def shard_of(shards: int):
     """Shard by the first two bytes of the key."""
     return (F.conv(F.hex(F.substring("key", 1, 2)), 16, 10).cast("int") % shards).alias("shard")
 
 
 class LineDedup:
-    """Incremental line dedup; `shards` grows with the keys, at most 65536."""
+    """Incremental line dedup; without `shards` their number grows with the keys."""
 
     def __init__(self, spark: SparkSession, shards: int | None = None):
-        self.spark = spark
-        self.shards = min(shards or partitions(spark), 65536)
+        self.spark, self.fixed = spark, shards
+        self.shards = min(shards or partitions(spark), MAX_SHARDS)
         self.batches: list[DataFrame] = []
+        self.ids: list[DataFrame] = []
+        self.log: list[DataFrame] = []
         self.deleted: DataFrame | None = None
-        self.refs: DataFrame | None = None
         self.filters: DataFrame | None = None
+        self.keys = 0  # with two or more references
 
     def insert(self, docs: DataFrame) -> None:
-        """Adds documents (doc_id, text): appends their postings, then renews the counts and
-        the filters."""
+        """Adds documents (doc_id, text): appends their postings and the new counts of their keys, and
+        inserts the keys that reach two references. Rows of one id, here or live already, are one
+        document and count once for a key."""
         rows = docs.select(_doc(), F.col("text").cast("string").cast("binary").alias("text"))
-        self.batches.append(stored(rows.mapInArrow(keys_of, "key binary, doc long"), "line-postings"))
-        self._count()
-        self._build()
+        batch = stored(rows.mapInArrow(keys_of, "key binary, doc long"), "line-postings")
+        ids = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("rows"))
+        ids = stored(ids, "line-ids")
+        if not ids.filter("rows > 1").isEmpty():
+            batch = stored(batch.distinct(), "line-postings")
+        if self.batches:
+            live = self._live(self.ids)
+            both = ids.join(live, "doc", "left_semi").select("doc")
+            if not both.isEmpty():
+                held = self.postings().join(both, "doc", "left_semi")
+                batch = stored(batch.join(held, ["key", "doc"], "left_anti"), "line-postings")
+        self.batches.append(batch)
+        self.ids.append(ids.select("doc"))
+        fresh = batch.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("keeper"))
+        if self.log:
+            known = self._known(fresh.select("key"))
+            fresh = fresh.join(known.select("key", F.col("n").alias("before"), F.col("keeper").alias("first")), "key", "left")
+            fresh = fresh.withColumn("before", F.coalesce("before", F.lit(0).cast("long")))
+            fresh = fresh.withColumn("n", F.col("n") + F.col("before")).withColumn("keeper", F.least("keeper", "first"))
+        else:
+            fresh = fresh.withColumn("before", F.lit(0).cast("long"))
+        self._append(fresh)
+        gained = self.log[-1].filter("before < 2 AND n >= 2").select("key")
+        self.keys += gained.count()
+        if self.filters is None or self.keys > self.shards * SHARD_KEYS and not self.fixed and self.shards < MAX_SHARDS:
+            if not self.fixed:
+                self.shards = min(max(self.shards, -(-2 * self.keys // SHARD_KEYS)), MAX_SHARDS)
+            self.filters = self._built(self.refs().filter("n >= 2").select("key"))
+            return
+        both = self.filters.groupBy("shard").cogroup(gained.select(shard_of(self.shards), "key").groupBy("shard"))
+        self.filters = stored(both.applyInArrow(with_keys, FILTERS), "line-filters")
+        full = self.filters.filter("filter IS NULL").select("shard")
+        if not full.isEmpty():
+            keys = self.refs().filter("n >= 2").select(shard_of(self.shards), "key").join(full, "shard", "left_semi")
+            anew = keys.groupBy("shard").applyInArrow(filter_of, FILTERS)
+            self.filters = stored(self.filters.filter("filter IS NOT NULL").union(anew), "line-filters")
 
     def delete(self, ids: DataFrame) -> None:
         """Takes documents (a column doc_id) out again: their references no longer count, and
-        keys that fall below two references leave their shard's filter."""
+        keys that fall below two references leave their shard's filter. Ids that are not there, or
+        an empty ledger, change nothing."""
+        if not self.batches:
+            return
         # batches below this number are taken out, later ones are not
-        gone = ids.select(_doc()).withColumn("below", F.lit(len(self.batches)))
+        out = ids.select(_doc()).distinct()
+        touched = stored(self.postings().join(out, "doc", "left_semi").select("key").distinct(), "line-touched")
+        gone = out.withColumn("below", F.lit(len(self.batches)))
         gone = gone if self.deleted is None else self.deleted.union(gone)
         self.deleted = stored(gone.groupBy("doc").agg(F.max("below").alias("below")), "line-deleted")
-        before = self.refs
-        self._count()
-        lost = before.filter("n >= 2").select("key").join(self.refs.filter("n >= 2").select("key"), "key", "left_anti")
-        lost = lost.select(shard_of(self.shards), "key").groupBy("shard")
-
-        def removed(left: pa.Table, right: pa.Table) -> pa.Table:
-            shard = Cuckoo.unpacked(left["filter"][0].as_py())
-            for key in right["key"].to_pylist():
-                shard.remove(as_keys([key]))
-            return pa.table({"shard": left["shard"], "filter": pa.array([shard.packed()], pa.binary())})
-
-        if self.filters is not None:
-            both = self.filters.groupBy("shard").cogroup(lost)
-            whole = lambda a, b: removed(a, b) if len(a) else pa.table({"shard": a["shard"], "filter": a["filter"]})
-            self.filters = stored(both.applyInArrow(whole, "shard int, filter binary"), "line-filters")
-
-    def postings(self) -> DataFrame:
-        parts = self.batches
+        left = self.postings().join(touched, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("keeper"))
+        known = self._known(touched).select("key", F.col("n").alias("before"))
+        now = known.join(left, "key", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+        self._append(now)
+        lost = self.log[-1].filter("before >= 2 AND n < 2").select("key")
+        self.keys -= lost.count()
+        both = self.filters.groupBy("shard").cogroup(lost.select(shard_of(self.shards), "key").groupBy("shard"))
+        self.filters = stored(both.applyInArrow(without_keys, FILTERS), "line-filters")
+
+    def _live(self, parts: list[DataFrame]) -> DataFrame:
+        """Rows of tables with a column doc, one for each batch, that no deletion took out."""
         if self.deleted is not None:
-            parts = [p.join(self.deleted.filter(F.col("below") > i), "doc", "left_anti").select("key", "doc") for i, p in enumerate(parts)]
+            parts = [p.join(self.deleted.filter(F.col("below") > i), "doc", "left_anti").select(*p.columns) for i, p in enumerate(parts)]
         live = parts[0]
         for more in parts[1:]:
             live = live.union(more)
         return live
 
-    def _count(self) -> None:
-        counts = self.postings().groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-        # rows of one document in several batches count once: equal ends mean one document
-        counts = counts.filter("low < high").select("key", F.col("m").alias("n"), F.col("low").alias("keeper"))
-        self.refs = stored(counts, "line-references")
+    def postings(self) -> DataFrame:
+        return self._live(self.batches)
+
+    def _append(self, state: DataFrame) -> None:
+        state = state.withColumn("version", F.lit(len(self.log)))
+        self.log.append(stored(state.select(*COUNTS), "line-references"))
+
+    def _known(self, keys: DataFrame | None = None) -> DataFrame:
+        """The latest (key, n, keeper), of some keys or of all."""
+        parts = [p if keys is None else p.join(keys, "key", "left_semi") for p in self.log]
+        if len(parts) == 1:
+            return parts[0].select("key", "n", "keeper")
+        whole = parts[0]
+        for more in parts[1:]:
+            whole = whole.union(more)
+        last = whole.groupBy("key").agg(F.max_by(F.struct("n", "keeper"), "version").alias("last"))
+        return last.select("key", "last.n", "last.keeper")
+
+    def refs(self) -> DataFrame:
+        """The exact counts: key, n, keeper."""
+        return self._known()
 
-    def _build(self) -> None:
-        keys = self.refs.select(shard_of(self.shards), "key")
-        self.filters = stored(keys.groupBy("shard").applyInArrow(filter_of, "shard int, filter binary"), "line-filters")
+    def _built(self, keys: DataFrame) -> DataFrame:
+        dealt = keys.select(shard_of(self.shards), "key").groupBy("shard")
+        return stored(dealt.applyInArrow(filter_of, FILTERS), "line-filters")
 
     def dropped(self) -> DataFrame:
         """(doc, key): the lines each live document loses."""
+        if not self.batches:
+            return self.spark.createDataFrame([], "doc long, key binary")
         rows, size = self._passing(), self.postings().count()
         hot = max(size // HOT_SHARE, 1)
-        refs = self.refs.select(F.col("key").alias("r_key"), "n", "keeper")
+        refs = self.refs().filter("n >= 2").select(F.col("key").alias("r_key"), "n", "keeper")
         found = []
         for part, small in ((refs.filter(F.col("n") > hot), True), (refs.filter(F.col("n") <= hot), False)):
             # fewer than HOT_SHARE keys can be hot
@@ -249,10 +334,15 @@ class LineDedup:
             inside = Cuckoo.unpacked(right["filter"][0].as_py()).contains(as_keys(left["key"].to_pylist()))
             return left.select(["key", "doc"]).filter(pa.array(inside))
 
-        # a salt bounds the rows that meet a shard's filter at once
-        salts = 16
-        salted = self.postings().select(shard_of(shards), (F.crc32(F.col("doc").cast("string").cast("binary")) % salts).alias("salt"), "key", "doc")
-        copies = self.filters.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "filter")
+        # a salt bounds the rows that meet a shard's filter at once: a shard gets as many copies of its
+        # filter as its postings need; the counts are a row a shard
+        live = self.postings().select(shard_of(shards), "key", "doc")
+        salts = live.groupBy(F.col("shard").alias("s_shard")).agg(F.ceil(F.count(F.lit(1)) / TASK_POSTINGS).alias("salts"))
+        salts = F.broadcast(stored(salts, "line-salts"))
+        salted = live.join(salts, F.col("shard") == F.col("s_shard"))
+        salted = salted.select("shard", (F.crc32(F.col("doc").cast("string").cast("binary")) % F.col("salts")).alias("salt"), "key", "doc")
+        copies = self.filters.join(salts, F.col("shard") == F.col("s_shard"))
+        copies = copies.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "filter")
         both = salted.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt"))
         return both.applyInArrow(meet, "key binary, doc long")
 
@@ -297,20 +387,23 @@ def kept_text(batches):
 def dedup(docs: DataFrame, keep: tuple[str, ...] = (), shards: int | None = None) -> DataFrame:
     """Every document without the lines that a document with a smaller id holds, too.
 
-    Returns doc_id, the columns named in `keep`, n_lines, n_dropped and kept (the text). A null
-    or empty text is one empty line; rows of one id are one document for the counts and are
-    treated each; a null id counts as the last document; an empty table gives an empty result.
+    Returns doc_id, n_lines, n_dropped, kept (the text) and, with `keep`, a struct `row` of the
+    columns named, whatever their names. A null or empty text is one empty line; rows of one id are
+    one document for the counts and are treated each, so a line that repeats inside one document or
+    among rows of one id stays; a null id counts as the last document; an empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
     ledger = LineDedup(spark, shards)
     ledger.insert(docs)
     # one list for each document, no longer than its text
     drops = ledger.dropped().groupBy(F.col("doc").alias("d_doc")).agg(F.collect_list("key").alias("drops"))
-    rest = [k for k in keep if k not in ("doc_id", "text")]
-    rows = docs.select("doc_id", *rest, F.col("text").cast("string").cast("binary").alias("text"), _doc())
+    row = [F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row")] if keep else []
+    rows = docs.select("doc_id", *row, F.col("text").cast("string").cast("binary").alias("text"), _doc())
     rows = rows.join(drops.hint("shuffle_hash"), F.col("doc") == F.col("d_doc"), "left").drop("doc", "d_doc")
-    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in ("doc_id", *rest))
-    out = rows.select("doc_id", *rest, "text", "drops").mapInArrow(kept_text, f"{kinds}, n_lines long, n_dropped long, kept binary")
+    out = rows.drop("doc", "d_doc", "text", "drops")
+    schema = StructType([*out.schema.fields]).add("n_lines", "long").add("n_dropped", "long").add("kept", "binary")
+    out = rows.select(*out.columns, "text", "drops").mapInArrow(kept_text, schema)
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 

@@ -29,50 +29,75 @@ def sized(docs: DataFrame, text_col: str = "text") -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, WS + "+", -1))).cast("long")
 
 
+def summed_before(rows: DataFrame, order: list[Column], sums: tuple[str, ...], name: str) -> DataFrame:
+    """rows with, for each column of `sums`, the sum over all rows that come before in the order, as
+    b_ and the column's name. The rows are sorted by range, so each partition is a part of the order:
+    each is summed up on its own and only a row a partition goes through one window."""
+    placed = stored(rows.orderBy(*order).withColumn("w_part", F.spark_partition_id()), name)
+    parts = placed.groupBy("w_part").agg(*[F.sum(c).alias(c) for c in sums])
+    earlier = Window.orderBy("w_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("w_part").alias("p_part"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"p_{c}") for c in sums])
+    own = Window.partitionBy("w_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    both = placed.join(F.broadcast(parts), F.col("w_part") == F.col("p_part"))  # a row a partition
+    both = both.withColumns({f"b_{c}": F.col(f"p_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0)) for c in sums})
+    return both.drop("w_part", "p_part", *[f"p_{c}" for c in sums])
+
+
 def water_filling(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """sources: (source, source_size long). Adds weight (1, 2, 3 repeating in code-point
-    order, null last) and target double. One row per source goes through the one ordered
-    window, rows of documents never do."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    s = sources.withColumn("weight", ((F.row_number().over(order) - 1) % 3 + 1).cast("long"))
-    s = s.withColumn("cap", F.col("source_size") * max_epochs)
-    fill = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before, everything = fill.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    weights = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    s = s.withColumns({"left_words": left, "left_weight": weights})
-    level = F.col("left_words") / F.col("left_weight")
-    s = s.withColumn("level", F.when(F.col("cap") >= level * F.col("weight"), level))
-    first = F.first("level", ignorenulls=True).over(fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    s = s.withColumn("level", first)
-    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level"))
+    """sources: (source, source_size long), each source once. Adds weight (1, 2, 3 repeating in
+    code-point order, null last) and target double. However many sources there are, no task holds
+    them all."""
+    by_name = [F.col("source").asc_nulls_last()]
+    s = summed_before(sources.withColumn("one", F.lit(1).cast("long")), by_name, ("one",), "mix-order")
+    s = s.withColumn("weight", F.col("b_one") % 3 + 1).withColumn("cap", F.col("source_size") * max_epochs).drop("one", "b_one")
+    s = summed_before(s, [(F.col("cap") / F.col("weight")).asc(), *by_name], ("cap", "weight"), "mix-fill")
+    whole = s.agg(F.sum("source_size").alias("t_size"), F.sum("weight").alias("t_weight"))
+    s = s.join(F.broadcast(whole)).withColumn("level", (F.col("t_size") - F.col("b_cap")) / (F.col("t_weight") - F.col("b_weight")))
+    # the first source in the order of filling that does not fill up has the level; sources tied there share it
+    level = s.filter(F.col("cap") >= F.col("level") * F.col("weight"))
+    level = level.agg(F.min_by("level", F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")).alias("w_level"))
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.col("w_level"))
+    s = s.join(F.broadcast(level))  # one row
     return s.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+#: Documents of a source that one task puts in order, about.
+EDGE_ROWS = 4096
+
+
 def mix(
     docs: DataFrame,
     max_epochs: int = MAX_EPOCHS,
     seed: str = SEED,
-    hash_digits: int = 3,
+    hash_digits: int | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per document doc_id, source, size, source_size, target and taken (words, repeats
-    counted); `keep` names further columns of docs to carry.
+    """Per document doc_id, source, size, source_size, target and taken (words, repeats counted) and,
+    with `keep`, a struct `row` of the columns of docs named, whatever their names.
 
     A null text has size 0; a null source is a source of its own, the last; repeated rows
-    are documents each; equal ids are told apart by size; an empty table gives an empty
-    result. taken never exceeds max_epochs * size, and the taken words of a source are its
-    target rounded down. hash_digits hexadecimal digits of the document's seeded hash split
-    each source into 16 ** hash_digits groups; only the group at the edge is ordered.
+    are documents each; equal ids are told apart by size; null ids by a hash of the text; an empty
+    table gives an empty result. taken never exceeds max_epochs * size, and the taken words of a
+    source are its target rounded down. hash_digits hexadecimal digits of the document's seeded hash
+    split each source into groups; only the group at the edge is ordered. Without it there are so
+    many that a group has about EDGE_ROWS documents at most. The result does not depend on them.
     """
+    row = [F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row")] if keep else []
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text_or_empty())))
     rows = docs.select(
         F.col("doc_id"),
         F.col("source").cast("string").alias("source"),
         sized(docs).alias("size"),
-        *[F.col(k) for k in keep if k not in ("doc_id", "source")],
+        F.md5(F.concat_ws(":", F.lit(seed), name)).alias("h"),
+        *row,
     )
-    rows = rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
-    rows = stored(rows.withColumn("b", F.substring("h", 1, hash_digits)), "mix-sizes")
+    rows = stored(rows, "mix-sizes")
+    if hash_digits is None:
+        most = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        hash_digits = 1
+        while hash_digits < 32 and most > EDGE_ROWS * 16**hash_digits:
+            hash_digits += 1
+    rows = rows.withColumn("b", F.substring("h", 1, hash_digits))
     groups = stored(rows.groupBy("source", "b").agg(F.sum("size").alias("b_size")), "mix-groups")
     plan = water_filling(groups.groupBy("source").agg(F.sum("b_size").alias("source_size")), max_epochs)
     words = F.floor("target")
@@ -106,8 +131,7 @@ def mix(
     outside = outside.withColumn("more", F.when(F.col("b") <= F.col("last_b"), F.col("size")).otherwise(F.lit(0)))
     out = outside.unionByName(inside)
     taken = F.col("whole") * F.col("size") + F.col("more")
-    rest = [k for k in keep if k not in ("doc_id", "source")]
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *rest)
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["row"] if keep else []))
 
 
 def report(mixed: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def op5() -> str:
 def op6() -> str:
     return f"""
     WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '{WS}+'), lambda x: x <> ''))::BIGINT AS size,
-      md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+      md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS h FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
     w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, source_size * {mixing.MAX_EPOCHS} AS cap FROM s),
     f AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0) AS lw, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS lg,

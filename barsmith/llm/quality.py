@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, text_or_empty, ws_words
+from .common import WS_CHARS, text_or_empty, unused, ws_words
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -139,9 +139,10 @@ def judge(
 def kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs, all columns, that the rules keep. The row number keeps the optimizer
     from moving the filter below the projections, where it would hold every measure many times."""
-    judged = judge(docs.withColumn("_row", F.struct(*docs.columns)), rules, carry="_row")
-    judged = judged.withColumn("_at", F.monotonically_increasing_id())
-    return judged.filter(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")
+    row = unused(docs, "row")
+    judged = judge(docs.withColumn(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), rules, carry=row)
+    judged = judged.withColumnRenamed(row, "the row").withColumn("at", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("at") >= 0)).select(*[F.col(f"`the row`.`{c}`") for c in docs.columns])
 
 
 def report(judged: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def clashing(df):
     """The same table with columns that operators might use themselves."""
     from pyspark.sql import functions as F
 
-    names = "blob found words lines key doc n h b size taken target fp component_id drops kept rank v length bucket spans seen base _row _at grams held_out".split()
+    names = "blob found words lines key doc n h b size taken target fp component_id drops kept rank v length bucket spans seen base _row _at grams held_out f_blob l_blob scanned batches row rows gone d_doc cut node sig keys part before version source_size weight level shard filter spot piece start offset at".split()
     return df.withColumns({n: F.lit("clash") for n in names})
 
 
@@ -125,3 +125,29 @@ def repeat_words(words: list[str]) -> int:
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     n = Counter(grams)
     return len({i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(3)})
+
+
+def shingles(text):
+    """The 5-word shingles of a text."""
+    w = WORD.findall(ascii_lower(text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def near_components(docs):
+    """Smallest id that links of similarity 0.8 reach, for each row."""
+    sets = [shingles(t) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    low: dict = {}
+    for i, (d, _) in enumerate(docs):
+        low.setdefault(find(i), []).append(d)
+    return [min((d for d in low[find(i)] if d is not None), default=None) for i in range(len(docs))]

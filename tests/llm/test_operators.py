@@ -168,9 +168,59 @@ def test_line_dedup_is_reversible(spark):
     assert not any(f["filter"].strip(b"\0") for f in ledger.filters.collect())  # all fingerprints are gone
 
 
+def test_line_dedup_counts_documents(spark):
+    """Deletion first, repeated ids, updates of live documents and growth of the filters."""
+    make = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    empty = linededup.LineDedup(spark)
+    empty.delete(make([(1, "")]).select("doc_id"))
+    assert empty.dropped().count() == 0
+    rng = random.Random(9)
+    ledger, live = linededup.LineDedup(spark), {}
+    for step in range(4):
+        batch = [(rng.randrange(12), "\n".join(f"a line with number {rng.randrange(25)}" for _ in range(6))) for _ in range(5)]
+        ledger.insert(make(batch))
+        for d, t in batch:
+            live.setdefault(d, set()).update(t.split("\n"))
+        gone = rng.sample(range(14), 3)
+        ledger.delete(make([(d, "") for d in gone]).select("doc_id"))
+        live = {d: t for d, t in live.items() if d not in gone}
+        holders: dict = {}
+        for d, lines in live.items():
+            for x in lines:
+                holders.setdefault(linededup.key_of(x.encode()), set()).add(d)
+        refs = {bytes(r["key"]): (r["n"], r["keeper"]) for r in ledger.refs().filter("n > 0").collect()}
+        assert refs == {k: (len(h), min(h)) for k, h in holders.items()}
+        got = {(r["doc"], bytes(r["key"])) for r in ledger.dropped().collect()}
+        assert got == {(d, k) for k, h in holders.items() for d in h if d != min(h)}
+        assert ledger.keys == sum(len(h) > 1 for h in holders.values())
+
+
+def test_line_filters_grow(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 40)
+    make = lambda lo, hi: spark.createDataFrame([(d, "\n".join(f"a shared line with number {i}" for i in range(lo, hi))) for d in (2 * lo, 2 * lo + 1)], "doc_id long, text string")
+    ledger = linededup.LineDedup(spark)
+    for lo, hi in ((0, 10), (10, 300), (300, 1500)):
+        ledger.insert(make(lo, hi))
+        assert ledger.shards >= ledger.keys / 40 and ledger.dropped().count() == hi
+    fixed = linededup.LineDedup(spark, shards=2)  # shards that overflow are built anew
+    for lo, hi in ((0, 10), (10, 300), (300, 1500)):
+        fixed.insert(make(lo, hi))
+        assert fixed.shards == 2 and fixed.dropped().count() == hi
+
+
+def test_carried_columns(spark, docs):
+    """Columns to keep come along whatever their names."""
+    wide = clashing(docs)
+    for run in (lambda: linededup.dedup(wide, keep=tuple(wide.columns)), lambda: mixing.mix(wide, keep=tuple(wide.columns))):
+        got = run().select("row.*")
+        assert got.columns == wide.columns and got.select("h", "b", "doc", "size").distinct().collect() == [("clash",) * 4]
+        assert rows(got, "doc_id", "text") == rows(wide, "doc_id", "text")
+
+
 def test_line_dedup_by_shuffle(spark, docs, monkeypatch):
     want = rows(linededup.dedup(docs), "doc_id", "n_dropped")
     monkeypatch.setattr(linededup, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(linededup, "TASK_POSTINGS", 3)
     assert rows(linededup.dedup(docs, shards=3), "doc_id", "n_dropped") == want
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import pytest
-from helpers import SCHEMA, WORD, components, documents, fingerprint, line_dedup, repeat_words
+from helpers import SCHEMA, WORD, clashing, documents, line_dedup, near_components, repeat_words
 from pyspark.sql import functions as F
 
 from barsmith.llm import mixing, packing, quality
@@ -71,7 +71,7 @@ def test_line_stage(tables):
 def test_near_stage(tables):
     _, out = tables
     before = listed(out[2])
-    lowest = components([(r[0], fingerprint(r[1])) for r in before])
+    lowest = near_components([(r[0], r[1]) for r in before])
     want = [r for r, low in zip(before, lowest, strict=True) if r[0] is None or r[0] == low]
     assert sorted(listed(out[3]), key=repr) == sorted(want, key=repr)
     assert 701 not in {r[0] for r in want}  # of the emptied copies the first stays
@@ -88,6 +88,16 @@ def test_mixing_stage(tables):
     assert words == {k: t for k, (_, t) in taken.items() if t}
 
 
+def test_stages_with_clashing_columns(spark, tables):
+    """Further columns of any name change nothing and come along."""
+    folder, out = tables
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        got = stage(spark, clashing(out[i]), folder)
+        assert got.columns == clashing(out[i]).columns
+        assert sorted(listed(got), key=repr) == sorted(listed(out[i + 1]), key=repr)
+        assert got.select("gone", "words", "size").distinct().collect() == [("clash",) * 3]
+
+
 def test_packing_stage_and_run(spark, tables):
     folder, out = tables
     last = out[5].collect()
