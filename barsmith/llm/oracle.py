@@ -52,7 +52,7 @@ WS = "[\\x20\\x09-\\x0D]"
 
 
 def op3() -> str:
-    stop = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+    stop = ", ".join(f"'{w}'" for w in quality.STOP_FORMS)
     rules = " OR ".join(f"(({r.measure}) {r.comparison} {r.bound:g})" for r in quality.RULES)
     base = " OR ".join(f"(({r.measure}) {r.comparison} {r.bound:g})" for r in quality.BASE_RULES)
     return f"""
@@ -68,7 +68,8 @@ def op3() -> str:
       length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
       (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_text_lines,
       coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-      len(list_filter(list_distinct(words), lambda x: x IN ({stop}))) AS n_stop_words
+      len(list_filter(list_distinct(words), lambda x: x IN ({stop}))) AS n_stop_words,
+      length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_ascii_letters
       FROM w LEFT JOIN r USING (rid)),
     b AS (SELECT *, ({base}) AS base_failed FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -79,25 +80,32 @@ def op4() -> str:
     other = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     split = lambda t: f"list_filter(string_split_regex({t}, '{other}'), lambda x: x <> '')"
-    bases, n = [], {}
+    bases = []
     for phrase, label in licenses.PHRASES.items():
         words = phrase.split()
         same = " AND ".join(f"words[i + {k}] = '{x}'" for k, x in enumerate(words))
         bases.append(f"SELECT rid, i - 1 AS pos, '{label}' AS label FROM p WHERE {same}")
-    sets = []
+    tokens, rules = [], []
     for label, text in licenses.TEMPLATES.items():
-        tokens = sorted(set(text.split()))
-        n[label] = math.ceil(licenses.THRESHOLD * len(tokens) - 1e-9)
-        listed = "[" + ", ".join(f"'{t}'" for t in tokens) + "]"
-        sets.append(f"SELECT rid, '{label}' AS label, len(list_intersect({listed}, words)) / {len(tokens)} AS score FROM l WHERE len(list_intersect({listed}, words)) >= {n[label]}")
+        own = sorted(set(text.split()))
+        need, span = math.ceil(licenses.THRESHOLD * len(own) - 1e-9), math.ceil(len(text.split()) / licenses.THRESHOLD - 1e-9)
+        tokens += [f"('{label}', '{t}')" for t in own]
+        rules.append(f"('{label}', {len(own)}, {need}, {span})")
     return f"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {lower} AS text FROM documents),
     w AS (SELECT rid, doc_id, {split("text")} AS words FROM d),
     p AS (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM w),
     b AS ({" UNION ALL ".join(bases)}),
     bs AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list_distinct(list(label))) AS base FROM b GROUP BY rid),
-    l AS (SELECT rid, {split("line")} AS words FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
-    m AS ({" UNION ALL ".join(sets)}),
+    t(label, token) AS (VALUES {", ".join(tokens)}),
+    k(label, size, need, span) AS (VALUES {", ".join(rules)}),
+    l AS (SELECT rid, j, unnest({split("part")}) AS w FROM (SELECT rid, unnest(range(1, len(parts) + 1)) AS j, unnest(parts) AS part
+      FROM (SELECT rid, string_split_regex(text, '\n[\x20\x09\x0B-\x0D]*\n') AS parts FROM d))),
+    h AS (SELECT rid, label, i, words[i] AS w FROM p JOIN t ON words[i] = token),
+    c AS (SELECT rid, label, count(DISTINCT w) AS n FROM l JOIN t ON w = token GROUP BY rid, label, j
+      UNION ALL SELECT a.rid, a.label, count(DISTINCT b.w) FROM h a JOIN k USING (label) JOIN h b ON a.rid = b.rid AND a.label = b.label AND b.i BETWEEN a.i AND a.i + span - 1
+      GROUP BY a.rid, a.label, a.i),
+    m AS (SELECT rid, label, max(n) / any_value(size) AS score FROM c JOIN k USING (label) WHERE n >= need GROUP BY rid, label),
     ms AS (SELECT rid, list(label) AS more, max(score) AS score FROM m GROUP BY rid)
     SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
       coalesce(array_to_string(base, ','), '') AS base_labels,

@@ -2,11 +2,17 @@
 
 Documents become token ids and an end id; longer ones than a sequence are cut. What decides is
 the histogram of piece lengths, at most `capacity` numbers whatever the input. On the driver a
-configuration linear program over it is solved by multiplicative weights: lengths have prices,
-a knapsack dynamic program finds the most valuable filling of a sequence, that configuration
-gets its share, and the prices of what it covers fall. The fractional solution is rounded down
-without overshooting any length, and what is left is placed best fit, longest first, on the
-histogram too. The plan says, for each length, which ranks go to which sequences and offsets.
+configuration linear program over it is solved by multiplicative weights: lengths have prices, a
+knapsack dynamic program finds for each length the most valuable filling of a sequence that holds
+it, and the prices of lengths that these fillings cover too often fall. Prices also bound the program
+from below: no packing has fewer sequences than their value over that of the best filling.
+
+The program is rounded in passes: a pass prices the pieces that are left, and of each length's best
+filling, dearest lengths first, as many whole sequences are closed as half of its scarcest length
+allows, if little of a sequence stays empty; the prices of lengths that fall behind rise. Late passes
+close fillings that lack a piece with the longest pieces that fit, and accept a little more empty
+room. What is left is placed best fit, longest first; if best fit alone were better, it is
+taken. The plan says, for each length, which ranks go to which sequences and offsets.
 
 Pieces get their rank within their length from a two-level count (length and hash bucket), so
 a length that a third of all pieces share is spread over many tasks.
@@ -29,7 +35,10 @@ from .common import partitions, sliced, stored
 
 CAPACITY = 2048
 END = 0
-ROUNDS = 150
+#: Rounds of the program and passes of its rounding, of which the first EXACT take fillings as they are.
+ROUNDS, PASSES, EXACT = 40, 80, 8
+#: The part of a sequence that the last pass lets stay empty.
+EMPTY = 0.05
 #: Fixed value: the split pattern of this byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = "<|endoftext|>"
@@ -50,10 +59,10 @@ def byte_of() -> dict[str, int]:
 
 
 def encoder(vocabulary: str):
-    """Text to ids. The vocabulary file's merges are in id order, so its ids are merge ranks and
-    a rank-based encoder gives the file's own ids, several times faster; texts with the special
-    token's string, which the file's tokenizer reads as that token, or with a very long run of
-    white space go to that tokenizer."""
+    """Text to ids. If the vocabulary file's merges are in id order, which is checked, its ids are
+    merge ranks and a rank-based encoder gives the file's own ids, several times faster; texts with
+    the special token's string, which the file's tokenizer reads as that token, or with a very long
+    run of white space go to that tokenizer, and so does every text if the order is another."""
     long_space = re.compile(rf"\s{{{LONG_SPACE}}}").search
     if vocabulary not in _encoders:
         import tiktoken
@@ -61,15 +70,17 @@ def encoder(vocabulary: str):
 
         path = public_tokenizers.path(vocabulary)
         with open(path, encoding="utf-8") as f:
-            words = json.load(f)["model"]["vocab"]
-        letters = byte_of()
+            model = json.load(f)["model"]
+        words, letters = model["vocab"], byte_of()
+        merged = [words["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        in_order = all(x < y for x, y in zip(merged, merged[1:], strict=False))
         ranks = {bytes(letters[c] for c in w): i for w, i in words.items() if w != SPECIAL}
         fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         # loaded by the first text that needs it, for workers keep what they load
         whole = functools.cache(lambda: Tokenizer.from_file(path))
 
         def encode(text: str) -> list[int]:
-            if SPECIAL in text or len(text) >= LONG_SPACE and long_space(text):
+            if not in_order or SPECIAL in text or len(text) >= LONG_SPACE and long_space(text):
                 return whole().encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
@@ -108,50 +119,88 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECES}")
 
 
-def priced(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack dynamic program: the most valuable multiset of lengths in one sequence."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    reach = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        m = reach[c]
-        best[c] = best[c - 1]
-        if m:
-            value = best[c - lengths[:m]] + prices[:m]
-            i = int(value.argmax())
-            if value[i] > best[c]:
-                best[c], last[c] = value[i], i
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            n = int(lengths[last[c]])
-            out[n] = out.get(n, 0) + 1
-            c -= n
-    return out
+class Knapsack:
+    """The most valuable filling of every room up to a capacity, by dynamic programming; lengths
+    ascending, as often as they fit."""
 
-
-def fractional(histogram: dict[int, int], capacity: int, rounds: int) -> list[tuple[dict[int, int], float]]:
-    """Configurations with fractional uses, by multiplicative weights: a length's price falls
-    with the share of its pieces that the configurations so far cover."""
-    lengths = np.array(sorted(histogram), np.int64)
-    need = np.array([histogram[n] for n in lengths], float)
-    volume = float(lengths @ need) / capacity
-    step = volume / rounds
-    covered, uses = np.zeros(len(need)), {}
+    def __init__(self, lengths: np.ndarray, prices: np.ndarray, capacity: int):
+        self.lengths = lengths
+        self.best, self.last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        reach = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
+        for c in range(int(lengths[0]), capacity + 1):
+            value = self.best[c - lengths[: reach[c]]] + prices[: reach[c]]
+            i = int(value.argmax())
+            if value[i] > self.best[c - 1]:
+                self.best[c], self.last[c] = value[i], i
+            else:
+                self.best[c] = self.best[c - 1]
+
+    def filling(self, first: int) -> dict[int, int]:
+        """The best filling that holds a piece of length `first`."""
+        out, c = {first: 1}, len(self.best) - 1 - first
+        while c > 0:
+            if self.last[c] < 0:
+                c -= 1
+            else:
+                n = int(self.lengths[self.last[c]])
+                out[n] = out.get(n, 0) + 1
+                c -= n
+        return out
+
+
+def relaxed(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
+    """The best lower bound on the sequences that the configuration program gave, and its prices."""
     at = {int(n): i for i, n in enumerate(lengths)}
+    bound, found, weights = 0.0, lengths / capacity, np.zeros(len(lengths))
     for r in range(rounds):
-        behind = (r + 1) / rounds - covered / need
-        prices = lengths * np.exp(np.clip(4.0 * behind, -30, 30))
-        config = priced(lengths, prices, capacity)
-        key = tuple(sorted(config.items()))
-        room = min(max(need[at[n]] - covered[at[n]], 0) / k for n, k in key)
-        use = min(step, room) if room > 0 else 0.0
-        uses[key] = uses.get(key, 0.0) + use
-        for n, k in key:
-            covered[at[n]] += k * max(use, step * 1e-3)
-    return [(dict(key), use) for key, use in uses.items() if use > 0]
+        prices = lengths / capacity * np.exp(weights)
+        knapsack = Knapsack(lengths, prices, capacity)
+        value = float(need @ prices) / knapsack.best[capacity]
+        if value > bound:
+            bound, found = value, prices
+        covered = np.zeros(len(lengths))
+        for i, n in enumerate(lengths.tolist()):
+            filling = knapsack.filling(n)
+            for m, k in filling.items():
+                covered[at[m]] += k * need[i] / filling[n]
+        ratio = covered / need * (lengths @ need) / (lengths @ covered)
+        weights -= 0.025 / np.sqrt(r + 1) * np.log(np.maximum(ratio, 1e-3))
+    return bound, found
+
+
+def rounded(lengths: np.ndarray, need: np.ndarray, prices: np.ndarray, capacity: int, passes: int = PASSES) -> tuple[list, dict[int, int]]:
+    """Whole uses of configurations, and the histogram of what they leave."""
+    at = {int(n): i for i, n in enumerate(lengths)}
+    left, weights, out = need.astype(np.int64), np.log(prices * capacity / lengths), []
+    for r in range(passes):
+        live = np.flatnonzero(left)
+        if not len(live):
+            break
+        knapsack = Knapsack(lengths[live], lengths[live] / capacity * np.exp(weights[live]), capacity)
+        empty = EMPTY * capacity * (r / passes) ** 2
+        for i in live[np.argsort(-weights[live] - 1e-9 * lengths[live], kind="stable")].tolist():
+            if not left[i]:
+                continue
+            filling = {m: min(k, int(left[at[m]])) for m, k in knapsack.filling(int(lengths[i])).items() if left[at[m]]}
+            room = capacity - sum(m * k for m, k in filling.items())
+            j = int(np.searchsorted(lengths, room, "right")) - 1 if room > empty and r >= EXACT else -1
+            while j >= 0 and room:
+                n = int(lengths[j])
+                k = min(room // n, int(left[j]) - filling.get(n, 0))
+                if k > 0:
+                    filling[n] = filling.get(n, 0) + k
+                    room -= k * n
+                j = min(j, int(np.searchsorted(lengths, room, "right"))) - 1
+            if room > empty:
+                continue
+            times = min(int(left[at[m]]) // k for m, k in filling.items())
+            times = max(1, times // 2) if 2 * r < passes else times
+            for m, k in filling.items():
+                left[at[m]] -= k * times
+            out.append((filling, times))
+        behind = left / need
+        weights = weights + 0.02 * (behind - behind.mean())
+    return out, {int(n): int(c) for n, c in zip(lengths, left, strict=True) if c}
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -188,17 +237,24 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, i
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+def bound(histogram: dict[int, int], capacity: int = CAPACITY) -> float:
+    """A number of sequences that no packing can do without."""
+    lengths = np.array(sorted(n for n, c in histogram.items() if c > 0 and n < capacity), np.int64)
+    need = np.array([histogram[int(n)] for n in lengths], float)
+    return histogram.get(capacity, 0) + (relaxed(lengths, need, capacity)[0] if len(lengths) else 0.0)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """Configurations with whole uses that cover the histogram exactly."""
-    left = {n: c for n, c in histogram.items() if c > 0 and n < capacity}
-    out = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
-    for config, use in sorted(fractional(left, capacity, rounds), key=lambda x: -x[1]) if left else []:
-        times = min(int(use), *(left[n] // k for n, k in config.items()))
-        if times > 0:
-            out.append((config, times))
-            for n, k in config.items():
-                left[n] -= k * times
-    return out + best_fit({n: c for n, c in left.items() if c}, capacity)
+    whole = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
+    parts = {n: c for n, c in histogram.items() if c > 0 and n < capacity}
+    if not parts:
+        return whole
+    lengths = np.array(sorted(parts), np.int64)
+    need = np.array([parts[int(n)] for n in lengths], float)
+    closed, left = rounded(lengths, need, relaxed(lengths, need, capacity)[1], capacity)
+    planned, plain = closed + best_fit(left, capacity), best_fit(parts, capacity)
+    return whole + min(planned, plain, key=lambda configs: sum(times for _, times in configs))
 
 
 def layout(configs: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
@@ -222,7 +278,8 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int =
     """Per piece doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
     A null text is empty and packs as its end id alone. Rows with equal or null ids are packed
-    each; an empty table gives an empty result; other columns are not read.
+    each; pieces of one length are interchangeable, and ties among them go by a hash, the id and the
+    place; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     rows = stored(pieces(docs, vocabulary, capacity), "packing-pieces")

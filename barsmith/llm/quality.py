@@ -7,6 +7,7 @@ bound); the table is data, and `compiled` turns it into the one Boolean column.
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,13 +15,19 @@ from pyspark.sql import functions as F
 
 from .common import WS_CHARS, text_or_empty, unused, ws_words
 
-#: Frequent function words of English, French, German and Spanish.
+#: Frequent function words of languages in Latin letters: English, French, German and
+#: Spanish, then a few each of Italian, Portuguese, Dutch, Swedish, Danish, Polish, Czech, Finnish,
+#: Turkish, Romanian, Hungarian, Indonesian and Vietnamese.
 STOP_WORDS = (
     "the of and to in is that it for on as with by this be are was or an at from "
     "le la les de des et en un une que qui dans pour sur est au du par "
     "der die das und zu den von mit ist im ein eine nicht auf dem "
-    "el los las y del se por con una para su al lo como"
+    "el los las y del se por con una para su al lo como "
+    "il di che non per della e sono o em uma os do da het van een niet dat voor och att som det inte på "
+    "og på til af w nie na i jest że a v je ja ei ovat oli ve bir bu için și cu nu az és egy hogy yang dan di ini và của là"
 ).split()
+#: A word as texts have it: small, with a capital, all capitals.
+STOP_FORMS = tuple(sorted({form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())}))
 SYMBOLS = "#*$%&|<>"
 
 
@@ -44,8 +51,10 @@ RULES = (
     Rule("short_words", "100 * word_chars - 250 * n_words", "<", 0),
     Rule("long_words", "100 * word_chars - 1500 * n_words", ">", 0),
     Rule("symbols", "100 * n_symbols - 10 * n_words", ">", 0),
-    Rule("repeated_lines", "100 * n_dup_lines - 30 * n_text_lines", ">", 0),
-    Rule("no_stop_words", "n_stop_words", "<", 2),
+    # a text of few lines may repeat one
+    Rule("repeated_lines", "CASE WHEN n_dup_lines >= 3 THEN 100 * n_dup_lines - 30 * n_text_lines ELSE 0 END", ">", 0),
+    # the list speaks for texts in plain Latin letters only
+    Rule("no_stop_words", "CASE WHEN 2 * n_ascii_letters > word_chars THEN n_stop_words ELSE 2 END", "<", 2),
 )
 
 
@@ -96,7 +105,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         F.transform(F.slice("words", 1, n - 2), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))),
     ).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
-    stop = F.array_intersect(F.array(*map(F.lit, STOP_WORDS)), F.col("words"))
+    ascii_letters = string.ascii_letters
+    stop = F.array_intersect(F.array(*map(F.lit, STOP_FORMS)), F.col("words"))
     # equal windows have equal hashes: all hashes distinct proves that no window repeats
     df = df.withColumns({"hashes": hashes, "lines": lines})
     unlike = F.size(F.array_distinct("hashes")) == F.size("hashes")
@@ -113,6 +123,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         repeat_words(F.col("grams")).alias("n_repeat_words"),
         long(F.size(stop)).alias("n_stop_words"),
+        long(F.length("text") - F.length(F.translate("text", ascii_letters, ""))).alias("n_ascii_letters"),
         *more,
     )
 
@@ -128,7 +139,8 @@ def judge(
 
     Null or empty text has no word, fails the length rule and is not kept. A null id stays
     null, repeated rows are judged each, and an empty table gives an empty result. Columns
-    of docs other than id and text are not read, whatever their names.
+    of docs other than id and text are not read, whatever their names. No rule compares
+    documents, so ties do not arise; equal lines all but the first are repeats.
     """
     df = measured(docs, id_col, text_col, carry).drop("text")
     return df.withColumn("base_failed", failed(BASE_RULES)).withColumn(

@@ -129,6 +129,19 @@ def test_quality(docs, plain):
     assert not [x for x in quality.judge(docs).collect() if x["base_failed"] and x["kept"]]
 
 
+def test_clean_texts_of_other_languages_stay(spark):
+    """Other scripts, other languages, capitals, and a short text that repeats a line."""
+    texts = [
+        "В тот день море было спокойным и никто не думал о буре потому что было много работы " * 1 + " ".join(f"слово{i}ы" for i in range(60)),
+        "Tego dnia morze było spokojne i nikt nie myślał o burzy, że jest to dużo pracy " + " ".join(f"słowo{i}a" for i in range(60)),
+        "THE SEA WAS CALM THAT DAY AND NOBODY THOUGHT OF THE STORM " + " ".join(f"WORD{i}X" for i in range(60)),
+        "a line\nthe sea and the sky " + " ".join(f"word{i}x" for i in range(60)) + "\na line",
+        " ".join(f"xq{i}z" for i in range(80)),
+    ]
+    df = spark.createDataFrame([(i, t, "x", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"] for r in quality.kept(df).collect()} == {0, 1, 2, 3}
+
+
 def test_licenses(docs, plain):
     got = rows(licenses.scan(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels")
     sets = licenses.tokens_of(licenses.TEMPLATES)
@@ -508,9 +521,34 @@ def test_plan_covers_and_is_tight(seed):
             total[n_] = total.get(n_, 0) + k * times
     assert total == histogram
     assert sum(t for _, t in configs) <= -(-int(lengths.sum()) // 2048) * 1.01 + 1
+    assert packing.bound(histogram) <= sum(t for _, t in configs)
     assert packing.plan({}) == [] and packing.plan({2048: 3}) == [({2048: 1}, 3)]
 
 
+@pytest.mark.parametrize(("triplets", "slack"), [(100, 0.03), (2000, 0.02), (20000, 0.01)])
+def test_plan_of_triplets(triplets, slack):
+    """Sequences of just three pieces, which best fit alone leaves an eighth above the optimum."""
+    rng = np.random.default_rng(triplets)
+    histogram: dict = {}
+    for _ in range(triplets):
+        a = b = c = 0
+        while not 512 < c < 1024:
+            a, b = rng.integers(513, 1024, 2)
+            c = 2048 - a - b
+        for n in (a, b, c):
+            histogram[int(n)] = histogram.get(int(n), 0) + 1
+    configs = packing.plan(histogram)
+    total: dict = {}
+    for config, times in configs:
+        assert sum(n * k for n, k in config.items()) <= 2048 and times > 0
+        for n, k in config.items():
+            total[n] = total.get(n, 0) + k * times
+    assert total == histogram
+    assert triplets - 1e-6 <= packing.bound(histogram) + 1e-3 <= triplets + 1
+    assert sum(t for _, t in configs) <= triplets * (1 + slack)
+    assert sum(t for _, t in packing.best_fit(histogram, 2048)) > triplets * 1.1
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id")

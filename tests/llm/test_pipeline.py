@@ -48,8 +48,8 @@ def fails(text):
         100 * chars < 250 * len(w)
         or 100 * chars > 1500 * len(w)
         or 100 * symbols > 10 * len(w)
-        or 100 * (len(lines) - len(set(lines))) > 30 * len(lines)
-        or len(set(w) & set(quality.STOP_WORDS)) < 2
+        or (len(lines) - len(set(lines)) >= 3 and 100 * (len(lines) - len(set(lines))) > 30 * len(lines))
+        or (2 * sum(c.isascii() and c.isalpha() for c in t) > chars and len({x for x in w if x in quality.STOP_FORMS}) < 2)
     )
 
 
