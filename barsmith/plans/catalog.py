@@ -14,6 +14,7 @@ from barsmith.functions.features import ret as B_ret
 from barsmith.operators.formula_ops import OPERATORS
 from barsmith.plans import evaluate, formulas, prefix, quality, reports, risk, search
 from barsmith.sources import bars as B
+from barsmith.sources.storage import stored
 from barsmith.sql import panels as P
 from barsmith.sql.duck import Duck
 from barsmith.streaming import live
@@ -161,9 +162,11 @@ QUERIES["formula_trace"], SQL["formula_trace"] = formula_trace, _trace_sql
 # ---- evaluation of candidates
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of the panel, found once however often a query reads them."""
     b = Engine(B.day_panel(spark, sf_dir))
-    return evaluate.candidates(b.frame(**evaluate.columns(b)))
+    wide = b.frame(**evaluate.columns(b)).select("symbol", "bar_idx", "y", "bars", *[f"f_{n.lower()}" for n in evaluate.NAMES])
+    return stored(wide, "evaluation")
 
 
 def _candidate_ctes() -> str:
@@ -172,7 +175,7 @@ def _candidate_ctes() -> str:
 
 
 def evaluation_query(rep: reports.Report) -> None:
-    QUERIES[rep.name] = lambda spark, sf_dir: rep.run(spark, _candidates(spark, sf_dir))
+    QUERIES[rep.name] = lambda spark, sf_dir: rep.run(spark, evaluate.candidates(_wide(spark, sf_dir)))
     more = f", {rep.ctes}" if rep.ctes else ""
     SQL[rep.name] = lambda: f"WITH {_candidate_ctes()}{more} {rep.select}".replace("{pnl}", "cand")
 
@@ -182,28 +185,77 @@ for _r in evaluate.EVALUATIONS.values():
 
 
 def eval_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.mutual_information(_candidates(spark, sf_dir)).select("name", rounded("mi"))
+    return evaluate.mutual_information(evaluate.candidates(_wide(spark, sf_dir))).select("name", rounded("mi"))
 
 
-def eval_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cand = _candidates(spark, sf_dir)
+def eval_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.correlations(_wide(spark, sf_dir)).select("one", "two", rounded("correlation"))
+
+
+def _scores(spark: SparkSession, wide: DataFrame) -> DataFrame:
+    cand = evaluate.candidates(wide)
     ranks = spark.sql(f"WITH {evaluate.RANKED} SELECT name, rank_ic FROM ev".replace("{pnl}", "{cand}"), cand=cand)
-    return evaluate.scored(ranks, evaluate.mutual_information(cand)).select("name", rounded("score"))
+    flat = evaluate.EVALUATIONS["eval_degenerate"].run(spark, cand).select("name", "degenerate")
+    return evaluate.scored(flat, ranks, evaluate.mutual_information(cand))
 
 
-def eval_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+def eval_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, _wide(spark, sf_dir)).select("name", rounded("score"))
+
+
+def _pruned(spark: SparkSession, wide: DataFrame) -> list[dict]:
     """Pairs of names meet on the driver, never bars."""
-    scores = {r["name"]: r["score"] for r in eval_score(spark, sf_dir).collect()}
-    pairs = evaluate.EVALUATIONS["eval_correlations"].run(spark, _candidates(spark, sf_dir)).collect()
-    rows = evaluate.pruned(scores, {frozenset((r["one"], r["two"])): r["correlation"] for r in pairs}, 0.5)
-    return spark.createDataFrame([tuple(r.values()) for r in rows], "name string, score double, status string, pruned_in_favor_of string")
+    scores = {r["name"]: r["score"] for r in _scores(spark, wide).collect()}
+    pairs = {frozenset((r["one"], r["two"])): r["correlation"] for r in evaluate.correlations(wide).collect()}
+    return evaluate.pruned(scores, pairs, evaluate.THRESHOLD)
+
+
+PRUNED = "name string, score double, status string, pruned_in_favor_of string"
 
 
-QUERIES |= {"eval_mutual_information": eval_mutual_information, "eval_score": eval_score, "eval_prune": eval_prune}
-SQL["eval_mutual_information"] = lambda: f"WITH {_candidate_ctes()}, {evaluate.mutual_information_sql()} SELECT name, {sql_rounded('mi')} FROM mi"
-SQL["eval_score"] = lambda: f"""WITH {_candidate_ctes()}, {evaluate.mutual_information_sql()}, {evaluate.RANKED.replace("{pnl}", "cand")},
-  ra AS (SELECT name, row_number() OVER (ORDER BY abs(rank_ic), name) - 1 AS a, row_number() OVER (ORDER BY mi, name) - 1 AS m, count(*) OVER () AS n FROM ev JOIN mi USING (name))
-  SELECT name, {sql_rounded("score", "0.6::DOUBLE * (a / greatest(n - 1, 1)) + 0.4::DOUBLE * (m / greatest(n - 1, 1))")} FROM ra"""
+def eval_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pruned(spark, _wide(spark, sf_dir))
+    return spark.createDataFrame([tuple(r.values()) for r in rows], PRUNED).withColumn("score", rounded("score"))
+
+
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report on every candidate: measures, score, whether it stays and what leaving it out
+    would cost, and its place in the short list."""
+    wide = _wide(spark, sf_dir)
+    cand, rows = evaluate.candidates(wide), _pruned(spark, wide)
+    top = evaluate.active_subset(rows, most=evaluate.TOP)
+    listed = spark.createDataFrame([(*r.values(), top.index(r["name"]) + 1 if r["name"] in top else None) for r in rows], f"{PRUNED}, place int")
+    out = listed.withColumn("score", rounded("score"))
+    for name in ("eval_ic", "eval_ablation"):
+        out = out.join(evaluate.EVALUATIONS[name].run(spark, cand), "name", "left")
+    mi = evaluate.mutual_information(cand).select("name", rounded("mi"))
+    return out.join(mi, "name", "left")
+
+
+QUERIES |= {f.__name__: f for f in (eval_mutual_information, eval_correlations, eval_score, eval_prune, eval_report)}
+
+
+def _evaluation_sql(select: str, *ctes: str) -> str:
+    """SQL over the candidates; a recursion needs its keyword in front of all."""
+    more = "".join(f", {c}" for c in ctes).replace("{pnl}", "cand")
+    return f"WITH RECURSIVE {_candidate_ctes()}{more} {select}"
+
+
+_TO_SCORE = (evaluate.mutual_information_sql(), evaluate.RANKED, evaluate.SCORED_SQL)
+_TO_PRUNE = (*_TO_SCORE, evaluate.CORRELATIONS_SQL, evaluate.PRUNED_SQL)
+SQL["eval_mutual_information"] = lambda: _evaluation_sql(f"SELECT name, {sql_rounded('mi')} FROM mi", evaluate.mutual_information_sql())
+SQL["eval_correlations"] = lambda: _evaluation_sql(f"SELECT one, two, {sql_rounded('correlation')} FROM cr", evaluate.CORRELATIONS_SQL)
+SQL["eval_score"] = lambda: _evaluation_sql(f"SELECT name, {sql_rounded('score')} FROM sc", *_TO_SCORE)
+SQL["eval_prune"] = lambda: _evaluation_sql(f"SELECT name, {sql_rounded('score')}, status, pruned_in_favor_of FROM pr", *_TO_PRUNE)
+_ABLATION = evaluate.EVALUATIONS["eval_ablation"]
+SQL["eval_report"] = lambda: _evaluation_sql(
+    f"""SELECT name, {sql_rounded("pr.score", "pr.score").replace("AS pr.score", "AS score")}, status, pruned_in_favor_of, CASE WHEN place <= {evaluate.TOP} THEN place::INTEGER END AS place,
+    ic, rank_ic, ir, marginal, drop_it, {sql_rounded("mi")}
+    FROM pr LEFT JOIN (SELECT name, row_number() OVER (ORDER BY coalesce(score, '-Infinity'::DOUBLE) DESC, name) AS place FROM pr WHERE status = 'retained') USING (name)
+    LEFT JOIN (SELECT name, {reports.r6("ic", "ic")}, {reports.r6("rank_ic", "rank_ic")}, {reports.r6("ir", "ir")} FROM ev) USING (name)
+    LEFT JOIN ({_ABLATION.select}) USING (name) LEFT JOIN mi USING (name)""",
+    *_TO_PRUNE, _ABLATION.ctes,
+)
 
 # ---- raw bars: panels and checks
 
