@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -25,6 +26,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barsmith.sources.storage import stored
+
 EPS = 1e-9
 NORM_WINDOW = 200
 NORM_CLIP = 5.0
@@ -434,6 +437,7 @@ class Engine(Base):
                 df = df.select("*", *[x.e.alias(n) for n, x in plain])
             for name, (kind, source, _) in calls:
                 if kind == "constant":
+                    df = stored(df, "panel")  # read by the aggregation and by what follows
                     one = df.agg((F.stddev_samp(source) < 1e-6).alias(name))
                     df = df.join(F.broadcast(one))  # one row
             calls = [c for c in calls if c[1][0] != "constant"]
@@ -463,44 +467,106 @@ def full_window(span: int) -> int:
     return max(1, math.ceil(math.log(1e-6) / math.log(1 - 2 / (span + 1))))
 
 
-def grouped(df: DataFrame, calls: list[tuple[str, tuple]]) -> DataFrame:
-    """Adds recursive averages and rolling robust norms, one pass for each symbol."""
+def exact_average(x, span: int, last: float | None):
+    """The recursion from the value before x on, or from the first value."""
     import numpy as np
 
-    def ema(x, span):
-        a, out, last = 2 / (span + 1), np.empty(len(x)), x[0] if len(x) else 0.0
-        for t, v in enumerate(x.tolist()):
-            last = v if t == 0 else a * v + (1 - a) * last
-            out[t] = last
-        return out
+    a, out = 2 / (span + 1), np.empty(len(x))
+    for t, v in enumerate(x.tolist()):
+        last = v if last is None else a * v + (1 - a) * last
+        out[t] = last
+    return out
 
-    def fema(x, span):
-        w, a = full_window(span), 2 / (span + 1)
-        if len(x) < 2 * w:
-            return ema(x, span)
-        weights = a * (1 - a) ** np.arange(w)
-        return np.convolve(np.r_[np.full(w - 1, x[0]), x], weights, "valid")
-
-    def rn(x, w):
-        out = np.zeros(len(x))
-        half = (w - 1) // 2  # the lower of two middles
-        for lo in range(0, max(len(x) - w + 1, 0), 4096):
-            v = np.lib.stride_tricks.sliding_window_view(x[lo : lo + 4096 + w - 1], w)
-            med = np.partition(v, half, 1)[:, half]
-            mad = np.partition(np.abs(v - med[:, None]), half, 1)[:, half] + 1e-6
-            out[lo + w - 1 : lo + w - 1 + len(v)] = np.clip((v[:, -1] - med) / mad, -NORM_CLIP, NORM_CLIP)
-        return out
 
-    kinds = {"ema": ema, "fema": fema, "rn": rn}
+def robust_norm(x, w: int):
+    """Values by median and median deviation of the w up to each, from the w-th on."""
+    import numpy as np
+
+    half, parts = (w - 1) // 2, []  # the lower of two middles
+    for lo in range(0, max(len(x) - w + 1, 0), 4096):
+        v = np.lib.stride_tricks.sliding_window_view(x[lo : lo + 4096 + w - 1], w)
+        med = np.partition(v, half, 1)[:, half]
+        mad = np.partition(np.abs(v - med[:, None]), half, 1)[:, half] + 1e-6
+        parts.append(np.clip((v[:, -1] - med) / mad, -NORM_CLIP, NORM_CLIP))
+    return np.concatenate(parts) if parts else np.zeros(0)
+
 
-    def run(table):
-        import pyarrow as pa
+class Along:
+    """One recursion along a symbol that comes in pieces: it keeps the last value, or as many values
+    as a window looks back on, and gives what the whole series at once would give."""
 
-        table = table.sort_by("bar_idx")
-        for name, (kind, source, size) in calls:
-            x = np.ascontiguousarray(table[source].to_numpy(), float)
-            table = table.append_column(name, pa.array(kinds[kind](x, size), pa.float64()))
-        return table
+    def __init__(self, kind: str, size: int):
+        self.kind, self.size, self.last, self.past, self.seen = kind, size, None, None, 0
 
+    @property
+    def needs(self) -> int:
+        """Values to wait for: a features' average cuts off only on series twice its window long."""
+        return 2 * full_window(self.size) if self.kind == "fema" else 1
+
+    def feed(self, x):
+        import numpy as np
+
+        if self.kind == "fema" and self.seen == 0 and len(x) < self.needs:
+            self.kind = "ema"  # the whole series is here, and short
+        if not len(x):
+            return x
+        if self.kind == "ema":
+            out = exact_average(x, self.size, self.last)
+            self.last = out[-1]
+        else:
+            w = self.size if self.kind == "rn" else full_window(self.size)
+            if self.past is None:
+                self.past = np.zeros(0) if self.kind == "rn" else np.full(w - 1, x[0])
+            whole = np.r_[self.past, x]
+            if self.kind == "rn":
+                found = robust_norm(whole, w)
+                out = np.r_[np.zeros(len(x) - min(len(found), len(x))), found[max(len(found) - len(x), 0) :]]
+            else:
+                a = 2 / (self.size + 1)
+                out = np.convolve(whole, a * (1 - a) ** np.arange(w), "valid")
+            self.past = whole[max(len(whole) - (w - 1), 0) :]
+        self.seen += len(x)
+        return out
+
+
+def grouped(df: DataFrame, calls: list[tuple[str, tuple]]) -> DataFrame:
+    """Adds recursive averages and rolling robust norms. A symbol's bars stream through in order, a
+    batch at a time, so one with any number of bars needs the memory of a few batches. The row
+    number's window leaves the bars in that order on the exchange that windows share."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        state = [Along(kind, size) for _, (kind, _, size) in calls]
+        needs, waiting, rows, before = max(s.needs for s in state), [], 0, None
+
+        def out(parts):
+            nonlocal before
+            for table in pa.Table.from_batches(parts).combine_chunks().to_batches():
+                at = table.column("bar_idx").to_numpy()
+                if before is not None and at[0] <= before or len(at) > 1 and (np.diff(at) <= 0).any():
+                    raise ValueError("bars of a symbol came out of order")
+                before = at[-1]
+                columns = list(table.columns[:-1])
+                for (_, (_, source, _)), s in zip(calls, state, strict=True):
+                    x = np.ascontiguousarray(table.column(source).to_numpy(zero_copy_only=False), float)
+                    columns.append(pa.array(s.feed(x), pa.float64()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*table.schema.names[:-1], *[n for n, _ in calls]])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting, rows = [*waiting, batch], rows + batch.num_rows
+            if rows >= needs:
+                yield from out(waiting)
+                waiting, needs = [], 1
+                rows = 0
+        if waiting:
+            yield from out(waiting)
+
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     more = [T.StructField(name, T.DoubleType()) for name, _ in calls]
-    return df.groupBy("symbol").applyInArrow(run, T.StructType([*df.schema.fields, *more]))
+    place = F.row_number().over(W.partitionBy("symbol").orderBy("bar_idx"))
+    schema = T.StructType([*df.schema.fields, *more])
+    return df.withColumn("bar_place", place).groupBy("symbol").applyInArrow(run, schema)

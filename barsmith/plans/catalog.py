@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,6 +107,23 @@ def report_query(name: str, rep: reports.Report, only: str | None = None) -> Non
 
 for _r in reports.REPORTS.values():
     report_query(_r.name, _r)
+
+
+def score_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training and validation score of every walk-forward fold; the profit is found once."""
+    b = Engine(B.day_panel(spark, sf_dir))
+    pnl = stored(b.frame(**pnl_of(b)), "pnl")
+    parts = [r.run(spark, pnl) for r in reports.FOLD_SLICES]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _fold_sql() -> str:
+    b = Duck(P.day_panel())
+    each = " UNION ALL ".join(f"SELECT * FROM ({r.text('out')})" for r in reports.FOLD_SLICES)
+    return f"WITH {b.ctes(**pnl_of(b))} {each}"
+
+
+QUERIES["score_fold"], SQL["score_fold"] = score_fold, _fold_sql
 for _n in ("score_components", "score_modes", "score_evaluate", "stat_slice"):
     report_query(f"{_n}_n1", reports.REPORTS[_n], only="A")
 
@@ -382,13 +400,18 @@ def search_elite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.elite(search_scores(spark, sf_dir), 3)
 
 
+def _resembling() -> list[int]:
+    """Places of the pool's formulas that can run, but the candidate's own."""
+    return [i for i, text in enumerate(search.POOL) if i and formulas.executable(text.split())]
+
+
 def search_pool_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which formulas of the pool a candidate resembles too much, on the training bars."""
-    b = Engine(B.day_panel(spark, sf_dir))
+    b, others = Engine(B.day_panel(spark, sf_dir)), _resembling()
     wide = b.frame(**search.columns(b, search.POOL), bars=b.bars()).filter("bar_idx < floor(bars * 8e-1)")
-    each = [F.abs(F.corr("x0", f"x{i}")).alias(f"x{i}") for i in (1, 2, 3)]
-    kinds = ", ".join(f"'{search.POOL[i]}', x{i}" for i in (1, 2, 3))
-    long = wide.agg(*each).selectExpr(f"stack(3, {kinds}) AS (formula, c)")
+    each = [F.abs(F.corr("x0", f"x{i}")).alias(f"x{i}") for i in others]
+    kinds = ", ".join(f"'{search.POOL[i]}', x{i}" for i in others)
+    long = wide.agg(*each).selectExpr(f"stack({len(others)}, {kinds}) AS (formula, c)")
     return long.select("formula", rounded("correlation", F.col("c")), F.when(F.col("c") > 0.85, 0.8).otherwise(1.0).alias("factor"))
 
 
@@ -396,10 +419,17 @@ def _pool_sql() -> str:
     b = Duck(P.day_panel())
     cols = {**search.columns(b, search.POOL), "bars": b.bars()}
     ctes = b.ctes(**cols)
-    each = " UNION ALL ".join(f"SELECT '{search.POOL[i]}' AS formula, abs(corr(x0, x{i})) AS c FROM out WHERE bar_idx < floor(bars * 0.8)" for i in (1, 2, 3))
+    each = " UNION ALL ".join(f"SELECT '{search.POOL[i]}' AS formula, abs(corr(x0, x{i})) AS c FROM out WHERE bar_idx < floor(bars * 0.8)" for i in _resembling())
     return f"WITH {ctes}, pc AS ({each}) SELECT formula, {sql_rounded('correlation', 'c')}, CASE WHEN c > 0.85 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM pc"
 
 
+def search_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool after several batches of sampled formulas, each scored in one job."""
+    return search.looped(lambda: Engine(B.day_panel(spark, sf_dir)), search.batches())
+
+
+QUERIES["search_loop"] = search_loop
+SQL["search_loop"] = lambda: f"SELECT formula, status, score FROM ({search.scores_sql(Duck(P.day_panel()), [t for batch in search.batches() for t in batch])}) WHERE status = 'ok' ORDER BY score DESC, formula LIMIT {search.ELITE}"
 QUERIES["search_pool_penalty"], SQL["search_pool_penalty"] = search_pool_penalty, _pool_sql
 QUERIES |= {"search_scores": search_scores, "search_elite": search_elite}
 SQL["search_scores"] = lambda: search.scores_sql(Duck(P.day_panel()), search.POOL)

@@ -25,17 +25,33 @@ CHECKS = {
         "SELECT symbol, count(*) AS n_rows, count(CASE WHEN (h > 0 AND h < 9) OR (h >= 15 AND h < 21) THEN 1 END) AS outside FROM hr GROUP BY symbol",
         "hr AS (SELECT symbol, floor((time + 28800) / 3.6e3) - 24 * floor((time + 28800) / 8.64e4) AS h FROM {pnl})",
     ),
-    "dq_years": Report("dq_years", "SELECT symbol, cast(floor(time / 3.15576e7) AS bigint) + 1970 AS about_year, count(*) AS n FROM {pnl} GROUP BY symbol, cast(floor(time / 3.15576e7) AS bigint) + 1970"),
+    # calendar years of the eastern zone, by dates alone, so that no session's zone matters
+    "dq_years": Report(
+        "dq_years",
+        "SELECT symbol, year, count(*) AS n FROM yr GROUP BY symbol, year",
+        "yr AS (SELECT symbol, cast(year(DATE '1970-01-01' + cast(floor((time + 28800) / 8.64e4) AS int)) AS bigint) AS year FROM {pnl})",
+    ),
+    # the saved bars lack some times, have some closes moved and some volumes lost
     "dq_compare": Report(
         "dq_compare",
-        "SELECT a.symbol, a.time, CASE WHEN abs(a.close - b.close) > 1e-6 THEN 1 ELSE 0 END AS close_differs, CASE WHEN a.volume <> b.volume THEN 1 ELSE 0 END AS volume_differs FROM fresh a JOIN saved b ON a.symbol = b.symbol AND a.time = b.time WHERE abs(a.close - b.close) > 1e-6 OR a.volume <> b.volume",
-        "fresh AS (SELECT symbol, time, close, volume FROM {pnl}), saved AS (SELECT symbol, time, close * (CASE WHEN time % 864000 = 0 THEN 1.01e0 ELSE 1e0 END) AS close, volume FROM {pnl})",
+        f"""SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.time, b.time) AS time, CASE WHEN b.time IS NULL THEN 'not saved' WHEN a.time IS NULL THEN 'not fresh' ELSE 'differs' END AS kind,
+    {", ".join(f"CASE WHEN abs(a.{c} - b.{c}) > 1e-6 THEN 1 ELSE 0 END AS {c}_differs" for c in ("open", "high", "low", "close", "volume"))}
+    FROM fresh a FULL OUTER JOIN saved b ON a.symbol = b.symbol AND a.time = b.time
+    WHERE a.time IS NULL OR b.time IS NULL OR {" OR ".join(f"abs(a.{c} - b.{c}) > 1e-6" for c in ("open", "high", "low", "close", "volume"))}""",
+        """fresh AS (SELECT * FROM {pnl} WHERE time % 1296000 <> 0), saved AS (SELECT symbol, time, open, high, low, close * (CASE WHEN time % 864000 = 0 THEN 1.01e0 ELSE 1e0 END) AS close,
+    volume * (CASE WHEN time % 2592000 = 86400 THEN 0e0 ELSE 1e0 END) AS volume FROM {pnl} WHERE time % 1728000 <> 0)""",
     ),
+    # only times that lack some symbol meet the symbols
     "dq_missing": Report(
         "dq_missing",
-        "SELECT s.symbol, t.time FROM (SELECT DISTINCT symbol FROM {pnl}) s JOIN (SELECT time, count(*) AS n FROM {pnl} GROUP BY time) t ON t.n < 3 LEFT JOIN {pnl} b ON b.symbol = s.symbol AND b.time = t.time WHERE b.time IS NULL",
+        "SELECT s.symbol, t.time FROM (SELECT DISTINCT symbol FROM {pnl}) s JOIN (SELECT time, count(DISTINCT symbol) AS n FROM {pnl} GROUP BY time) t ON t.n < (SELECT count(DISTINCT symbol) FROM {pnl}) LEFT JOIN {pnl} b ON b.symbol = s.symbol AND b.time = t.time WHERE b.time IS NULL",
+    ),
+    # the last bar's high and low stand for ask and bid
+    "dq_spread_cost": Report(
+        "dq_spread_cost",
+        f"SELECT symbol, {r6('ask - bid', 'spread')}, {r6('(ask - bid) / ((ask + bid) / 2e0)', 'spread_rate')}, {r6('(ask - bid) / ((ask + bid) / 2e0) / 2e0', 'cost_rate')} FROM lq WHERE back = 1",
+        "lq AS (SELECT symbol, high AS ask, low AS bid, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS back FROM {pnl})",
     ),
-    "dq_spread_cost": Report("dq_spread_cost", f"SELECT symbol, {r6('avg((high - low) / ((high + low) / 2e0) / 2e0) * 1e2', 'cost_rate')} FROM {{pnl}} GROUP BY symbol"),
     "dq_overlap": Report(
         "dq_overlap",
         "SELECT a.symbol AS one, b.symbol AS two, count(*) AS common_times FROM {pnl} a JOIN {pnl} b ON a.time = b.time AND a.symbol < b.symbol GROUP BY a.symbol, b.symbol",

@@ -98,7 +98,7 @@ report(
 )
 PPY_CTE = f"""years AS (SELECT symbol, least(greatest(round(count(*) / ((max(time) - min(time)) / {YEAR})), 1e1), 6e5) AS ppy
   FROM {{pnl}} GROUP BY symbol HAVING max(time) > min(time))"""
-report("stat_bars_per_year", "SELECT symbol, cast(ppy AS bigint) AS ppy, cast((SELECT min(a.ppy) FROM years a WHERE (SELECT count(*) FROM years b WHERE b.ppy <= a.ppy) > floor((SELECT count(*) FROM years) / 2e0)) AS bigint) AS median_ppy FROM years", PPY_CTE)
+report("stat_bars_per_year", "SELECT symbol, cast(ppy AS bigint) AS ppy, cast((SELECT max(ppy) FROM yr WHERE place = floor(n_years / 2e0) + 1) AS bigint) AS median_ppy FROM years", PPY_CTE + ", yr AS (SELECT ppy, row_number() OVER (ORDER BY ppy, symbol) AS place, count(*) OVER (PARTITION BY 1) AS n_years FROM years)")
 report("stat_annual_return", f"SELECT symbol, {r6(f'avg(pnl) * {n(PPY)}', 'annual')}, {r6('sum(pnl) / (count(*) / 6.24e3)', 'annual_alt')} FROM {{pnl}} GROUP BY symbol")
 report(
     "stat_sharpe",
@@ -155,7 +155,7 @@ report(
 )
 IC = f"""nx AS (SELECT symbol, factor, lead(target) OVER ({ALONG}) AS y FROM {{pnl}}),
   ic AS (SELECT symbol, covar_pop(factor, y) / (stddev_pop(factor) * stddev_pop(y) + 1e-8) AS ic FROM nx WHERE y IS NOT NULL
-    GROUP BY symbol HAVING stddev_pop(factor) >= 1e-6 AND stddev_pop(y) >= 1e-6)"""
+    GROUP BY symbol HAVING count(*) >= 9 AND stddev_pop(factor) >= 1e-6 AND stddev_pop(y) >= 1e-6)"""
 report("stat_ic", f"SELECT symbol, {r6('ic', 'ic')} FROM ic", IC)
 report(
     "stat_ic_stability",
@@ -177,10 +177,12 @@ report(
     st AS (SELECT symbol, times, position * target - turnover * {n(COST)} * times AS s FROM {{pnl}}, tm)""",
 )
 ROLL = "PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 499 PRECEDING AND CURRENT ROW"
+#: A series shorter than the window has the one value of its last bar.
+ROLLING = f"CASE WHEN bar_idx >= least(500, bars) - 1 THEN CASE WHEN s < 1e-12 THEN 0e0 ELSE {clip(f'm / greatest(s, 1e-12) * sqrt({n(PPY)})', -20, 20)} END END"
 report(
     "stat_rolling_sharpe",
-    f"""SELECT symbol, bar_idx, {r6(f"CASE WHEN bar_idx >= 499 THEN {clip(f'm / greatest(s, 1e-10) * sqrt({n(PPY)})', -20, 20)} END", "rolling_sharpe")} FROM ro""",
-    f"ro AS (SELECT symbol, bar_idx, avg(pnl) OVER ({ROLL}) AS m, stddev_pop(pnl) OVER ({ROLL}) AS s FROM {{pnl}})",
+    f"""SELECT symbol, bar_idx, {r6(ROLLING, "rolling_sharpe")} FROM ro""",
+    f"ro AS (SELECT symbol, bar_idx, avg(pnl) OVER ({ROLL}) AS m, stddev_pop(pnl) OVER ({ROLL}) AS s, count(*) OVER (PARTITION BY symbol) AS bars FROM {{pnl}})",
 )
 ISLES = f"""ds AS (SELECT *, CASE WHEN position >= {n(DEAD_BAND)} THEN 1 WHEN position <= {n(-DEAD_BAND)} THEN -1 ELSE 0 END AS dir FROM {{pnl}}),
   dm AS (SELECT *, CASE WHEN lag(dir) OVER ({ALONG}) = dir THEN 0 ELSE 1 END AS fresh,
@@ -270,10 +272,15 @@ report(
     f"rd AS (SELECT symbol, bar_idx, sign(position) AS dir FROM {{pnl}} WHERE position <> 0), rv AS (SELECT *, lag(dir) OVER ({ALONG}) AS was FROM rd)",
 )
 report("stat_positive_symbols", "SELECT count(*) AS n_symbols, count(CASE WHEN total > 0 THEN 1 END) AS n_positive FROM sp", "sp AS (SELECT symbol, sum(pnl) AS total FROM {pnl} GROUP BY symbol)")
+MOST_POINTS = 1500
+#: Bars j * (T - 1) / 1499, rounded down, of every symbol and of the portfolio; all bars of shorter series.
 report(
     "stat_equity_export",
-    f"SELECT symbol, bar_idx, {r6('cum', 'equity')} FROM sl WHERE bar_idx = 0 OR floor(bar_idx * 1.499e3 / (bars - 1)) > floor((bar_idx - 1) * 1.499e3 / (bars - 1))",
-    f"sl AS (SELECT symbol, bar_idx, sum(pnl) OVER ({SO_FAR}) AS cum, count(*) OVER (PARTITION BY symbol) AS bars FROM {{pnl}})",
+    f"""SELECT series, bar_idx, {r6("cum", "equity")}, {r6(ROLLING, "rolling_sharpe")} FROM sl
+    WHERE bars <= {MOST_POINTS} OR bar_idx = bars - 1 OR bar_idx = floor(ceil(bar_idx / step) * step) OR bar_idx = floor((ceil(bar_idx / step) + 1) * step) OR bar_idx = floor((ceil(bar_idx / step) - 1) * step)""",
+    f"""al AS (SELECT symbol AS series, bar_idx, pnl FROM {{pnl}} UNION ALL SELECT 'portfolio' AS series, bar_idx, avg(pnl) AS pnl FROM {{pnl}} GROUP BY bar_idx),
+    sl AS (SELECT series, bar_idx, sum(pnl) OVER ({SO_FAR.replace("symbol", "series")}) AS cum, avg(pnl) OVER ({ROLL.replace("symbol", "series")}) AS m, stddev_pop(pnl) OVER ({ROLL.replace("symbol", "series")}) AS s,
+      count(*) OVER (PARTITION BY series) AS bars, (count(*) OVER (PARTITION BY series) - 1) / 1.499e3 AS step FROM al)""",
 )
 report(
     "trade_actions",
@@ -283,7 +290,20 @@ report(
 
 # ---- scores
 
-SYMBOLS = "(SELECT count(DISTINCT symbol) FROM s)"
+def turnover_quality(table: str, least: str = "1") -> str:
+    """tq: one row with `quality`. A run is a stretch of one whole position; a position counts as whole from `least`
+    on either side. One run in twelve bars is best, and long runs get a little on top."""
+    return f"""tz AS (SELECT symbol, bar_idx, CASE WHEN position >= {least} THEN 1 WHEN position <= -{least} THEN -1 ELSE 0 END AS whole FROM {table}),
+  tf AS (SELECT whole, CASE WHEN lag(whole) OVER ({ALONG}) = whole THEN 0 ELSE 1 END AS fresh FROM tz),
+  tc AS (SELECT count(CASE WHEN whole <> 0 AND fresh = 1 THEN 1 END) AS n_runs, count(CASE WHEN whole <> 0 THEN 1 END) AS held, count(*) AS n_bars FROM tf),
+  tr_ AS (SELECT n_runs, n_runs / greatest(n_bars / 1.2e1, 1e0) AS ratio, greatest(held / greatest(n_runs * 1e0, 1e0), 1e0) AS hold FROM tc),
+  tq AS (SELECT n_runs, ratio, hold, CASE WHEN ratio <= 0 THEN -2e0 WHEN ratio < 5e-2 THEN -2e0 + ratio / 5e-2 WHEN ratio < 5e-1 THEN -1e0 + (ratio - 5e-2) / 4.5e-1
+      WHEN ratio <= 2 THEN exp(-5e-1 * (ln(greatest(ratio, 1e-9)) / ln(2e0)) * (ln(greatest(ratio, 1e-9)) / ln(2e0))) WHEN ratio <= 8 THEN 5e-1 - (ratio - 2e0) / 6e0 * 1.5e0 ELSE -2e0 END
+    + CASE WHEN n_runs > 0 THEN least(3e-1, ln(hold) / ln(3e1) * 3e-1) ELSE 0e0 END AS quality FROM tr_)"""
+
+
+#: Positions of a sign alone, as a strategy that is always whole in or out would hold.
+report("score_turnover_quality", f"SELECT n_runs, {r6('hold', 'hold')}, {r6('ratio', 'ratio')}, {r6('quality', 'quality')} FROM tq", turnover_quality("{pnl}", n(DEAD_BAND)))
 
 
 def _score(where: str) -> str:
@@ -294,7 +314,8 @@ def _score(where: str) -> str:
   {flattened("sp")},
   sq AS (SELECT *,
     CASE WHEN rn <= floor(n_bars / 2e0) THEN pnl END AS h1, CASE WHEN rn > floor(n_bars / 2e0) THEN pnl END AS h2,
-    position * target - turnover * {n(2 * COST)} AS stressed FROM fd),
+    position * target - CASE WHEN rn = 1 THEN abs(position) ELSE turnover END * {n(2 * COST)} AS stressed FROM fd),
+  {turnover_quality("s")},
   ps AS (SELECT symbol, {sortino1()} AS sor, count(CASE WHEN abs(abs(position) - a0) > 1e-1 THEN 1 END) AS trades, max(n_bars) AS n_bars,
     CASE WHEN stddev_pop(CASE WHEN y IS NOT NULL THEN factor END) >= 1e-6 AND stddev_pop(y) >= 1e-6
       THEN covar_pop(factor, y) / (stddev_pop(CASE WHEN y IS NOT NULL THEN factor END) * stddev_pop(y) + 1e-8) END AS ic,
@@ -318,7 +339,7 @@ def _score(where: str) -> str:
     CASE WHEN exposure < 1e-1 THEN (exposure / 1e-1 - 1e0) * 2e0 ELSE 0e0 END AS sparse,
     CASE WHEN n_bars < 20 THEN 0e0 WHEN s1 > 0 AND s2 > 0 THEN 5e-1 WHEN s1 * s2 < 0 THEN -1e0 ELSE 0e0 END AS halves,
     -greatest(least((mean_turnover - 2e-1) * 3e0, 3e0), 0e0) AS turnover_penalty,
-    -2e0 AS turnover_quality FROM cm, cs)"""
+    quality AS turnover_quality FROM cm, cs, tq)"""
 
 
 #: Weights of the objective: annual return, Sortino, Calmar, IC, consistency, cost stress,
@@ -335,8 +356,7 @@ _PARTS = ("ann", "sortino", "calmar", "ts_ic", "consistency", "stress", "turnove
 
 
 def objective(mode: str) -> str:
-    """The weighted score over cmp. A squashed factor never reaches a whole position, so the
-    quality of its whole-position runs is the constant of no trade at all."""
+    """The weighted score over cmp."""
 
     def weighed(k: int) -> str:
         return " + ".join(f"{n(w)} * {p}" for w, p in zip(WEIGHTS[mode, k], _PARTS, strict=True) if w)
@@ -386,3 +406,16 @@ report(
     fk AS (SELECT 1 AS fold UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4),
     fb AS (SELECT symbol, fold, pnl, CASE WHEN bar_idx < fold * size THEN 'train' ELSE 'val' END AS part FROM fn, fk WHERE bar_idx >= (fold - 1) * size AND bar_idx < (fold + 1) * size)""",
 )
+
+
+def fold_slice(fold: int, part: str) -> Report:
+    """The score of a walk-forward fold on its training or validation bars: the objective with the turnover penalty
+    on the former, gated by the fold's own Sortino on the latter."""
+    start = fold - 1 if part == "train" else fold
+    where = f"bar_idx >= {start} * floor(bars / 5e0) AND bar_idx < {start + 1} * floor(bars / 5e0)"
+    score = f"{objective('ftmo')} + turnover_penalty" if part == "train" else gated(objective("ftmo"), "oos")
+    own = f", oo AS (SELECT {sortino1()} AS oos FROM s)"
+    return Report("score_fold", f"SELECT {fold} AS fold, '{part}' AS part, {r6(score, 'score')} FROM cmp, oo", _score(where) + own)
+
+
+FOLD_SLICES = [fold_slice(k, part) for k in range(1, 5) for part in ("train", "val")]

@@ -55,11 +55,12 @@ RISKS["live_risk_check"] = Report(
     f"""SELECT symbol, {r6("expected", "expected_lot")}, {r6("held", "live_lot")}, CASE WHEN expected > 0 THEN floor(held / expected * 1e6 + 4.7e-1) / 1e6 ELSE 0e0 END AS ratio,
     CASE WHEN expected > 0 AND held / expected > 1.35e0 THEN 'OVER' WHEN expected = 0 AND held > 0 THEN 'POSITION_WHILE_FLAT' ELSE 'OK' END AS alert FROM xp""",
     LAST
-    + f""", hd AS (SELECT 'A' AS k, 3e0 AS held UNION ALL SELECT 'N', 5e-1 UNION ALL SELECT 'R', 2e-2),
+    # what is held is what the signal a month of bars earlier asked for, as an account that was not reconciled since has
+    + f""", hd AS (SELECT symbol AS k, {lots(f"2e3 * least(abs(position), 1e0) / (atr * {n(TICK)})", True)} AS held FROM lb WHERE back = 21),
     xp AS (SELECT symbol, {lots(f"2e3 * least(abs(position), 1e0) / (atr * {n(TICK)})", True)} AS expected, held FROM la JOIN hd ON la.symbol = hd.k)""",
 )
 SYNC = Report(
     "live_portfolio_sync",
     """SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'REMOVE' WHEN a.k IS NULL THEN 'ADD' WHEN a.v <> b.v THEN 'UPDATE' ELSE 'KEEP' END AS action FROM lo a FULL OUTER JOIN re b ON a.k = b.k""",
-    "lo AS (SELECT o_custkey AS k, count(*) AS v FROM {pnl} WHERE o_orderstatus = 'O' GROUP BY o_custkey), re AS (SELECT o_custkey AS k, count(*) AS v FROM {pnl} WHERE o_orderstatus = 'F' GROUP BY o_custkey)",
+    "lo AS (SELECT o_custkey AS k, count(*) AS v FROM {pnl} WHERE o_orderstatus = 'O' GROUP BY o_custkey), re AS (SELECT o_custkey AS k, count(*) AS v FROM {pnl} WHERE o_orderstatus <> 'O' GROUP BY o_custkey)",
 )

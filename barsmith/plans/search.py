@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barsmith.sources.storage import stored
+
 from .formulas import PUBLISHED, Sampler, compiled, executable, normalised, repetition_penalty, simplified, violations
 from .reports import COST, DEAD_BAND, PPY, n, r6
 
@@ -45,9 +47,8 @@ def scores(b, pool: Sequence[str]) -> DataFrame:
     rows = rows.withColumn("pnl", F.col("p") * F.col("y") - F.abs(F.col("p") - before) * COST)
     each = rows.groupBy("formula").agg(F.stddev_samp("x").alias("std"), F.avg("pnl").alias("mean"), F.stddev_pop("pnl").alias("dev"))
     spark = wide.sparkSession
-    good = spark.sql(f"{FINAL} {{each}}", each=each)
     bad = spark.createDataFrame([(t, "invalid", -5.0) for t in pool if not executable(t.split())], "formula string, status string, score double")
-    return good.unionByName(bad)
+    return spark.sql(f"{FINAL} {{each}}", each=each).unionByName(bad)
 
 
 def scores_sql(b, pool: Sequence[str]) -> str:
@@ -67,6 +68,37 @@ def elite(scored: DataFrame, size: int = ELITE) -> DataFrame:
     return best.orderBy(F.desc("score"), "formula").limit(size).select("formula", "status", "score")
 
 
+ROUNDS, BATCH = 3, 4
+
+
+def batches(rounds: int = ROUNDS, count: int = BATCH, seed: int = 0) -> list[list[str]]:
+    """Formulas to try, batch by batch; none comes twice."""
+    seen: set[str] = set()
+    out = []
+    for k in range(rounds):
+        fresh = [t for t in sampled(count * (k + 2), seed + k) if t not in seen][:count]
+        seen |= set(fresh)
+        out.append(fresh)
+    return out
+
+
+def looped(engine, tries: Sequence[Sequence[str]], size: int = ELITE, pool: DataFrame | None = None) -> DataFrame:
+    """Scores each batch in one job and keeps the best in the pool, a table of its own after every
+    round, so that a search goes on from where it stopped. engine() gives a new panel engine."""
+    for batch in tries:
+        found = scores(engine(), batch).select("formula", "status", "score")
+        whole = found if pool is None else pool.unionByName(found)
+        pool = stored(elite(whole, size), "search-pool")
+    return pool
+
+
+def drawn(pool: DataFrame, count: int, weight: F.Column, seed: int = 0) -> DataFrame:
+    """A seeded draw of formulas without replacement, each as likely as its weight says: the least of
+    -ln(u) / weight come first, u a hash of seed and formula."""
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "formula")), 1, 8), 16, 10).cast("double") + 0.5) / 2**32
+    return pool.orderBy(-F.ln(u) / weight, "formula").limit(count)
+
+
 def migrated(islands: DataFrame, top: int = 5) -> DataFrame:
     """The best of each island for the others: (island, formula, score), a formula once."""
     place = F.row_number().over(W.partitionBy("island").orderBy(F.desc("score"), "formula"))

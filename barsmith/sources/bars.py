@@ -12,20 +12,20 @@ from pyspark.sql import Window as W
 
 COLUMNS = ("symbol", "time", "open", "high", "low", "close", "volume")
 MIN_BARS = 300
-#: Aliases of the nine timeframes, with their seconds.
+#: The nine timeframes with their seconds, and how file names call them.
 TIMEFRAMES = {
     "M1": 60, "M5": 300, "M15": 900, "M30": 1800, "H1": 3600, "H4": 14400, "D1": 86400, "W1": 604800, "MN1": 2592000,
 }
 ALIASES = {
-    "M1": "m1 1m 1min min1 1minute".split(),
-    "M5": "m5 5m 5min min5 5minute".split(),
-    "M15": "m15 15m 15min min15 15minute".split(),
-    "M30": "m30 30m 30min min30 30minute".split(),
-    "H1": "h1 1h 60m 60min 1hour hour".split(),
-    "H4": "h4 4h 240m 240min 4hour".split(),
-    "D1": "d1 1d day daily 1day d".split(),
-    "W1": "w1 1w week weekly w".split(),
-    "MN1": "mn1 1mo month monthly mn".split(),
+    "M1": "m1 1m 1min min1".split(),
+    "M5": "m5 5m 5min min5".split(),
+    "M15": "m15 15m 15min min15".split(),
+    "M30": "m30 30m 30min min30".split(),
+    "H1": "h1 1h 60m 60min min60 60".split(),
+    "H4": "h4 4h 240m 240min min240 240".split(),
+    "D1": "d1 1d day daily 1440m 1440min".split(),
+    "W1": "w1 1w week weekly".split(),
+    "MN1": "mn1 1mo 1mon month monthly".split(),
 }
 
 
@@ -109,13 +109,15 @@ def aligned_or_filled(bars: DataFrame, least: int = MIN_BARS) -> DataFrame:
 
 def from_files(spark: SparkSession, path: str) -> DataFrame:
     """Bars from Parquet files named {symbol}_{timeframe}.parquet: the volume's two names, times
-    in thousands of seconds repaired, the last of equal times kept."""
+    in thousands of seconds repaired, the last of equal times kept. A file whose name says no symbol
+    or timeframe is an error, as its bars would mix with those of other files."""
     df = spark.read.parquet(path)
     volume = next(c for c in ("tick_volume", "volume") if c in df.columns)
     name = F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)
+    named = lambda c: F.coalesce(c, F.raise_error(F.concat(F.lit("no symbol and timeframe in the file name "), name)).cast("string"))
     df = df.select(
-        parsed_symbol(name).alias("symbol"),
-        parsed_timeframe(name).alias("timeframe"),
+        named(parsed_symbol(name)).alias("symbol"),
+        named(parsed_timeframe(name)).alias("timeframe"),
         F.col("time").cast("long").alias("time"),
         *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")],
         F.col(volume).cast("double").alias("volume"),
@@ -132,11 +134,12 @@ _STEM = r"^(.+)_([^_]+?)(?:\.parquet)?$"
 
 def parsed_symbol(name: Column) -> Column:
     """What stands before the last underscore of a file name with a known timeframe."""
-    return F.when(parsed_timeframe(name).isNotNull(), F.regexp_extract(name, _STEM, 1))
+    symbol = F.trim(F.regexp_extract(name, _STEM, 1))
+    return F.when(parsed_timeframe(name).isNotNull() & (symbol != ""), symbol)
 
 
 def parsed_timeframe(name: Column) -> Column:
-    alias = F.lower(F.regexp_extract(name, _STEM, 2))
+    alias = F.lower(F.replace(F.trim(F.regexp_extract(name, _STEM, 2)), F.lit("-"), F.lit("")))
     known = [F.when(alias.isin(a), F.lit(t)) for t, a in ALIASES.items()]
     return F.coalesce(*known)
 
