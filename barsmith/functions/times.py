@@ -37,6 +37,17 @@ def next_close(last_open: Column, period: int, now: Column) -> Column:
     return F.when(closed > now, closed).when(~ended, following).cast("long")
 
 
+def next_poll(started: Column, now: Column, interval: int, least: int = 10) -> Column:
+    """When a loop that began a round at `started` polls next: the interval after its start, but never less
+    than a few seconds from now."""
+    return now + F.greatest(F.lit(least), F.lit(interval) - (now - started))
+
+
+def still_good(fetched: Column, now: Column, period: Column, least: float = 10.0) -> Column:
+    """Whether bars fetched at a time may serve again: for four fifths of their timeframe's period."""
+    return now - fetched < F.greatest(F.lit(least), period * 0.8)
+
+
 def safe_name(name: Column) -> Column:
     """A name that can be a file's: other characters become underscores."""
     return F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_")

@@ -373,6 +373,92 @@ SQL["fn_time_text"] = lambda: f"""WITH {P.event_hours()} SELECT symbol, time, st
   strftime(make_timestamp((time + 28800) * 1000000), '%Y-%m-%d %H:%M') AS local, time AS back FROM raw"""
 
 
+def live_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = Engine(B.day_panel(spark, sf_dir))
+    return risk.reconciled(risk.WANTED.run(spark, b.frame(**pnl_of(b))))
+
+
+def _reconcile_sql() -> str:
+    b = Duck(P.day_panel())
+    ctes = f"{b.ctes(**pnl_of(b))}, {risk.WANTED.ctes}".replace("{pnl}", "out")
+    return f"WITH RECURSIVE {ctes}, {risk.reconciled_sql(risk.WANTED.select)} SELECT symbol, action FROM rr WHERE k > 0"
+
+
+QUERIES["live_reconcile"], SQL["live_reconcile"] = live_reconcile, _reconcile_sql
+URGENT = ("1-URGENT", "2-HIGH", "3-MEDIUM")
+MARKETS = {"A": "XAUUSD", "N": "US30.cash"}
+raw_query("panel_permitted", "weeks", lambda bars: B.permitted(bars, URGENT, ("2-HIGH",)).select(*B.COLUMNS), f"SELECT {BAR} FROM raw WHERE symbol IN {URGENT} AND symbol <> '2-HIGH'")
+raw_query(
+    "panel_costs", "days", lambda bars: B.with_costs(bars, MARKETS).select("symbol", "time", "market", "class", "cost"),
+    """SELECT symbol, time, market, class, CASE class WHEN 'metals' THEN 0.0002::DOUBLE WHEN 'index' THEN 0.0003::DOUBLE ELSE 0.00015::DOUBLE END AS cost FROM
+    (SELECT *, CASE WHEN market LIKE 'XAU%' OR market LIKE 'XAG%' THEN 'metals' WHEN market LIKE '%.cash%' OR market LIKE 'US%' OR market LIKE 'JP%' THEN 'index' ELSE 'forex' END AS class FROM
+    (SELECT *, CASE symbol WHEN 'A' THEN 'XAUUSD' WHEN 'N' THEN 'US30.cash' ELSE symbol END AS market FROM raw))""",
+)
+raw_query(
+    "live_new_bars", "hours", lambda bars: B.fresh(bars, bars.filter("time % 36000 = 0")).select(*B.COLUMNS),
+    f"SELECT {BAR} FROM raw r WHERE time > (SELECT coalesce(max(time), -1) FROM raw m WHERE m.time % 36000 = 0 AND m.symbol = r.symbol)",
+)
+
+
+def live_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every timeframe whether bars of a minute, an hour and a day ago serve again, and the next poll."""
+    rows = spark.createDataFrame([(t, s, a) for t, s in B.TIMEFRAMES.items() for a in (60, 3600, 86400)], "timeframe string, period long, age long")
+    now = F.lit(1_700_000_000).cast("long")
+    return rows.select("timeframe", "age", times.still_good(now - F.col("age"), now, F.col("period")).alias("good"), times.next_poll(now - F.col("age"), now, 900).alias("next_poll"))
+
+
+QUERIES["live_polls"] = live_polls
+SQL["live_polls"] = lambda: "SELECT timeframe, age, age < greatest(10, period * 0.8) AS good, (1700000000 + greatest(10, 900 - age))::BIGINT AS next_poll FROM (VALUES " + ", ".join(
+    f"('{t}', {s}::BIGINT)" for t, s in B.TIMEFRAMES.items()
+) + ") v(timeframe, period), (VALUES (60::BIGINT), (3600::BIGINT), (86400::BIGINT)) w(age)"
+
+#: Strategies as artifacts name them: a published formula and the symbol that it is for.
+STRATEGIES = [(text, "ANR"[i % 3]) for i, text in enumerate(formulas.PUBLISHED.values())]
+SCANNED = """SELECT formula, symbol, n_bars, {annual}, {total}, {sharpe}, {drawdown}, CASE WHEN ann > 0 THEN 1 ELSE 0 END AS valid FROM ag"""
+
+
+def _scan(table: str) -> str:
+    """Figures of each strategy over (formula, symbol, bar_idx, pnl)."""
+    along = "PARTITION BY formula, symbol ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    picked = SCANNED.format(annual=reports.r6("ann", "annual"), total=reports.r6("total", "total_return"), sharpe=reports.r6("sharpe", "sharpe"), drawdown=reports.r6("mdd", "max_drawdown"))
+    year = reports.n(reports.PPY)
+    return f"""sq AS (SELECT *, sum(pnl) OVER ({along}) AS cum FROM {table}), sk AS (SELECT *, max(cum) OVER ({along}) - cum AS down FROM sq),
+  ag AS (SELECT formula, symbol, count(*) AS n_bars, avg(pnl) * {year} AS ann, sum(pnl) AS total, avg(pnl) / (stddev_pop(pnl) + 1e-8) * sqrt({year}) AS sharpe, max(down) AS mdd FROM sk GROUP BY formula, symbol)
+  {picked}"""
+
+
+def _solo(b, symbol: str) -> dict[str, X]:
+    """Profits of the strategies of one symbol, alone and at its class's cost."""
+    cost = B.COSTS[{"A": "metals", "N": "index"}.get(symbol, "forex")]
+    own = [i for i, (_, s) in enumerate(STRATEGIES) if s == symbol]
+    return {f"p{i}": reports.profit(b, formulas.compiled(b, STRATEGIES[i][0].split()), cost)["pnl"] for i in own}
+
+
+def scan_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every strategy on its own symbol alone."""
+    parts = []
+    for symbol in sorted({s for _, s in STRATEGIES}):
+        b = Engine(B.day_panel(spark, sf_dir, symbol))
+        cols = _solo(b, symbol)
+        kinds = ", ".join(f"'{STRATEGIES[int(c[1:])][0]}', {c}" for c in cols)
+        parts.append(b.frame(**cols).selectExpr("symbol", "bar_idx", f"stack({len(cols)}, {kinds}) AS (formula, pnl)"))
+    long = functools.reduce(DataFrame.unionByName, parts)
+    return spark.sql(f"WITH {_scan('{long}')}", long=long)
+
+
+def _scan_sql() -> str:
+    each = []
+    for symbol in sorted({s for _, s in STRATEGIES}):
+        b = Duck(P.day_panel(symbol))
+        cols = _solo(b, symbol)
+        long = " UNION ALL ".join(f"SELECT symbol, bar_idx, '{STRATEGIES[int(c[1:])][0]}' AS formula, {c} AS pnl FROM out" for c in cols)
+        each.append(f"SELECT * FROM (WITH {b.ctes(**cols)} {long})")
+    return f"WITH lo AS ({' UNION ALL '.join(each)}), {_scan('lo')}"
+
+
+QUERIES["scan_factors"], SQL["scan_factors"] = scan_factors, _scan_sql
+
+
 def ensemble(b) -> dict[str, X]:
     """Two formulas whose squashed values are averaged."""
     one = b.let(formulas.compiled(b, "RET5 TS_ZSCORE_20".split()))

@@ -6,6 +6,8 @@ from zone-less timestamps by date arithmetic, so the session's time zone never m
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -72,6 +74,42 @@ def enough(bars: DataFrame, least: int = MIN_BARS) -> DataFrame:
     return bars.join(counts, "symbol", "left_semi")
 
 
+def permitted(bars: DataFrame, allow: Iterable[str] = (), exclude: Iterable[str] = ()) -> DataFrame:
+    """Bars of the symbols that are allowed (all, if none is named) and not excluded."""
+    allow, exclude = list(allow), list(exclude)
+    if allow:
+        bars = bars.filter(F.col("symbol").isin(allow))
+    return bars.filter(~F.col("symbol").isin(exclude)) if exclude else bars
+
+
+#: Costs of a change of position, for each class of symbols.
+COSTS = {"forex": 0.00015, "metals": 0.00020, "index": 0.00030}
+
+
+def class_of(symbol: Column) -> Column:
+    """The class that a symbol's name tells."""
+    metal = F.rlike(symbol, F.lit("^XA[UG]"))
+    index = F.contains(symbol, F.lit(".cash")) | F.rlike(symbol, F.lit("^(US|JP)"))
+    return F.when(metal, "metals").when(index, "index").otherwise("forex")
+
+
+def with_costs(bars: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """Adds the market's name of each symbol (its own, if the map has none), its class and its cost."""
+    market = F.col("symbol")
+    if names:
+        known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        market = F.coalesce(F.try_element_at(known, F.col("symbol")), market)
+    bars = bars.withColumn("market", market).withColumn("class", class_of(F.col("market")))
+    return bars.withColumn("cost", F.try_element_at(F.create_map(*[F.lit(x) for pair in COSTS.items() for x in pair]), F.col("class")))
+
+
+def fresh(bars: DataFrame, seen: DataFrame) -> DataFrame:
+    """Bars that are later than the last one seen of their symbol; seen: (symbol, time), any number of rows."""
+    last = seen.groupBy(F.col("symbol").alias("_s")).agg(F.max("time").alias("_last"))
+    late = bars.join(last, F.col("symbol") == F.col("_s"), "left").filter(F.col("_last").isNull() | (F.col("time") > F.col("_last")))
+    return late.select(*bars.columns)
+
+
 def indexed(bars: DataFrame) -> DataFrame:
     place = F.row_number().over(W.partitionBy("symbol").orderBy("time")) - 1
     return bars.select("symbol", place.cast("long").alias("bar_idx"), *COLUMNS[1:])
@@ -146,10 +184,7 @@ def parsed_timeframe(name: Column) -> Column:
 
 def appended(old: DataFrame, new: DataFrame) -> DataFrame:
     """Incremental cache: only bars later than a symbol's last are added; old ones win ties."""
-    last = old.groupBy(F.col("symbol").alias("_s")).agg(F.max("time").alias("_last"))
-    fresh = new.join(last, F.col("symbol") == F.col("_s"), "left")
-    fresh = fresh.filter(F.col("_last").isNull() | (F.col("time") > F.col("_last"))).select(*old.columns)
-    return old.unionByName(fresh)
+    return old.unionByName(fresh(new.select(*old.columns), old))
 
 
 def continuous(contracts: DataFrame, symbol: str) -> DataFrame:
