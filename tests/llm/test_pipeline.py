@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import corpus_pipeline
 import pytest
 from helpers import SCHEMA, WORD, clashing, documents, line_dedup, near_components, repeat_words
 from pyspark.sql import functions as F
 
 from barsmith.llm import mixing, packing, quality
+from barsmith.llm.common import scratch
 
 
 @pytest.fixture(scope="module")
@@ -105,7 +108,11 @@ def test_packing_stage_and_run(spark, tables):
     assert sum(r["length"] for r in last) == sum(len(encode(r[1] or "")) + 1 for r in listed(out[4]))
     keep = ["doc_id", "piece", "start", "length", "ids_crc32"]
     key = lambda df: sorted(map(tuple, df.select(*keep).collect()))
-    assert key(corpus_pipeline.run(spark, folder)) == key(out[5])
+    with scratch() as made:
+        last = corpus_pipeline.run(spark, folder)
+    assert key(last) == key(out[5])
+    left = [p for p in made if Path(p.removeprefix("file:")).exists()]
+    assert len(made) > 20 and all("packing" in p or "source-mixing" in p for p in left)  # no stage's tables stay
 
 
 def test_first_words(spark):
