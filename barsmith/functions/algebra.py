@@ -429,10 +429,14 @@ class Engine(Base):
         """The panel with the outputs as further columns."""
         out = {n: self.let(x) for n, x in out.items()}
         df, had = self.panel, self.panel.columns
+        last: list[tuple[str, tuple]] = []  # calls that only outputs read: one pass at the end does them all
         for level in sorted(self.levels):
             named = self.levels[level]
             plain = [(n, x) for n, x, call in named if call is None]
             calls = [(n, call) for n, _, call in named if call is not None]
+            inner = self._live(level, {})
+            last += [c for c in calls if c[1][0] != "constant" and c[0] not in inner]
+            calls = [c for c in calls if c[1][0] == "constant" or c[0] in inner]
             if plain:
                 df = df.select("*", *[x.e.alias(n) for n, x in plain])
             for name, (kind, source, _) in calls:
@@ -441,12 +445,14 @@ class Engine(Base):
                     one = df.agg((F.stddev_samp(source) < 1e-6).alias(name))
                     df = df.join(F.broadcast(one))  # one row
             calls = [c for c in calls if c[1][0] != "constant"]
-            live = self._live(level, out)
+            live = self._live(level, out) | {call[1] for _, call in last}
             if calls:
                 # only what this level or a later one reads goes through the grouped function
                 reads = live | {call[1] for _, call in calls}
                 df = grouped(df.select(*[c for c in df.columns if c in had or c in reads]), calls)
             df = df.select(*[c for c in df.columns if c in had or c in live])
+        if last:
+            df = grouped(df, last)
         return df.select(*had, *[x.e.alias(n) for n, x in out.items()])
 
     def _live(self, level: int, out: dict[str, X]) -> set[str]:
