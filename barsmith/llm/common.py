@@ -61,12 +61,22 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of whole texts that go to a Python worker at once.
+ARROW_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: the lineage ends there
     and a lost executor costs only a read."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, ARROW_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
