@@ -23,7 +23,7 @@ def test_every_file_name(spark):
     rows = [(f"S_{i}x_{a.upper() if i % 2 else a}.parquet", t, f"S_{i}x") for t, names in NAMES.items() for i, a in enumerate(names.split())]
     assert len(rows) == 43
     rows += [("US30.cash_H1.parquet", "H1", "US30.cash"), ("002008_min-60.parquet", "H1", "002008"), ("X_H1", "H1", "X")]
-    rows += [("002008_xyz.parquet", None, None), ("plain.parquet", None, None), ("_H1.parquet", "H1", None), ("a_1hour.parquet", None, None)]
+    rows += [("002008_xyz.parquet", None, None), ("plain.parquet", None, None), ("_H1.parquet", None, None), ("a_1hour.parquet", None, None)]
     df = spark.createDataFrame(rows, "name string, tf string, symbol string")
     got = df.select("*", bars.parsed_timeframe(F.col("name")).alias("a"), bars.parsed_symbol(F.col("name")).alias("b")).collect()
     assert [(r["name"], r["a"], r["b"]) for r in got] == [(r["name"], r["tf"], r["symbol"]) for r in got]
