@@ -129,15 +129,25 @@ def build(rows: DataFrame) -> DataFrame:
     """The index of (vec_id, v): a stored table with a row for each block of candidates. Blocks
     are cut from the partitions as they are, so nothing is shuffled."""
 
-    def run(batches):
+    def blocks(batches):
+        """The partition's rows, ROWS_PER_BLOCK at a time whatever the batches."""
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_PER_BLOCK):
-                part = batch.slice(start, ROWS_PER_BLOCK)
-                values, ids = _matrix(part.column(1)), part.column(0).to_numpy()
-                name = f"{int(ids.min())}-{int(ids.max())}"
-                columns = [[name], [len(ids)], [values.shape[1]], [ids.astype("<i8").tobytes()], [values.astype("<i8").tobytes()]]
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "n", "width", "ids", "vectors"])
+            held.append(batch)
+            while sum(b.num_rows for b in held) >= ROWS_PER_BLOCK:
+                whole = pa.Table.from_batches(held).combine_chunks()
+                yield whole.slice(0, ROWS_PER_BLOCK)
+                held = whole.slice(ROWS_PER_BLOCK).to_batches()
+        if sum(b.num_rows for b in held):
+            yield pa.Table.from_batches(held)
+
+    def run(batches):
+        for part in blocks(batches):
+            values, ids = _matrix(part.column(1)), part.column(0).to_numpy()
+            name = f"{int(ids.min())}-{int(ids.max())}"
+            columns = [[name], [len(ids)], [values.shape[1]], [ids.astype("<i8").tobytes()], [values.astype("<i8").tobytes()]]
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "n", "width", "ids", "vectors"])
 
     return stored(rows.select("vec_id", "v").mapInArrow(run, INDEX), "topk-index")
 
