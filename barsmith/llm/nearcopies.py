@@ -104,13 +104,13 @@ def _each(shingle: int, what: str):
     return run
 
 
-def alike(shared: Column, a: Column, b: Column) -> Column:
-    """shared / (a + b - shared) >= SIMILAR in integers."""
-    p, q = SIMILAR
+def alike(shared: Column, a: Column, b: Column, similar: tuple[int, int] = SIMILAR) -> Column:
+    """shared / (a + b - shared) >= similar in integers."""
+    p, q = similar
     return shared * (p + q) >= (a + b) * p
 
 
-def block_links(block: pa.Table) -> pa.Table:
+def block_links(block: pa.Table, similar: tuple[int, int] = SIMILAR) -> pa.Table:
     """A spanning forest of the links between two blocks; columns side, node, s. A node may be in both."""
     sides, nodes = block["side"].to_numpy(), block["node"].to_numpy()
     column = block["s"].combine_chunks()
@@ -123,7 +123,7 @@ def block_links(block: pa.Table) -> pa.Table:
     inside = np.isin(owner, other)
     theirs, whose = ids[inside], owner[inside]
     mark, root, out = np.zeros(len(ids) + 1, bool), list(range(len(nodes))), []
-    p, q = SIMILAR
+    p, q = similar
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -143,17 +143,17 @@ def block_links(block: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
 
-def _forest(roots: DataFrame) -> DataFrame:
+def forest(roots: DataFrame) -> DataFrame:
     """(x, root) of every node of components given as (u, v), v the root."""
     return roots.select(F.col("u").alias("x"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("x"), F.col("v").alias("root")).distinct())
 
 
-def _family_links(lists: DataFrame, linked: DataFrame, sets: DataFrame) -> DataFrame:
+def family_links(lists: DataFrame, linked: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Links in the families of long lists that the component of each node does not show yet.
     lists: (node, low), low the smallest node of the list; linked: (u, v), components so far."""
-    families = _forest(stars(lists.select(F.col("node").alias("u"), F.col("low").alias("v")), "near-families"))
+    families = forest(stars(lists.select(F.col("node").alias("u"), F.col("low").alias("v")), "near-families"))
     families = families.select(F.col("x").alias("member"), F.col("root").alias("family"))
-    members = families.join(_forest(linked), F.col("member") == F.col("x"), "left")
+    members = families.join(forest(linked), F.col("member") == F.col("x"), "left")
     members = members.select("member", "family", F.coalesce("root", "member").alias("part"))
     parts = members.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
     sizes = parts.groupBy(F.col("family").alias("f")).agg(F.max(F.struct("n", "part")).alias("largest"), F.sum("n").alias("all"))
@@ -166,7 +166,11 @@ def _family_links(lists: DataFrame, linked: DataFrame, sets: DataFrame) -> DataF
     right = members.select("member", "family", each("tall").alias("a"), own("near-wide", "wide").alias("b"), F.lit(1).alias("side"))
     left = members.filter("part <> main").select("member", "family", own("near-tall", "tall").alias("a"), each("wide").alias("b"), F.lit(0).alias("side"))
     dealt = left.union(right).join(sets, F.col("member") == F.col("node")).select("family", "a", "b", "side", "node", "s")
-    return dealt.groupBy("family", "a", "b").applyInArrow(block_links, "u long, v long")
+
+    def compared(block: pa.Table) -> pa.Table:
+        return block_links(block, similar)
+
+    return dealt.groupBy("family", "a", "b").applyInArrow(compared, "u long, v long")
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -218,11 +222,11 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     both = pairs.join(left, F.col("u") == F.col("l")).join(right, F.col("v") == F.col("r"))
     near = both.filter(alike(F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b"))).select("u", "v")
     roots = stars(near, "near-links")
-    more = stored(_family_links(long, roots, sets), "near-family-links")
+    more = stored(family_links(long, roots, sets), "near-family-links")
     if not more.isEmpty():
         roots = stars(roots.union(more), "near-links")
 
-    linked = _forest(roots)
+    linked = forest(roots)
     lows = linked.join(nodes, F.col("x") == F.col("node")).groupBy(F.col("root").alias("c_root")).agg(F.min("low").alias("c"))
     linked = linked.join(lows, F.col("root") == F.col("c_root")).select("x", "c")
     classes = nodes.join(linked, F.col("node") == F.col("x"), "left")

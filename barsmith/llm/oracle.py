@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from . import licenses, mixing, quality, secrets
+from . import fim, licenses, mixing, parity, quality, secrets, trie
 
 
 def _spans(table: str, kind: str, order: int, pattern: str, keep: str = "true", skip: str = "0") -> str:
@@ -158,6 +158,68 @@ def op9() -> str:
     SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
+def op11() -> str:
+    (p, q), k = parity.SIMILAR, parity.SHINGLE
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    gram = f"array_to_string(words[i:i + {k - 1}], ' ')"
+    return f"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex({lower}, '{WS}+'), lambda x: x <> '') AS words FROM documents),
+    g AS (SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {k} THEN [array_to_string(words, ' ')]
+      ELSE list_transform(range(1, len(words) - {k - 2}), lambda i: {gram}) END)) AS grams FROM d),
+    s AS (SELECT rid, doc_id, grams, len(grams) AS n, md5(array_to_string(grams, chr(10))) AS node FROM g),
+    o AS (SELECT node, any_value(n) AS n, any_value(grams) AS grams FROM s WHERE n > 0 GROUP BY node),
+    x AS (SELECT node, n, unnest(grams) AS gram FROM o),
+    e AS (SELECT a.node AS u, b.node AS v FROM x a JOIN x b ON a.gram = b.gram AND a.node <> b.node
+      GROUP BY a.node, b.node HAVING {q} * count(*) >= {p} * (any_value(a.n) + any_value(b.n) - count(*))),
+    r(node, hit) AS (SELECT node, node FROM o UNION SELECT r.node, e.v FROM r JOIN e ON r.hit = e.u),
+    c AS (SELECT r.node, min(doc_id) AS low FROM r JOIN s ON r.hit = s.node GROUP BY r.node)
+    SELECT doc_id, n::BIGINT AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE low END AS component_id FROM s LEFT JOIN c USING (node)"""
+
+
+def op12() -> str:
+    bit = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"  # the polynomial of CRC-32, reflected
+    byte = f"list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda a, k: {bit}, xor(z, x))"
+    digits = "list_transform(string_split(conv_id::VARCHAR, ''), lambda y: ascii(y)::BIGINT)"
+    crc = f"xor(list_reduce({digits}, lambda z, x: {byte}, 4294967295), 4294967295)"
+    b, most = trie.BLOCK, trie.MOST_SHARED
+    return f"""
+    WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM m),
+    k AS (SELECT conv_id, count(*) AS size, {crc} % {most + 1} AS h, conv_id - conv_id % {b} AS base FROM m GROUP BY conv_id),
+    z AS (SELECT k.*, least(k.h, coalesce(o.size, 0)) AS head FROM k LEFT JOIN k o ON k.base = o.conv_id),
+    r AS (SELECT z.conv_id, head + place - h AS place, role, text FROM z JOIN t ON z.conv_id = t.conv_id AND place >= h
+      UNION ALL SELECT z.conv_id, place, role, text FROM z JOIN t ON z.base = t.conv_id AND place < h),
+    c AS (SELECT *, string_agg(sha256(length(role) || ':' || role || text), ',') OVER (PARTITION BY conv_id ORDER BY place) AS path FROM r),
+    p AS (SELECT conv_id, place + 1 AS depth, strlen(text) AS bytes, md5(path) AS node, lag(md5(path), 1, 'root') OVER w AS parent,
+      lead(place) OVER w IS NULL AS last FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+    n AS (SELECT node, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY node
+      UNION ALL SELECT 'root', NULL, min(conv_id), 0, count(*), 0 FROM z HAVING count(*) > 0),
+    f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN (SELECT parent AS up, count(*) AS n_children FROM n GROUP BY parent) ON n.node = up),
+    a AS (SELECT f.node AS low, p.node AS high FROM f JOIN p ON f.conv_id = p.conv_id AND p.depth <= f.depth UNION ALL SELECT node, 'root' FROM f),
+    s AS (SELECT high, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes) AS saved FROM a JOIN f ON low = node GROUP BY high),
+    e AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT node, conv_id FROM p WHERE last
+      UNION ALL SELECT 'root', conv_id FROM z WHERE conv_id NOT IN (SELECT conv_id FROM p)) GROUP BY node)
+    SELECT f.conv_id, f.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+      n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM f JOIN s ON f.node = high LEFT JOIN n u ON f.parent = u.node LEFT JOIN e ON f.node = e.node"""
+
+
+def op13() -> str:
+    p, s, m = fim.Marks()
+    draw = lambda k: f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT"
+    cut = lambda lo, hi: f"coalesce(array_to_string(units[{lo}:{hi}], ''), '')"
+    marked = " OR ".join(f"contains(text, '{x}')" for x in (p, s, m))
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{fim.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    u AS (SELECT *, regexp_extract_all(text, '{WS}*[^\\x20\\x09-\\x0D]+|{WS}+') AS units FROM d),
+    n AS (SELECT *, len(units)::BIGINT AS n, {draw(0)} % (len(units) + 1) AS a, {draw(1)} % (len(units) + 1) AS b,
+      CASE WHEN text = '' OR {marked} OR {draw(2)} % 100 >= {fim.RATE} THEN 'plain' WHEN {draw(3)} % 100 < {fim.SPM} THEN 'spm' ELSE 'psm' END AS form FROM u),
+    c AS (SELECT *, {cut("1", "least(a, b)")} AS prefix, {cut("least(a, b) + 1", "greatest(a, b)")} AS middle, {cut("greatest(a, b) + 1", "n")} AS suffix FROM n)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{p}' || prefix || '{s}' || suffix || '{m}' || middle
+        ELSE '{s}' || suffix || '{p}' || prefix || '{m}' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scan": op1(),
@@ -166,4 +228,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": op5(),
         "op6_mixing": op6(),
         "op9_exact_topk": op9(),
+        "op11_jaccard_join": op11(),
+        "op12_prefix_trie": op12(),
+        "op13_fill_in_middle": op13(),
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licenses, linededup, mixing, packing, pii, quality, secrets, simhash, topk
+from . import fim, language, licenses, linededup, mixing, packing, parity, pii, quality, secrets, simhash, topk, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.near_sets(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.report(trie.trie(*trie.rebuilt(trie.ordered(_table(spark, sf_dir, "conversations")))))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(fim.transform(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_secret_scan, op2_language_id, op3_quality_rules, op4_license_scan, op5_line_dedup)
     found += (op6_mixing, op7_pii, op8_simhash, op9_exact_topk, op10_packing)
+    found += (op11_jaccard_join, op12_prefix_trie, op13_fill_in_middle)
     return {f.__name__: f for f in found}
