@@ -49,7 +49,7 @@ class Bands:
         p, q = similar
         self.low = [1]
         while self.low[-1] < MOST:
-            self.low.append(self.low[-1] * q // p + 1)
+            self.low.append(self.low[-1] * q // p + 1 if p < q else MOST)
         top = [x - 1 for x in self.low[1:]] + [self.low[-1] * q // p]
         self.most = [2 * x * (q - p) // (p + q) for x in top]
         self.spare = [int(np.ceil(d * spare)) for d in self.most]
