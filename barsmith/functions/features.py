@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from .algebra import EPS, X
 
@@ -47,7 +47,7 @@ def ret(b, n: int = 1) -> X:
 
 
 def _windowed(b, x: X) -> X:
-    return X(x.b, x.e, x.k, x.lv, True)
+    return replace(x, win=True)
 
 
 def named(b, x: X) -> X:

@@ -38,7 +38,7 @@ def _jump(b, x):
     mean, square = named(b, b.cummean(x)), named(b, b.cummean(x * x))
     std = b.sqrt(b.hi2(square - mean * mean, 1e-12)) + 1e-6
     out = b.tanh((x - mean) / std - 1.5)
-    return b.where((b.i < 5) & (b.bars() > 5), 0.0, out)
+    return b.where((b.i < 5) & b.at_least(6), 0.0, out)
 
 
 def _weighted(b, x, weights: list[float], total: float) -> X:

@@ -23,7 +23,7 @@ HORIZON = 2
 def columns(b) -> dict:
     """The features by name and the target."""
     one, two = b.lead(b.open, 1), b.lead(b.open, 2)
-    target = b.let(b.where(b.i >= b.bars() - 2.0, 0.0, b.ln(two / one)))
+    target = b.let(b.ln(two / one))
     return {**{f"f_{n.lower()}": FEATURES[n].build(b) for n in NAMES}, "y": target, "bars": b.bars()}
 
 

@@ -174,12 +174,14 @@ def normalised(b, x: X) -> X:
     expanding z-score below 500 bars and the rolling one from there on. Constant factors stay."""
     x = b.plain(x)
     cross = b.let(b.clamp((x - b.xs_mean(x)) / b.hi2(b.where(b.symbols() <= 1, 1.0, b.xs_std(x)), 1e-8), -3.0, 3.0))
-    mean, square = b.let(b.cummean(x)), b.let(b.cummean(x * x))
+    # below NORM_BARS bars the window holds all bars so far
+    seen = b.lo2(b.i + 1.0, float(NORM_BARS))
+    mean, square = b.let(b.rsum(x, NORM_BARS) / seen), b.let(b.rsum(x * x, NORM_BARS) / seen)
     grown = b.clamp((x - mean) / b.sqrt(b.hi2(square - mean * mean, 1e-8)), -3.0, 3.0)
     w = float(NORM_BARS)
     std = b.sqrt(b.rvar(x, NORM_BARS) * (w / (w - 1.0)))
     rolled = b.where(b.i < NORM_BARS - 1, 0.0, b.clamp((x - b.rmean(x, NORM_BARS)) / b.hi2(std, 1e-8), -3.0, 3.0))
-    alone = b.where(b.bars() < NORM_BARS, grown, rolled)
+    alone = b.where(b.at_least(NORM_BARS), rolled, grown)
     return b.where(b.constant(x), x, b.where(b.symbols() > 1, cross, alone))
 
 

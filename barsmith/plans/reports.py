@@ -8,7 +8,7 @@ the panel already has. `Report` holds such a text; `run` applies it to a DataFra
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +26,7 @@ def profit(b, factor: X, cost: float = COST, band: float = DEAD_BAND) -> dict[st
     position is the squashed factor outside the dead band, and turnover costs."""
     factor = b.plain(factor)
     one, two = b.lead(b.open, 1), b.lead(b.open, 2)
-    target = b.let(b.where(b.i >= b.bars() - 2.0, 0.0, b.ln(two / one)))
+    target = b.let(b.ln(two / one))  # 0 for the last two bars, which have no second open
     raw = b.tanh(factor)
     position = b.let(_column(b.where(b.abs(raw) < band, 0.0, raw)))
     turnover = b.let(b.abs(position - b.lag(position, 1)))
@@ -34,7 +34,7 @@ def profit(b, factor: X, cost: float = COST, band: float = DEAD_BAND) -> dict[st
 
 
 def _column(x: X) -> X:
-    return X(x.b, x.e, x.k, x.lv, True)
+    return replace(x, win=True)
 
 
 def slice_factor(b) -> X:

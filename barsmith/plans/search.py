@@ -27,7 +27,7 @@ def columns(b, pool: Sequence[str]) -> dict:
         if executable(text.split()):
             out[f"x{i}"] = normalised(b, compiled(b, text.split()))
     one, two = b.lead(b.open, 1), b.lead(b.open, 2)
-    return out | {"y": b.let(b.where(b.i >= b.bars() - 2.0, 0.0, b.ln(two / one)))}
+    return out | {"y": b.let(b.ln(two / one))}
 
 
 FINAL = f"""SELECT formula, CASE WHEN std < 1e-4 THEN 'constant' ELSE 'ok' END AS status,

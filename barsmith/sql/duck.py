@@ -153,6 +153,10 @@ class Duck(Base):
     def bars(self) -> X:
         return self.let(self._win("bars", "(count(*) OVER (PARTITION BY symbol))::DOUBLE", self.i))
 
+    def at_least(self, n: int) -> X:
+        bars = self.bars()
+        return self._on(f"atleast{n}", f"{bars.e} >= {n}", bars)
+
     def symbols(self) -> X:
         return self.let(self._win("symbols", "(count(*) OVER (PARTITION BY bar_idx))::DOUBLE", self.i))
 
