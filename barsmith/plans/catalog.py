@@ -13,9 +13,9 @@ from barsmith.functions import times
 from barsmith.functions.features import FEATURES
 from barsmith.functions.features import ret as B_ret
 from barsmith.operators.formula_ops import OPERATORS
-from barsmith.plans import evaluate, formulas, prefix, quality, reports, risk, search
+from barsmith.plans import evaluate, evolve, formulas, pool, prefix, quality, reports, risk, search
 from barsmith.sources import bars as B
-from barsmith.sources.storage import stored
+from barsmith.sources.storage import shared_path, stored
 from barsmith.sql import panels as P
 from barsmith.sql.duck import Duck
 from barsmith.streaming import live
@@ -514,6 +514,32 @@ def search_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.looped(lambda: Engine(B.day_panel(spark, sf_dir)), search.batches())
 
 
+#: Members of the pool of the query, few enough that batches push each other out.
+POOL_SIZE = 5
+#: Rounds and programs of the learning search of the query.
+EVOLVED = 3, 8
+
+
+def search_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The factor pool after several batches, each held to the members that it met."""
+    kept = pool.FactorPool(spark, shared_path(spark, "factor-pool"), POOL_SIZE)
+    for batch in search.batches():
+        b = Engine(B.day_panel(spark, sf_dir))
+        wide = stored(b.frame(**search.columns(b, batch), bars=b.bars()), "search-batch")
+        place = spark.createDataFrame([(f, f"x{i}") for i, f in enumerate(batch)], "formula string, column string")
+        good = search.scored(wide, batch).filter("status = 'ok'").join(place, "formula")
+        kept.update(wide.filter("bar_idx < floor(bars * 8e-1)"), good)
+    return kept.members().select("formula", "round", "raw", rounded("score"))
+
+
+def search_evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every formula of a learning search, by round, with what the pool left of its score."""
+    run = evolve.Search(spark, shared_path(spark, "search"), lambda: Engine(B.day_panel(spark, sf_dir)))
+    return run.run(*EVOLVED)
+
+
+QUERIES |= {"search_pool": search_pool, "search_evolved": search_evolved}
+SQL["search_pool"] = lambda: f"SELECT formula, round::INTEGER AS round, raw, {sql_rounded('score')} FROM ({pool.members_sql(Duck(P.day_panel()), search.batches(), POOL_SIZE)})"
 QUERIES["search_loop"] = search_loop
 SQL["search_loop"] = lambda: f"SELECT formula, status, score FROM ({search.scores_sql(Duck(P.day_panel()), [t for batch in search.batches() for t in batch])}) WHERE status = 'ok' ORDER BY score DESC, formula LIMIT {search.ELITE}"
 QUERIES["search_pool_penalty"], SQL["search_pool_penalty"] = search_pool_penalty, _pool_sql

@@ -36,9 +36,15 @@ FINAL = f"""SELECT formula, CASE WHEN std < 1e-4 THEN 'constant' ELSE 'ok' END A
 
 def scores(b, pool: Sequence[str]) -> DataFrame:
     """formula, status (ok, constant or invalid) and score of each formula."""
-    cols = columns(b, pool)
-    names = [c for c in cols if c != "y"]
-    wide = b.frame(**cols)
+    return scored(b.frame(**columns(b, pool)), pool)
+
+
+def scored(wide: DataFrame, pool: Sequence[str]) -> DataFrame:
+    """The same from the columns that `columns` names, found already."""
+    spark, names = wide.sparkSession, [f"x{i}" for i, text in enumerate(pool) if executable(text.split())]
+    bad = spark.createDataFrame([(t, "invalid", -5.0) for t in pool if not executable(t.split())], "formula string, status string, score double")
+    if not names:
+        return bad
     pairs = ", ".join(f"'{pool[int(c[1:])]}', {c}" for c in names)
     rows = wide.selectExpr("symbol", "bar_idx", "y", f"stack({len(names)}, {pairs}) AS (formula, x)")
     squashed = F.tanh("x")
@@ -46,20 +52,22 @@ def scores(b, pool: Sequence[str]) -> DataFrame:
     before = F.lag("p", 1, 0.0).over(W.partitionBy("formula", "symbol").orderBy("bar_idx"))
     rows = rows.withColumn("pnl", F.col("p") * F.col("y") - F.abs(F.col("p") - before) * COST)
     each = rows.groupBy("formula").agg(F.stddev_samp("x").alias("std"), F.avg("pnl").alias("mean"), F.stddev_pop("pnl").alias("dev"))
-    spark = wide.sparkSession
-    bad = spark.createDataFrame([(t, "invalid", -5.0) for t in pool if not executable(t.split())], "formula string, status string, score double")
     return spark.sql(f"{FINAL} {{each}}", each=each).unionByName(bad)
 
 
-def scores_sql(b, pool: Sequence[str]) -> str:
+def scores_ctes(b, pool: Sequence[str], **more) -> str:
+    """WITH and the tables up to `ag`, what FINAL reads."""
     cols = columns(b, pool)
     each = " UNION ALL ".join(f"SELECT symbol, bar_idx, y, '{pool[int(c[1:])]}' AS formula, {c} AS x FROM out" for c in cols if c != "y")
-    bad = "".join(f" UNION ALL SELECT '{t}', 'invalid', -5e0" for t in pool if not executable(t.split()))
-    return f"""WITH {b.ctes(**cols)}, lg AS ({each}),
+    return f"""WITH {b.ctes(**cols, **more)}, lg AS ({each}),
   ps AS (SELECT *, CASE WHEN abs(tanh(x)) < {DEAD_BAND} THEN 0.0 ELSE tanh(x) END AS p FROM lg),
   pn AS (SELECT formula, x, p * y - abs(p - lag(p, 1, 0.0) OVER (PARTITION BY formula, symbol ORDER BY bar_idx)) * {n(COST)} AS pnl FROM ps),
-  ag AS (SELECT formula, stddev_samp(x) AS std, avg(pnl) AS mean, stddev_pop(pnl) AS dev FROM pn GROUP BY formula)
-  {FINAL} ag{bad}"""
+  ag AS (SELECT formula, stddev_samp(x) AS std, avg(pnl) AS mean, stddev_pop(pnl) AS dev FROM pn GROUP BY formula)"""
+
+
+def scores_sql(b, pool: Sequence[str]) -> str:
+    bad = "".join(f" UNION ALL SELECT '{t}', 'invalid', -5e0" for t in pool if not executable(t.split()))
+    return f"{scores_ctes(b, pool)} {FINAL} ag{bad}"
 
 
 def elite(scored: DataFrame, size: int = ELITE) -> DataFrame:

@@ -25,3 +25,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _found(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to the end, wherever the folder is."""
+    files, where = _found(spark, f"{path}/_SUCCESS")
+    return files.exists(where)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    files, where = _found(spark, path)
+    files.delete(where, True)
