@@ -7,12 +7,13 @@ symmetric difference, and at similarity p/q that is at most (a + b)(q - p)/(p +
 
 * Size bands: borders grow by q/p, so partners lie in one band or in two neighbours. A set has a sketch
   for its own band and one for the next; a pair meets in the band of its larger set.
-* Pigeonhole: D differences at most touch D words, and a sketch has P = D + 1 + spare words, so a
-  linked pair shares 1 + spare words or more. Words are the join's keys. A word's rarity is known, and
-  a set keeps all of its shared words but the `spare` most frequent ones: of two sets that share more
-  than `spare` words, the rarest shared one is kept by both. Words that hardly say anything (zero, one
-  bit, a passage that many texts hold) thus go before any pair is made, and texts that share no more
-  than those have no keys left at all.
+* Pigeonhole: D differences at most touch D words, and a sketch has P = D + 1 + skip + spare words, so a
+  linked pair shares 1 + skip + spare words or more. Words are the join's keys. Of its own words a set
+  posts the D + 1 + spare with the most bits, which leaves out words that hardly say anything (zero or
+  one bit), and a linked pair still has 1 + spare of them in common. Of those that another set posts
+  too, it keeps all but the `spare` most frequent: of two sets that share more than `spare` words the
+  rarest is kept by both. Words of a passage that many texts hold thus go before any pair is made, and
+  texts that share no more than those have no keys left at all.
 * Check: pairs that meet are held to the Hamming bound on whole sketches, then to their whole sets in
   integers, so no link is below the similarity and none is lost.
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,28 +38,38 @@ SHINGLE = 4
 #: Similarity as a fraction, so that no rounding decides.
 SIMILAR = (17, 20)
 LIST = 32
-#: Shared words that a pair has beyond the one of the pigeonhole, as a share of its differences.
-SPARE = 1 / 4
+#: Words beyond those of the pigeonhole, as shares of its differences: left out as too empty or too frequent.
+SKIP, SPARE = 1 / 8, 1 / 8
+#: So many shared words at most are broadcast, 16 bytes each; more are joined by shuffle.
+BROADCAST_WORDS = 2_000_000
 #: Sets of more shingles than Arrow can count are out of reach, so borders end beyond that.
 MOST = 1 << 31
 
 
 class Bands:
-    """Bands of sizes for a similarity: borders, most differences and spare words of each."""
+    """Bands of sizes for a similarity: borders, and the differences, spare words and words of each."""
 
-    def __init__(self, similar: tuple[int, int] = SIMILAR, spare: float = SPARE):
-        p, q = similar
+    def __init__(self, similar: tuple[int, int] = SIMILAR, skip: float = SKIP, spare: float = SPARE):
+        self.p, self.q = p, q = similar
         self.low = [1]
         while self.low[-1] < MOST:
             self.low.append(self.low[-1] * q // p + 1 if p < q else MOST)
-        top = [x - 1 for x in self.low[1:]] + [self.low[-1] * q // p]
-        self.most = [2 * x * (q - p) // (p + q) for x in top]
+        self.top = [x - 1 for x in self.low[1:]] + [self.low[-1] * q // p]
+        self.most = [self.differences(x, x) for x in self.top]
         self.spare = [int(np.ceil(d * spare)) for d in self.most]
-        self.words = [d + 1 + s for d, s in zip(self.most, self.spare, strict=True)]
+        self.words = [d + 1 + s + int(np.ceil(d * skip)) for d, s in zip(self.most, self.spare, strict=True)]
 
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.low, n, side="right")) - 1
 
+    def differences(self, a: int, b: int) -> int:
+        """Of two linked sets of these sizes, at most."""
+        return (a + b) * (self.q - self.p) // (self.p + self.q)
+
+    def posted(self, n: int, at: int) -> int:
+        """Words that a set of size n posts in a band."""
+        return self.differences(n, min(n * self.q // self.p, self.top[at])) + 1 + self.spare[at]
+
 
 def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
     """The parity of the shingles at each of 64 bits of each word."""
@@ -79,10 +91,17 @@ def keys_of(words: np.ndarray, band: int) -> np.ndarray:
     return mixed(words ^ mixed(place)).view(np.int64)
 
 
+def posted(words: np.ndarray, at: int, n: int, bands: Bands) -> np.ndarray:
+    """The keys that a set of size n posts of its sketch in a band: those of most bits, ties by key."""
+    keys = keys_of(words, at)
+    return keys[np.lexsort((keys, -np.bitwise_count(words).astype(np.int64)))[: bands.posted(n, at)]]
+
+
 def _sketches(shingle: int, bands: Bands):
     numbers = pa.list_(pa.int64())
 
     def run(batches):
+        row = TaskContext.get().partitionId() << 40
         for batch in sliced(batches):
             nodes, sizes, own, two = [], [], [], ([], [])
             for text in batch.column(1):
@@ -94,8 +113,9 @@ def _sketches(shingle: int, bands: Bands):
                 for k in (0, 1):  # a set below the first band with differences has no partner but copies
                     fits = band >= 0 and bands.most[band + k]
                     two[k].append(sketch(s, bands.words[band + k]).view(np.int64) if fits else np.zeros(0, np.int64))
-            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(own, pa.int32()), *[pa.array(x, numbers) for x in two]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "node", "n", "band", "own", "next"])
+            columns = [pa.array(np.arange(row, row + len(nodes))), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(own, pa.int32()), *[pa.array(x, numbers) for x in two]]
+            row += len(nodes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "row", "node", "n", "band", "own", "next"])
 
     return run
 
@@ -109,7 +129,8 @@ def _postings(bands: Bands):
                 for i, words in enumerate(batch.column(3 + k)):
                     values = words.values.to_numpy()
                     if len(values):
-                        parts.append((nodes[i], band[i] + k, size[i], keys_of(values.view(np.uint64), int(band[i]) + k)))
+                        at = int(band[i]) + k
+                        parts.append((nodes[i], at, size[i], posted(values.view(np.uint64), at, int(size[i]), bands)))
             counts = [len(p[3]) for p in parts]
             flat = [pa.array(np.repeat(np.array([p[k] for p in parts], t), counts)) for k, t in enumerate((np.int64, np.int32, np.int64))]
             keys = np.concatenate([p[3] for p in parts]) if parts else np.zeros(0, np.int64)
@@ -129,12 +150,12 @@ def _sets(shingle: int):
 
 
 def lists(nodes: DataFrame, bands: Bands) -> DataFrame:
-    """(key, node, at, n, band, size, least) of the keys that nodes keep and share: at is the key's band,
-    size and least the count and the smallest of its nodes."""
-    posts = nodes.filter("n > 0").select("node", "band", "n", "own", "next").mapInArrow(_postings(bands), "node long, at int, n long, key long")
-    posts = stored(posts, "parity-words")
-    counts = posts.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
-    shared = posts.join(counts, F.col("key") == F.col("k"))
+    """(key, node, at, n, size, least, least_n) of the keys that nodes keep and share: at is the key's band,
+    size and least the count and the smallest of its nodes. nodes: node, n, band and the sketches."""
+    posts = nodes.select("node", "band", "n", "own", "next").mapInArrow(_postings(bands), "node long, at int, n long, key long")
+    # postings are found twice and never written: the counts need their keys alone
+    counts = stored(posts.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1"), "parity-words")
+    shared = posts.join(F.broadcast(counts) if counts.count() <= BROADCAST_WORDS else counts, F.col("key") == F.col("k"))
     spare = F.get(F.array(*[F.lit(s) for s in bands.spare]), F.col("at"))
     own = shared.groupBy("node", "at").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("seen", "key"))).alias("m"))  # as many as a sketch has words
     left = F.slice("m", F.lit(1), F.greatest(F.lit(0), F.size("m") - spare))
@@ -171,16 +192,25 @@ def near_sets(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
     """
     kind, bands = docs.schema["doc_id"].dataType.simpleString(), Bands(similar)
     texts = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    schema = f"doc_id {kind}, node long, n long, band int, own array<long>, next array<long>"
+    schema = f"doc_id {kind}, row long, node long, n long, band int, own array<long>, next array<long>"
     rows = stored(texts.mapInArrow(_sketches(shingle, bands), schema), "parity-rows")
-    first = [F.first(c).alias(c) for c in ("n", "band", "own", "next")]
-    nodes = stored(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), *first), "parity-nodes")
-    posts = lists(nodes, bands)
+    members = rows.filter("n > 0").groupBy("node")
+    nodes = members.agg(F.min("doc_id").alias("low"), F.min("row").alias("kept_row"), F.count(F.lit(1)).alias("copies"))
+    nodes = stored(nodes, "parity-nodes")
+    # sketches stay where they are; of copies all rows but one go
+    copies = nodes.filter("copies > 1").select(F.col("node").alias("c_node"), "kept_row")
+    first = F.coalesce(F.col("row") == F.col("kept_row"), F.lit(True))
+    small = nodes.filter("copies > 1").count() <= BROADCAST_NODES
+    sketched = rows.filter("n > 0").join(F.broadcast(copies) if small else copies, F.col("node") == F.col("c_node"), "left")
+    sketched = sketched.filter(first).select("node", "n", "band", "own", "next")
+    posts = lists(sketched, bands)
     p, q = similar
 
     pairs = stored(candidates(posts, bands, similar), "parity-candidates")
     words = F.when(F.col("band") == F.col("at"), F.col("own")).otherwise(F.col("next"))
-    of = lambda name: nodes.select(F.col("node").alias(f"{name}_node"), F.col("n").alias(f"{name}_n"), "band", "own", "next")
+    met = pairs.select(F.col("u").alias("x")).union(pairs.select(F.col("v").alias("x"))).distinct()
+    met = stored(sketched.join(met, F.col("node") == F.col("x"), "left_semi"), "parity-sketches")
+    of = lambda name: met.select(F.col("node").alias(f"{name}_node"), F.col("n").alias(f"{name}_n"), "band", "own", "next")
     for name in ("u", "v"):
         pairs = pairs.join(of(name), F.col(name) == F.col(f"{name}_node")).withColumn(f"{name}_words", words)
         pairs = pairs.select("at", "u", "v", *[f"{x}_{y}" for x in "uv" for y in ("n", "words") if f"{x}_{y}" in pairs.columns])
