@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,25 +33,26 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-_scopes: list[list[str]] = []
+#: The lists of the scopes that are open where the code runs: of this thread, never of another one.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for made in _scopes:
+    for made in _scopes.get():
         made.append(path)
     return path
 
 
 @contextlib.contextmanager
 def scratch():
-    """A list of the paths in the shared folder that are made inside, in order."""
+    """A list of the paths in the shared folder that this thread makes inside, in order."""
     made: list[str] = []
-    _scopes.append(made)
+    before = _scopes.set((*_scopes.get(), made))
     try:
         yield made
     finally:
-        _scopes[:] = [s for s in _scopes if s is not made]
+        _scopes.reset(before)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-MAX_ROUNDS = 60
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
@@ -30,11 +28,10 @@ def stars(edges: DataFrame, name: str = "components") -> DataFrame:
     smallest node of its component. Each round is a table of its own, so a lost executor costs
     a round at most; only counts come to the driver, and the links stay linear in the nodes."""
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), name)
-    for _ in range(MAX_ROUNDS):
+    while True:  # labels fall each round, so it ends; rounds grow with the logarithm of the nodes
         n = now.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
         if n[0] == n[1]:  # each node has one parent: stars, if no parent has one itself
             roots = now.select(F.col("v").alias("r")).distinct()
             if now.join(roots, F.col("u") == F.col("r"), "left_semi").isEmpty():
                 return now
         now = stored(_small_star(stored(_large_star(now), name)), name)
-    raise RuntimeError("components did not settle")

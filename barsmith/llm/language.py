@@ -225,7 +225,8 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     fit = spark.sparkContext.broadcast((langs, [g for g, _ in by], [c for _, c in by]))
 
     def predict(batches):
-        ascii_letter, letter = re.compile(rb"[A-Za-z]").search, re.compile(r"[^\W\d_]").search
+        ascii_letter = re.compile(rb"[A-Za-z]").search
+        letter = lambda text: any(map(str.isalpha, text))  # noqa: E731  number signs are words to a pattern, but no letters
         for batch in sliced(batches):
             texts = [t or b"" for t in batch.column(2).to_pylist()]
             named = np.array([bool(ascii_letter(t) or letter(t.decode())) for t in texts], bool) & bool(langs)

@@ -10,7 +10,7 @@ State, all of it tables in the shared folder:
   the new state of the keys that it touches and of no others; the latest state of a key counts.
   Counts are aggregated with a map-side combine, so a line that stands in every document crosses the
   network once a task.
-* cuckoo filters: the keys with two or more references, dealt to shards by their first bytes. The
+* cuckoo filters: the keys with two or more references, dealt to shards by their last bytes. The
   keys that an insertion brings to two references are inserted into their shards, those that a
   deletion takes below two are removed; a shard that overflows is built anew from the counts, and
   all are dealt anew to more shards once a shard would hold more than SHARD_KEYS on average.
@@ -44,7 +44,8 @@ BROADCAST_BYTES = 32 << 20
 #: Keys of a shard, and postings that meet its filter in one task, on average.
 SHARD_KEYS = 100_000
 TASK_POSTINGS = 1_000_000
-MAX_SHARDS = 65536
+#: Shards are numbered by an int and told apart by four bytes, for 200 trillion keys.
+MAX_SHARDS = 1 << 31
 COUNTS = ("key", "n", "keeper", "before", "version")
 _WS = WS_CHARS.encode()
 
@@ -183,8 +184,8 @@ def without_keys(held: pa.Table, gone: pa.Table) -> pa.Table:
 
 
 def shard_of(shards: int):
-    """Shard by the first two bytes of the key."""
-    return (F.conv(F.hex(F.substring("key", 1, 2)), 16, 10).cast("int") % shards).alias("shard")
+    """Shard by the last four bytes of the key, which say nothing of its place and mark in a filter."""
+    return (F.conv(F.hex(F.substring("key", 13, 4)), 16, 10).cast("long") % shards).cast("int").alias("shard")
 
 
 class LineDedup:
@@ -348,7 +349,7 @@ class LineDedup:
 
 
 def passing(keys: np.ndarray, filters: dict[int, Cuckoo], shards: int) -> np.ndarray:
-    shard = (keys[:, 0].astype(np.int64) * 256 + keys[:, 1]) % shards
+    shard = np.ascontiguousarray(keys[:, 12:]).view(">u4")[:, 0].astype(np.int64) % shards
     order = np.argsort(shard, kind="stable")
     out = np.zeros(len(keys), bool)
     borders = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))

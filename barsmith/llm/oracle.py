@@ -32,7 +32,7 @@ def op1() -> str:
     plain = {
         "pem": "-----BEGIN [A-Z ]*PRIVATE KEY-----",
         "jwt": rf"(?:^|[^A-Za-z0-9_-])eyJ{web}{{8,}}\.eyJ{web}{{8,}}\.{web}{{8,}}",
-        "prefixed": r"(?:gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})",
+        "prefixed": r"(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35,})",
         "address": r"://[A-Za-z0-9._~-]*:[^\x00-\x20/@:]{3,}@",
     }
     skips = {"jwt": "(CASE WHEN hit LIKE 'e%' THEN 0 ELSE 1 END)"}

@@ -67,7 +67,7 @@ RULES = (
     Rule("jwt", rf"(?<!{WEB})eyJ{WEB}{{8,}}+\.eyJ{WEB}{{8,}}+\.{WEB}{{8,}}+", gate=("eyJ",)),
     Rule(
         "prefixed",
-        r"(?:gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35})",
+        r"(?:gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35,}+)",
         gate=("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "AIza"),
     ),
     Rule("address", r"://[A-Za-z0-9._~-]*+:[^\x00-\x20/@:]{3,}+@", gate=("://",)),
