@@ -50,9 +50,8 @@ def quantiles(df: DataFrame, group: list[str], value: str, at: dict[str, float])
     for other in near[1:]:
         hit = hit | other
     rows = rows.filter(hit)  # two rows a quantile at most
-    parts = []
-    for n, q in at.items():
-        share = spot(q) - low[n]
-        weight = F.when(F.col("rank_place") == low[n], 1 - share).when(F.col("rank_place") == low[n] + 1, share)
-        parts.append(F.sum(F.when(weight > 0, weight * F.col(value))).alias(n))
-    return rows.groupBy(*group).agg(*parts)
+    ends = [F.max(F.when(F.col("rank_place") == low[n] + k, F.col(value))).alias(f"{n}_{k}") for n in at for k in (0, 1)]
+    found = rows.groupBy(*group).agg(F.first(COUNT).alias(COUNT), *ends)
+    # equal neighbours give their own value to the last digit
+    between = lambda n, q: F.col(f"{n}_0") + (spot(q) - low[n]) * (F.coalesce(f"{n}_1", f"{n}_0") - F.col(f"{n}_0"))
+    return found.select(*group, *[between(n, q).alias(n) for n, q in at.items()])

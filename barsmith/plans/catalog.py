@@ -202,8 +202,13 @@ for _r in evaluate.EVALUATIONS.values():
     evaluation_query(_r)
 
 
+def eval_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.information(_wide(spark, sf_dir)).select("name", rounded("ic"), rounded("rank_ic"), rounded("ir"))
+
+
 def eval_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.mutual_information(evaluate.candidates(_wide(spark, sf_dir))).select("name", rounded("mi"))
+    wide = _wide(spark, sf_dir)
+    return evaluate.mutual_information(evaluate.candidates(wide), evaluate.target(wide)).select("name", rounded("mi"))
 
 
 def eval_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,9 +217,9 @@ def eval_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scores(spark: SparkSession, wide: DataFrame) -> DataFrame:
     cand = evaluate.candidates(wide)
-    ranks = spark.sql(f"WITH {evaluate.RANKED} SELECT name, rank_ic FROM ev".replace("{pnl}", "{cand}"), cand=cand)
     flat = evaluate.EVALUATIONS["eval_degenerate"].run(spark, cand).select("name", "degenerate")
-    return evaluate.scored(flat, ranks, evaluate.mutual_information(cand))
+    ranks = evaluate.information(wide).select("name", "rank_ic")
+    return evaluate.scored(flat, ranks, evaluate.mutual_information(cand, evaluate.target(wide)))
 
 
 def eval_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,13 +249,13 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = evaluate.active_subset(rows, most=evaluate.TOP)
     listed = spark.createDataFrame([(*r.values(), top.index(r["name"]) + 1 if r["name"] in top else None) for r in rows], f"{PRUNED}, place int")
     out = listed.withColumn("score", rounded("score"))
-    for name in ("eval_ic", "eval_ablation"):
-        out = out.join(evaluate.EVALUATIONS[name].run(spark, cand), "name", "left")
-    mi = evaluate.mutual_information(cand).select("name", rounded("mi"))
+    out = out.join(evaluate.information(wide).select("name", rounded("ic"), rounded("rank_ic"), rounded("ir")), "name", "left")
+    out = out.join(evaluate.EVALUATIONS["eval_ablation"].run(spark, cand), "name", "left")
+    mi = evaluate.mutual_information(cand, evaluate.target(wide)).select("name", rounded("mi"))
     return out.join(mi, "name", "left")
 
 
-QUERIES |= {f.__name__: f for f in (eval_mutual_information, eval_correlations, eval_score, eval_prune, eval_report)}
+QUERIES |= {f.__name__: f for f in (eval_ic, eval_mutual_information, eval_correlations, eval_score, eval_prune, eval_report)}
 
 
 def _evaluation_sql(select: str, *ctes: str) -> str:

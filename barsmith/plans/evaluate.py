@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barsmith.functions.features import FEATURES
+from barsmith.functions.ranks import quantiles, ranked
+from barsmith.sources.storage import stored
 
 from .reports import Report, r6
 
@@ -64,28 +66,51 @@ EVALUATIONS = {
 }
 
 
-def mutual_information(cand: DataFrame) -> DataFrame:
-    """Discrete mutual information with the target; the edges are exact percentiles, aggregated
-    over partitions, and the counts of at most 400 cells meet for each name."""
+def information(wide: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """name, ic, rank_ic and ir of every candidate. Ranks come from sorted ranges, those of the target once
+    for all candidates; no task holds a symbol's values of a candidate."""
+    rows = wide.filter(F.col("bar_idx") < F.col("bars") - horizon)
+    rows = ranked(rows, ["symbol"], "y", "ry")
+    pairs = ", ".join(f"'{n}', f_{n.lower()}" for n in NAMES)
+    long = ranked(rows.selectExpr("symbol", "y", "ry", f"stack({len(NAMES)}, {pairs}) AS (name, x)"), ["name", "symbol"], "x", "rx")
+    corr = lambda x, y: F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    each = long.groupBy("name", "symbol").agg(corr("x", "y").alias("ic"), corr("rx", "ry").alias("ric"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    each = each.filter("sx >= 1e-8 AND sy >= 1e-8").groupBy("name")
+    ir = F.when(F.stddev_pop("ic") > 1e-10, F.avg("ic") / (F.stddev_pop("ic") + 1e-10)).otherwise(0.0)
+    return each.agg(F.avg("ic").alias("ic"), F.avg("ric").alias("rank_ic"), ir.alias("ir"))
+
+
+def mutual_information(cand: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """Discrete mutual information with the target; the edges are exact quantiles found by sorted ranges,
+    and the counts of at most 400 cells meet for each name. target: the column y by itself, if it is
+    the same for all candidates; it is then sorted once."""
+    from pyspark.sql import Window as W
+
     n = cand.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     bins = F.greatest(F.lit(5), F.least(F.lit(20), F.floor(F.sqrt("n")).cast("int")))
-    n = n.select("name", bins.alias("bins"), "n")
+    n = stored(n.select("name", bins.alias("bins"), "n"), "evaluation")
     parts = []
     for k in [r["bins"] for r in n.select("bins").distinct().collect()]:  # 16 values at most
         names = n.filter(F.col("bins") == k).select("name", "n")
         rows = cand.join(F.broadcast(names), "name")  # one row for each candidate
-        edges = F.array(*[F.lit(i / k) for i in range(k + 1)])
-        cut = rows.groupBy(F.col("name").alias("e_name")).agg(F.percentile("x", edges).alias("ex"), F.percentile("y", edges).alias("ey"))
+        at = {f"e{i}": i / k for i in range(k + 1)}
+        listed = lambda found, by, name: found.select(*by, F.array(*at).alias(name))
+        cut = listed(quantiles(rows.select("name", "x"), ["name"], "x", at), [F.col("name").alias("e_name")], "ex")
+        if target is None:
+            cut = cut.join(listed(quantiles(rows.select("name", "y"), ["name"], "y", at), [F.col("name").alias("y_name")], "ey"), F.col("e_name") == F.col("y_name"))
+        else:
+            every = target.select(F.lit(0).alias("all"), "y")
+            cut = cut.join(F.broadcast(listed(quantiles(every, ["all"], "y", at), [], "ey")))  # one row
         inner = lambda e: F.slice(F.array_distinct(e), F.lit(2), F.greatest(F.size(F.array_distinct(e)) - 2, F.lit(0)))
         rows = rows.join(F.broadcast(cut), F.col("name") == F.col("e_name"))
         bin_of = lambda e, v: F.size(F.filter(inner(e), lambda c: c <= v))
         parts.append(rows.select("name", "n", bin_of(F.col("ex"), F.col("x")).alias("bx"), bin_of(F.col("ey"), F.col("y")).alias("by")))
+    if not parts:
+        return n.select("name", F.lit(0.0).alias("mi"))
     all_ = parts[0]
     for more in parts[1:]:
         all_ = all_.unionByName(more)
     cells = all_.groupBy("name", "bx", "by").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-    from pyspark.sql import Window as W
-
     row = F.sum("c").over(W.partitionBy("name", "bx"))
     col = F.sum("c").over(W.partitionBy("name", "by"))
     cells = cells.withColumns({"row": row, "col": col})
@@ -93,6 +118,10 @@ def mutual_information(cand: DataFrame) -> DataFrame:
     return cells.groupBy("name").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
 
 
+def target(wide: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    return wide.filter(F.col("bar_idx") < F.col("bars") - horizon).select("y")
+
+
 def mutual_information_sql() -> str:
     """`mi` over `cand`."""
     inner = lambda e: f"list_sort(list_distinct({e}))[2:len(list_distinct({e})) - 1]"
