@@ -18,7 +18,7 @@ from barsmith.sources import bars as B
 from barsmith.sources.storage import shared_path, stored
 from barsmith.sql import panels as P
 from barsmith.sql.duck import Duck
-from barsmith.streaming import live
+from barsmith.streaming import live, watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str | Callable[[], str]] = {}
@@ -405,17 +405,31 @@ raw_query(
 )
 
 
-def live_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every timeframe whether bars of a minute, an hour and a day ago serve again, and the next poll."""
-    rows = spark.createDataFrame([(t, s, a) for t, s in B.TIMEFRAMES.items() for a in (60, 3600, 86400)], "timeframe string, period long, age long")
-    now = F.lit(1_700_000_000).cast("long")
-    return rows.select("timeframe", "age", times.still_good(now - F.col("age"), now, F.col("period")).alias("good"), times.next_poll(now - F.col("age"), now, 900).alias("next_poll"))
+#: Seconds of a watched bar, between the polls of two tasks that share a symbol, and that bars serve again.
+WATCH = 3600, (7200, 18_000), 5760
 
 
-QUERIES["live_polls"] = live_polls
-SQL["live_polls"] = lambda: "SELECT timeframe, age, age < greatest(10, period * 0.8) AS good, (1700000000 + greatest(10, 900 - age))::BIGINT AS next_poll FROM (VALUES " + ", ".join(
-    f"('{t}', {s}::BIGINT)" for t, s in B.TIMEFRAMES.items()
-) + ") v(timeframe, period), (VALUES (60::BIGINT), (3600::BIGINT), (86400::BIGINT)) w(age)"
+def live_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happens at the close of each watched bar: direction, history, due polls, fetches."""
+    return watch.events(spark, live.ticks(spark, sf_dir), *WATCH).withColumn("mean_close", rounded("mean_close"))
+
+
+def _polls_sql() -> str:
+    width, (one, two), keep = WATCH
+    return f"""WITH RECURSIVE e AS (SELECT event_type AS symbol, ts, event_id, value, floor(epoch(ts) / {width})::BIGINT * {width} AS time FROM events),
+  b AS (SELECT symbol, time, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM e GROUP BY symbol, time),
+  c AS (SELECT *, CASE WHEN close >= 55 THEN 'LONG' WHEN close <= 45 THEN 'SHORT' ELSE 'FLAT' END AS direction, row_number() OVER (PARTITION BY symbol ORDER BY time) AS k
+    FROM b WHERE time + {width} <= (SELECT epoch(max(ts)) FROM events)),
+  d AS (SELECT *, coalesce(lag(direction) OVER w <> direction, false) AS flipped, least(k, {live.HISTORY}) AS history, avg(close) OVER (w ROWS BETWEEN {live.HISTORY - 1} PRECEDING AND CURRENT ROW) AS mean_close
+    FROM c WINDOW w AS (PARTITION BY symbol ORDER BY time)),
+  p(symbol, k, due, fetched, one, two, got) AS (SELECT symbol, 0::BIGINT, 0::BIGINT, false, 0::BIGINT, 0::BIGINT, -1000000000::BIGINT FROM c GROUP BY symbol
+    UNION ALL SELECT symbol, k, (a + b)::BIGINT, f, CASE WHEN a = 1 THEN now + {one} ELSE one END, CASE WHEN b = 1 THEN now + {two} ELSE two END, CASE WHEN f THEN now ELSE got END
+    FROM (SELECT *, a + b > 0 AND now - got >= {keep} AS f FROM (SELECT c.symbol, c.k, c.time + {width} AS now, one, two, got, CASE WHEN c.time + {width} >= one THEN 1 ELSE 0 END AS a,
+      CASE WHEN c.time + {width} >= two THEN 1 ELSE 0 END AS b FROM p JOIN c ON c.symbol = p.symbol AND c.k = p.k + 1)))
+  SELECT symbol, time, open, high, low, close, volume, direction, flipped, history, {sql_rounded("mean_close")}, due, fetched FROM d JOIN p USING (symbol, k)"""
+
+
+QUERIES["live_polls"], SQL["live_polls"] = live_polls, _polls_sql
 
 #: Strategies as artifacts name them: a published formula and the symbol that it is for.
 STRATEGIES = [(text, "ANR"[i % 3]) for i, text in enumerate(formulas.PUBLISHED.values())]
