@@ -1,16 +1,17 @@
 """N-gram Jaccard join on parity sketches.
 
 A text is the set of its different shingles (64-bit hashes); texts of one set are one node, so exact
-copies cost nothing. A sketch has P words of 64 bits: each shingle flips one bit of one word. What two
-sets share cancels out, so the Hamming distance of their sketches is at most the size of their
-symmetric difference, and at similarity p/q that is at most (a + b)(q - p)/(p + q) for sizes a and b.
-
-* Size bands: borders grow by q/p, so partners lie in one band or in two neighbours. A set has a sketch
-  for its own band and one for the next; a pair meets in the band of its larger set.
+copies cost nothing. A sketch has P words: each shingle is XORed into one of them, as a bit of the low
+half and as a hash of the high half. What two sets share cancels out, so the Hamming distance of the low
+halves, and the number of words that differ, are at most the size of the symmetric difference, and at
+similarity p/q that is at most (a + b)(q - p)/(p + q) for sizes a and b.
+
+* Size bands: borders grow by RATIO, more than q/p, so partners lie in one band or in two neighbours. A
+  set has a sketch for its own band and, if a partner may be there, one for the next; a pair meets in
+  the band of its larger set.
 * Pigeonhole: D differences at most touch D words, and a sketch has P = D + 1 + skip + spare words, so a
   linked pair shares 1 + skip + spare words or more. Words are the join's keys. Of its own words a set
-  posts the D + 1 + spare with the most bits, which leaves out words that hardly say anything (zero or
-  one bit), and a linked pair still has 1 + spare of them in common. Of those that another set posts
+  posts the D + 1 + spare with the most bits, which leaves out words that say nothing, and a linked pair still has 1 + spare of them in common. Of those that another set posts
   too, it keeps all but the `spare` most frequent: of two sets that share more than `spare` words the
   rarest is kept by both. Words of a passage that many texts hold thus go before any pair is made, and
   texts that share no more than those have no keys left at all.
@@ -40,8 +41,9 @@ SIMILAR = (17, 20)
 LIST = 32
 #: Words beyond those of the pigeonhole, as shares of its differences: left out as too empty or too frequent.
 SKIP, SPARE = 1 / 8, 1 / 8
-#: So many shared words at most are broadcast, 16 bytes each; more are joined by shuffle.
-BROADCAST_WORDS = 2_000_000
+#: How much wider than the last a size band is.
+RATIO = 7, 5
+LOW = np.uint64(0xFFFFFFFF)
 #: Sets of more shingles than Arrow can count are out of reach, so borders end beyond that.
 MOST = 1 << 31
 
@@ -53,7 +55,7 @@ class Bands:
         self.p, self.q = p, q = similar
         self.low = [1]
         while self.low[-1] < MOST:
-            self.low.append(self.low[-1] * q // p + 1 if p < q else MOST)
+            self.low.append(max(self.low[-1] * q // p + 1, self.low[-1] * RATIO[0] // RATIO[1]) if p < q else MOST)
         self.top = [x - 1 for x in self.low[1:]] + [self.low[-1] * q // p]
         self.most = [self.differences(x, x) for x in self.top]
         self.spare = [int(np.ceil(d * spare)) for d in self.most]
@@ -66,15 +68,25 @@ class Bands:
         """Of two linked sets of these sizes, at most."""
         return (a + b) * (self.q - self.p) // (self.p + self.q)
 
+    def at(self, n: int) -> list[int]:
+        """The bands in which a set of size n can meet another one."""
+        own = self.of(n)
+        return [k for k in (own, own + 1) if self.most[k] and (k == own or n * self.q // self.p >= self.low[k])]
+
     def posted(self, n: int, at: int) -> int:
         """Words that a set of size n posts in a band."""
         return self.differences(n, min(n * self.q // self.p, self.top[at])) + 1 + self.spare[at]
 
 
 def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
-    """The parity of the shingles at each of 64 bits of each word."""
+    """Words of the parity of 32 bits and, above, of 32-bit hashes."""
+    h = mixed(hashes)  # the order of the sorted set is no part of it
+    order = np.argsort(place := h % np.uint64(words), kind="stable")
+    value = ((h & ~LOW) | (np.uint64(1) << ((h >> np.uint64(27)) & np.uint64(31))))[order]
     out = np.zeros(words, np.uint64)
-    np.bitwise_xor.at(out, ((hashes >> np.uint64(6)) % np.uint64(words)).astype(np.int64), np.uint64(1) << (hashes & np.uint64(63)))
+    at, first = np.unique(place[order], return_index=True)
+    if len(at):
+        out[at.astype(np.int64)] = np.bitwise_xor.reduceat(value, first)
     return out
 
 
@@ -86,15 +98,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def keys_of(words: np.ndarray, band: int) -> np.ndarray:
-    """A key for each word of a band's sketch, by place and value."""
+    """A key of 48 bits for each word of a band's sketch, by place and value."""
     place = np.arange(len(words), dtype=np.uint64) + np.uint64((band << 40) + 1)
-    return mixed(words ^ mixed(place)).view(np.int64)
+    return (mixed(words ^ mixed(place)) >> np.uint64(16)).view(np.int64)
 
 
 def posted(words: np.ndarray, at: int, n: int, bands: Bands) -> np.ndarray:
     """The keys that a set of size n posts of its sketch in a band: those of most bits, ties by key."""
     keys = keys_of(words, at)
-    return keys[np.lexsort((keys, -np.bitwise_count(words).astype(np.int64)))[: bands.posted(n, at)]]
+    return keys[np.lexsort((keys, -np.bitwise_count(words & LOW).astype(np.int64)))[: bands.posted(n, at)]]
 
 
 def _sketches(shingle: int, bands: Bands):
@@ -110,9 +122,9 @@ def _sketches(shingle: int, bands: Bands):
                 nodes.append(node_of(s))
                 sizes.append(len(s))
                 own.append(band)
-                for k in (0, 1):  # a set below the first band with differences has no partner but copies
-                    fits = band >= 0 and bands.most[band + k]
-                    two[k].append(sketch(s, bands.words[band + k]).view(np.int64) if fits else np.zeros(0, np.int64))
+                meets = bands.at(len(s)) if len(s) else []
+                for k in (0, 1):
+                    two[k].append(sketch(s, bands.words[band + k]).view(np.int64) if band + k in meets else np.zeros(0, np.int64))
             columns = [pa.array(np.arange(row, row + len(nodes))), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(own, pa.int32()), *[pa.array(x, numbers) for x in two]]
             row += len(nodes)
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "row", "node", "n", "band", "own", "next"])
@@ -150,35 +162,38 @@ def _sets(shingle: int):
 
 
 def lists(nodes: DataFrame, bands: Bands) -> DataFrame:
-    """(key, node, at, n, size, least, least_n) of the keys that nodes keep and share: at is the key's band,
-    size and least the count and the smallest of its nodes. nodes: node, n, band and the sketches."""
+    """(key, node, at, n, seen) of the keys that nodes keep: at is the key's band, seen how many nodes have
+    posted it. nodes: node, n, band and the sketches."""
     posts = nodes.select("node", "band", "n", "own", "next").mapInArrow(_postings(bands), "node long, at int, n long, key long")
     # postings are found twice and never written: the counts need their keys alone
-    counts = stored(posts.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1"), "parity-words")
-    shared = posts.join(F.broadcast(counts) if counts.count() <= BROADCAST_WORDS else counts, F.col("key") == F.col("k"))
+    counts = posts.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
+    shared = posts.join(counts, F.col("key") == F.col("k"))
     spare = F.get(F.array(*[F.lit(s) for s in bands.spare]), F.col("at"))
     own = shared.groupBy("node", "at").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("seen", "key"))).alias("m"))  # as many as a sketch has words
     left = F.slice("m", F.lit(1), F.greatest(F.lit(0), F.size("m") - spare))
-    kept = stored(own.select("node", "at", "n", F.explode(F.transform(left, lambda x: x["key"])).alias("key")), "parity-kept")
-    sizes = kept.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.min_by("n", "node").alias("least_n")).filter("size > 1")
-    return stored(kept.join(sizes, F.col("key") == F.col("k")).drop("k"), "parity-lists")
+    return stored(own.select("node", "at", "n", F.explode(left).alias("m")).select("m.key", "node", "at", "n", "m.seen"), "parity-lists")
 
 
-def candidates(posts: DataFrame, bands: Bands, similar: tuple[int, int]) -> DataFrame:
-    """Pairs (u, v, at) whose sizes allow a link, each once, in the band of the larger set."""
+def candidates(posts: DataFrame, bands: Bands, similar: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v, at) whose sizes allow a link, each once, in the band of the larger set; and (node, low)
+    of the lists that are longer than LIST, low the smallest node of the list."""
     p, q = similar
     low = F.get(F.array(*[F.lit(x).cast("long") for x in bands.low]), F.col("at"))
     fits = lambda a, b: (F.least(a, b) * q >= F.greatest(a, b) * p) & (F.greatest(a, b) >= F.col("low"))
     posts = posts.withColumn("low", low)
-    short = posts.filter(F.col("size") <= LIST).groupBy("key", "at", "low").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
+    short = posts.filter(F.col("seen") <= LIST).groupBy("key", "at", "low").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
 
     def partners(a: Column, i: Column) -> Column:
         later = F.filter(F.slice("m", i + 2, F.size("m")), lambda b: fits(a["n"], b["n"]))
         return F.transform(later, lambda b: F.struct(a["node"].alias("u"), b["node"].alias("v")))
 
-    pairs = short.select("at", F.explode(F.flatten(F.transform("m", partners))).alias("e")).select("e.u", "e.v", "at")
-    hubs = posts.filter((F.col("size") > LIST) & (F.col("node") != F.col("least")) & fits(F.col("n"), F.col("least_n")))
-    return pairs.union(hubs.select(F.col("least").alias("u"), F.col("node").alias("v"), "at")).distinct()
+    pairs = short.filter(F.size("m") > 1).select("at", F.explode(F.flatten(F.transform("m", partners))).alias("e")).select("e.u", "e.v", "at")
+    long = posts.filter(F.col("seen") > LIST)
+    least = long.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("node", "n")).alias("least"))
+    long = stored(long.join(least, F.col("key") == F.col("k")).filter(F.col("node") != F.col("least.node")).select("node", "n", "at", "low", "least").distinct(), "parity-long")
+    hubs = long.filter(fits(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("u"), F.col("node").alias("v"), "at")
+    ends = long.select("node", F.col("least.node").alias("low"))
+    return pairs.union(hubs).distinct(), ends.union(ends.select(F.col("low").alias("node"), "low")).distinct()
 
 
 def near_sets(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -197,16 +212,16 @@ def near_sets(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
     members = rows.filter("n > 0").groupBy("node")
     nodes = members.agg(F.min("doc_id").alias("low"), F.min("row").alias("kept_row"), F.count(F.lit(1)).alias("copies"))
     nodes = stored(nodes, "parity-nodes")
-    # sketches stay where they are; of copies all rows but one go
+    # sketches stay where they are; of copies all rows but one go, whose number is the node's in what follows
     copies = nodes.filter("copies > 1").select(F.col("node").alias("c_node"), "kept_row")
-    first = F.coalesce(F.col("row") == F.col("kept_row"), F.lit(True))
-    small = nodes.filter("copies > 1").count() <= BROADCAST_NODES
+    small = copies.count() <= BROADCAST_NODES
     sketched = rows.filter("n > 0").join(F.broadcast(copies) if small else copies, F.col("node") == F.col("c_node"), "left")
-    sketched = sketched.filter(first).select("node", "n", "band", "own", "next")
-    posts = lists(sketched, bands)
+    sketched = sketched.filter(F.coalesce(F.col("row") == F.col("kept_row"), F.lit(True)))
+    sketched = sketched.select(F.col("row").alias("node"), "n", "band", "own", "next")
     p, q = similar
 
-    pairs = stored(candidates(posts, bands, similar), "parity-candidates")
+    pairs, long = candidates(lists(sketched, bands), bands, similar)
+    pairs = stored(pairs, "parity-candidates")
     words = F.when(F.col("band") == F.col("at"), F.col("own")).otherwise(F.col("next"))
     met = pairs.select(F.col("u").alias("x")).union(pairs.select(F.col("v").alias("x"))).distinct()
     met = stored(sketched.join(met, F.col("node") == F.col("x"), "left_semi"), "parity-sketches")
@@ -214,11 +229,18 @@ def near_sets(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
     for name in ("u", "v"):
         pairs = pairs.join(of(name), F.col(name) == F.col(f"{name}_node")).withColumn(f"{name}_words", words)
         pairs = pairs.select("at", "u", "v", *[f"{x}_{y}" for x in "uv" for y in ("n", "words") if f"{x}_{y}" in pairs.columns])
-    apart = F.aggregate(F.zip_with("u_words", "v_words", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.filter(apart * (p + q) <= (F.col("u_n") + F.col("v_n")) * (q - p))
-    pairs = stored(pairs.select("u", "v").distinct(), "parity-pairs")
-
-    long = stored(posts.filter(F.col("size") > LIST).select("node", F.col("least").alias("low")).distinct(), "parity-long")
+    bits = lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(int(LOW))))
+    apart = F.aggregate(F.zip_with("u_words", "v_words", bits), F.lit(0), lambda s, x: s + x)
+    pairs = pairs.filter(apart * (p + q) <= (F.col("u_n") + F.col("v_n")) * (q - p)).select("u", "v").distinct()
+    by_row = nodes.select(F.col("kept_row").alias("r"), F.col("node").alias("name"))
+
+    def named(df: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            df = df.join(by_row, F.col(c) == F.col("r")).withColumn(c, F.col("name")).drop("r", "name")
+        return df
+
+    pairs = stored(named(pairs, "u", "v"), "parity-pairs")
+    long = stored(named(long, "node", "low"), "parity-crowds")
     asked = pairs.select(F.col("u").alias("x")).union(pairs.select(F.col("v").alias("x"))).union(long.select(F.col("node").alias("x")))
     asked = stored(asked.distinct(), "parity-asked")
     few = asked.count() <= BROADCAST_NODES
