@@ -13,7 +13,7 @@ from barsmith.functions import times
 from barsmith.functions.features import FEATURES
 from barsmith.functions.features import ret as B_ret
 from barsmith.operators.formula_ops import OPERATORS
-from barsmith.plans import evaluate, evolve, formulas, pool, prefix, quality, reports, risk, search
+from barsmith.plans import evaluate, evolve, formulas, pool, prefix, quality, reports, risk, search, timesets
 from barsmith.sources import bars as B
 from barsmith.sources.storage import shared_path, stored
 from barsmith.sql import panels as P
@@ -322,6 +322,34 @@ for _r in quality.CHECKS.values():
     check_query(_r, "hours" if _r.name == "dq_sessions" else "days")
 
 
+#: Seconds between the slots of the time sets: the tables of these checks have daily bars.
+STEP = 86_400
+#: Of the query: symbols that share so many days with both of these.
+CORE, ALIGNED = ["A", "N"], 2400
+
+
+def _timesets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timesets.packed(B.lineitem_days(spark, sf_dir), STEP)
+
+
+def dq_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timesets.overlaps(_timesets(spark, sf_dir))
+
+
+def dq_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timesets.missing(stored(_timesets(spark, sf_dir), "time-sets"), STEP)
+
+
+def dq_aligned_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that can join a core of two without losing more than a few of its bars."""
+    return timesets.aligned_group(stored(_timesets(spark, sf_dir), "time-sets"), CORE, ALIGNED)
+
+
+QUERIES |= {f.__name__: f for f in (dq_overlap, dq_missing, dq_aligned_group)}
+SQL["dq_aligned_group"] = lambda: f"""WITH {P.lineitem_days()}, kn AS (SELECT time FROM raw WHERE symbol IN ('{"', '".join(CORE)}') GROUP BY time HAVING count(DISTINCT symbol) = {len(CORE)})
+  SELECT symbol, count(DISTINCT time) AS common_times FROM raw WHERE time IN (SELECT time FROM kn) GROUP BY symbol HAVING count(DISTINCT time) >= {ALIGNED}"""
+
+
 def dq_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of each symbol at each timeframe."""
     parts = [f(spark, sf_dir).select("symbol", F.lit(s).alias("tf")) for s, (f, _) in RAW.items()]
