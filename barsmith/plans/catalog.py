@@ -13,7 +13,7 @@ from barsmith.functions import times
 from barsmith.functions.features import FEATURES
 from barsmith.functions.features import ret as B_ret
 from barsmith.operators.formula_ops import OPERATORS
-from barsmith.plans import evaluate, evolve, formulas, pool, prefix, quality, reports, risk, search, timesets
+from barsmith.plans import artifacts, evaluate, evolve, formulas, pool, prefix, quality, reports, risk, search, timesets
 from barsmith.sources import bars as B
 from barsmith.sources.storage import shared_path, stored
 from barsmith.sql import panels as P
@@ -481,16 +481,19 @@ def _solo(b, symbol: str) -> dict[str, X]:
     return {f"p{i}": reports.profit(b, formulas.compiled(b, STRATEGIES[i][0].split()), cost)["pnl"] for i in own}
 
 
+def _figures(rows: DataFrame) -> DataFrame:
+    found = rows.sparkSession.sql(f"WITH {_scan('{long}')}", long=rows.withColumnRenamed("program", "formula"))
+    return found.withColumnRenamed("formula", "program")
+
+
 def scan_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every strategy on its own symbol alone."""
-    parts = []
-    for symbol in sorted({s for _, s in STRATEGIES}):
-        b = Engine(B.day_panel(spark, sf_dir, symbol))
-        cols = _solo(b, symbol)
-        kinds = ", ".join(f"'{STRATEGIES[int(c[1:])][0]}', {c}" for c in cols)
-        parts.append(b.frame(**cols).selectExpr("symbol", "bar_idx", f"stack({len(cols)}, {kinds}) AS (formula, pnl)"))
-    long = functools.reduce(DataFrame.unionByName, parts)
-    return spark.sql(f"WITH {_scan('{long}')}", long=long)
+    """Every strategy on its own symbol alone, all in one plan."""
+    names = [(text, formulas.VOCABULARY.encode(text.split()), symbol, formulas.VOCABULARY.version) for text, symbol in STRATEGIES]
+    own = spark.createDataFrame(names, "name string, formula array<int>, symbol string, vocab_version string")
+    panel = B.indexed(B.lineitem_days(spark, sf_dir))
+    panel = panel.join(B.with_costs(panel.select("symbol").distinct(), MARKETS).select("symbol", "cost"), "symbol")
+    found = artifacts.scan(own, panel, _figures)
+    return found.drop("formula").withColumnRenamed("name", "formula").select("formula", "symbol", "n_bars", "annual", "total_return", "sharpe", "max_drawdown", "valid")
 
 
 def _scan_sql() -> str:
