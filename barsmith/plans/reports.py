@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barsmith.functions.algebra import X
+from barsmith.functions.algebra import BLOCK_BARS, X
 from barsmith.functions.features import ret
 from barsmith.operators.formula_ops import OPERATORS
 
@@ -141,12 +141,24 @@ def flattened(table: str) -> str:
 
 
 report("stat_flattened", f"SELECT count(*) AS n, {r6(sortino1(), 'sortino')}, {r6(clip(f'avg(pnl) * {n(PPY)} / greatest(max(down), 1e-8)', -10, 10), 'calmar')} FROM fd", flattened("{pnl}"))
+def path(table: str) -> str:
+    """pk: the rows of a table (bar_idx, p) with the running sum `cum`, its peak so far, the drawdown `down` and
+    the number of all bars. Blocks of bars are summed up on their own; only a row a block goes through a
+    window without a partition."""
+    earlier, here = "ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING", "PARTITION BY blk ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    return f"""p0 AS (SELECT *, floor(bar_idx / {BLOCK_BARS}e0) AS blk FROM {table}),
+  p1 AS (SELECT *, sum(p) OVER ({here}) AS own FROM p0),
+  p2 AS (SELECT blk, sum(p) AS total, max(own) AS top, count(*) AS n FROM p1 GROUP BY blk),
+  p3 AS (SELECT blk, top, coalesce(sum(total) OVER ({earlier}), 0e0) AS base, sum(n) OVER (PARTITION BY 1) AS bars FROM p2),
+  p4 AS (SELECT blk AS p_blk, base, bars, max(base + top) OVER ({earlier}) AS top FROM p3),
+  p5 AS (SELECT p1.*, base + own AS cum, greatest(max(own) OVER ({here}) + base, top) AS peak, bars FROM p1 JOIN p4 ON blk = p_blk),
+  pk AS (SELECT *, peak - cum AS down FROM p5)"""
+
+
 report(
     "stat_portfolio",
     f"""SELECT count(*) AS n_bars, {r6("sum(p)", "total_return")}, {r6(f"avg(p) / stddev_pop(p) * sqrt({n(PPY)})", "sharpe")}, {r6("max(peak - cum)", "max_drawdown")} FROM pk""",
-    """pf AS (SELECT bar_idx, avg(pnl) AS p FROM {pnl} GROUP BY bar_idx),
-    pc AS (SELECT bar_idx, p, sum(p) OVER (ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM pf),
-    pk AS (SELECT *, max(cum) OVER (ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM pc)""",
+    "pf AS (SELECT bar_idx, avg(pnl) AS p FROM {pnl} GROUP BY bar_idx), " + path("pf"),
 )
 report(
     "stat_tail_portfolio",
@@ -249,9 +261,7 @@ report(
     pu AS (SELECT *, sum(p) OVER (PARTITION BY symbol, scale ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM ps),
     pk AS (SELECT *, greatest(max(cum) OVER (PARTITION BY symbol, scale ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0e0) AS peak FROM pu)""",
 )
-PORT = f"""pf AS (SELECT bar_idx, avg(pnl) AS p, avg(position * target - turnover * {n(2 * COST)}) AS p2 FROM {{pnl}} GROUP BY bar_idx),
-  pc AS (SELECT *, sum(p) OVER (ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, count(*) OVER (PARTITION BY 1) AS bars FROM pf),
-  pk AS (SELECT *, max(cum) OVER (ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cum AS down FROM pc)"""
+PORT = f"pf AS (SELECT bar_idx, avg(pnl) AS p, avg(position * target - turnover * {n(2 * COST)}) AS p2 FROM {{pnl}} GROUP BY bar_idx), " + path("pf")
 report(
     "stat_verdict",
     """SELECT CASE WHEN low_return = 1 OR deep = 2 THEN 'INVALID' WHEN low_sharpe + least(deep, 1) + one_sided + halves_differ + folds_lose + cost_loses > 0 THEN 'SUSPICIOUS' ELSE 'VALID' END AS verdict,
