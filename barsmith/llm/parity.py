@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sliced, stored
@@ -81,12 +81,9 @@ class Bands:
 def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
     """Words of the parity of 32 bits and, above, of 32-bit hashes."""
     h = mixed(hashes)  # the order of the sorted set is no part of it
-    order = np.argsort(place := h % np.uint64(words), kind="stable")
-    value = ((h & ~LOW) | (np.uint64(1) << ((h >> np.uint64(27)) & np.uint64(31))))[order]
+    value = (h & ~LOW) | (np.uint64(1) << ((h >> np.uint64(27)) & np.uint64(31)))
     out = np.zeros(words, np.uint64)
-    at, first = np.unique(place[order], return_index=True)
-    if len(at):
-        out[at.astype(np.int64)] = np.bitwise_xor.reduceat(value, first)
+    np.bitwise_xor.at(out, (h % np.uint64(words)).astype(np.int64), value)
     return out
 
 
@@ -125,9 +122,9 @@ def _sketches(shingle: int, bands: Bands):
                 meets = bands.at(len(s)) if len(s) else []
                 for k in (0, 1):
                     two[k].append(sketch(s, bands.words[band + k]).view(np.int64) if band + k in meets else np.zeros(0, np.int64))
-            columns = [pa.array(np.arange(row, row + len(nodes))), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(own, pa.int32()), *[pa.array(x, numbers) for x in two]]
+            columns = [batch.column(2), pa.array(np.arange(row, row + len(nodes))), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(own, pa.int32()), *[pa.array(x, numbers) for x in two]]
             row += len(nodes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "row", "node", "n", "band", "own", "next"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "digest", "row", "node", "n", "band", "own", "next"])
 
     return run
 
@@ -169,9 +166,10 @@ def lists(nodes: DataFrame, bands: Bands) -> DataFrame:
     counts = posts.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
     shared = posts.join(counts, F.col("key") == F.col("k"))
     spare = F.get(F.array(*[F.lit(s) for s in bands.spare]), F.col("at"))
-    own = shared.groupBy("node", "at").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("seen", "key"))).alias("m"))  # as many as a sketch has words
-    left = F.slice("m", F.lit(1), F.greatest(F.lit(0), F.size("m") - spare))
-    return stored(own.select("node", "at", "n", F.explode(left).alias("m")).select("m.key", "node", "at", "n", "m.seen"), "parity-lists")
+    own = Window.partitionBy("node", "at")  # as many rows as a sketch has words
+    place = F.row_number().over(own.orderBy("seen", "key"))
+    kept = shared.select("key", "node", "at", "n", "seen").withColumn("place", place).withColumn("words", F.count(F.lit(1)).over(own))
+    return stored(kept.filter(F.col("place") <= F.col("words") - spare).drop("place", "words"), "parity-lists")
 
 
 def candidates(posts: DataFrame, bands: Bands, similar: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
@@ -180,15 +178,17 @@ def candidates(posts: DataFrame, bands: Bands, similar: tuple[int, int]) -> tupl
     p, q = similar
     low = F.get(F.array(*[F.lit(x).cast("long") for x in bands.low]), F.col("at"))
     fits = lambda a, b: (F.least(a, b) * q >= F.greatest(a, b) * p) & (F.greatest(a, b) >= F.col("low"))
-    posts = posts.withColumn("low", low)
-    short = posts.filter(F.col("seen") <= LIST).groupBy("key", "at", "low").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
+    # rows are dealt as they are, and lists of LIST nodes at most are put together where they arrive
+    short = posts.filter(F.col("seen") <= LIST).select("key", "node", "at", "n").repartition("key")
+    short = short.groupBy("key").agg(F.first("at").alias("at"), F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
+    short = short.filter(F.size("m") > 1).withColumn("low", low)
 
     def partners(a: Column, i: Column) -> Column:
         later = F.filter(F.slice("m", i + 2, F.size("m")), lambda b: fits(a["n"], b["n"]))
         return F.transform(later, lambda b: F.struct(a["node"].alias("u"), b["node"].alias("v")))
 
-    pairs = short.filter(F.size("m") > 1).select("at", F.explode(F.flatten(F.transform("m", partners))).alias("e")).select("e.u", "e.v", "at")
-    long = posts.filter(F.col("seen") > LIST)
+    pairs = short.select("at", F.explode(F.flatten(F.transform("m", partners))).alias("e")).select("e.u", "e.v", "at")
+    long = posts.filter(F.col("seen") > LIST).withColumn("low", low)
     least = long.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("node", "n")).alias("least"))
     long = stored(long.join(least, F.col("key") == F.col("k")).filter(F.col("node") != F.col("least.node")).select("node", "n", "at", "low", "least").distinct(), "parity-long")
     hubs = long.filter(fits(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("u"), F.col("node").alias("v"), "at")
@@ -196,6 +196,23 @@ def candidates(posts: DataFrame, bands: Bands, similar: tuple[int, int]) -> tupl
     return pairs.union(hubs).distinct(), ends.union(ends.select(F.col("low").alias("node"), "low")).distinct()
 
 
+def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v, at) that are linked: first by the Hamming bound on sketches, then on whole sets."""
+    p, q = similar
+    words = F.when(F.col("band") == F.col("at"), F.col("own")).otherwise(F.col("next"))
+    for name in ("u", "v"):
+        of = sketches.select(F.col("node").alias(f"{name}_node"), F.col("n").alias(f"{name}_n"), "band", "own", "next")
+        pairs = pairs.join(of, F.col(name) == F.col(f"{name}_node")).withColumn(f"{name}_words", words)
+        pairs = pairs.select("at", "u", "v", *[f"{x}_{y}" for x in "uv" for y in ("n", "words") if f"{x}_{y}" in pairs.columns])
+    bits = lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(int(LOW))))
+    apart = F.aggregate(F.zip_with("u_words", "v_words", bits), F.lit(0), lambda s, x: s + x)
+    pairs = pairs.filter(apart * (p + q) <= (F.col("u_n") + F.col("v_n")) * (q - p)).select("u", "v").distinct()
+    left = sets.select(F.col("node").alias("l"), F.col("s").alias("a"))
+    right = sets.select(F.col("node").alias("r"), F.col("s").alias("b"))
+    both = pairs.join(left, F.col("u") == F.col("l")).join(right, F.col("v") == F.col("r"))
+    return both.filter(alike(F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b"), similar)).select("u", "v")
+
+
 def near_sets(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Per document doc_id, n_shingles and component_id, the smallest doc_id that links reach.
 
@@ -206,11 +223,12 @@ def near_sets(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
     doc_id and text are not read; an empty table gives an empty result.
     """
     kind, bands = docs.schema["doc_id"].dataType.simpleString(), Bands(similar)
-    texts = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    schema = f"doc_id {kind}, row long, node long, n long, band int, own array<long>, next array<long>"
+    text = F.col("text").cast("string").cast("binary")
+    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("digest"))
+    schema = f"doc_id {kind}, digest long, row long, node long, n long, band int, own array<long>, next array<long>"
     rows = stored(texts.mapInArrow(_sketches(shingle, bands), schema), "parity-rows")
     members = rows.filter("n > 0").groupBy("node")
-    nodes = members.agg(F.min("doc_id").alias("low"), F.min("row").alias("kept_row"), F.count(F.lit(1)).alias("copies"))
+    nodes = members.agg(F.min("doc_id").alias("low"), F.min("row").alias("kept_row"), F.min_by("digest", "row").alias("digest"), F.count(F.lit(1)).alias("copies"))
     nodes = stored(nodes, "parity-nodes")
     # sketches stay where they are; of copies all rows but one go, whose number is the node's in what follows
     copies = nodes.filter("copies > 1").select(F.col("node").alias("c_node"), "kept_row")
@@ -218,20 +236,6 @@ def near_sets(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
     sketched = rows.filter("n > 0").join(F.broadcast(copies) if small else copies, F.col("node") == F.col("c_node"), "left")
     sketched = sketched.filter(F.coalesce(F.col("row") == F.col("kept_row"), F.lit(True)))
     sketched = sketched.select(F.col("row").alias("node"), "n", "band", "own", "next")
-    p, q = similar
-
-    pairs, long = candidates(lists(sketched, bands), bands, similar)
-    pairs = stored(pairs, "parity-candidates")
-    words = F.when(F.col("band") == F.col("at"), F.col("own")).otherwise(F.col("next"))
-    met = pairs.select(F.col("u").alias("x")).union(pairs.select(F.col("v").alias("x"))).distinct()
-    met = stored(sketched.join(met, F.col("node") == F.col("x"), "left_semi"), "parity-sketches")
-    of = lambda name: met.select(F.col("node").alias(f"{name}_node"), F.col("n").alias(f"{name}_n"), "band", "own", "next")
-    for name in ("u", "v"):
-        pairs = pairs.join(of(name), F.col(name) == F.col(f"{name}_node")).withColumn(f"{name}_words", words)
-        pairs = pairs.select("at", "u", "v", *[f"{x}_{y}" for x in "uv" for y in ("n", "words") if f"{x}_{y}" in pairs.columns])
-    bits = lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(int(LOW))))
-    apart = F.aggregate(F.zip_with("u_words", "v_words", bits), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.filter(apart * (p + q) <= (F.col("u_n") + F.col("v_n")) * (q - p)).select("u", "v").distinct()
     by_row = nodes.select(F.col("kept_row").alias("r"), F.col("node").alias("name"))
 
     def named(df: DataFrame, *columns: str) -> DataFrame:
@@ -239,24 +243,37 @@ def near_sets(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
             df = df.join(by_row, F.col(c) == F.col("r")).withColumn(c, F.col("name")).drop("r", "name")
         return df
 
-    pairs = stored(named(pairs, "u", "v"), "parity-pairs")
+    pairs, long = candidates(lists(sketched, bands), bands, similar)
+    pairs = stored(named(pairs, "u", "v"), "parity-candidates")
     long = stored(named(long, "node", "low"), "parity-crowds")
     asked = pairs.select(F.col("u").alias("x")).union(pairs.select(F.col("v").alias("x"))).union(long.select(F.col("node").alias("x")))
     asked = stored(asked.distinct(), "parity-asked")
+    # only the texts that are asked for are cut into shingles again, and of copies one at least
     few = asked.count() <= BROADCAST_NODES
-    wanted = F.broadcast(asked) if few else asked
-    sets = texts.select("text").mapInArrow(_sets(shingle), "node long, s array<long>")
-    if few:
-        sets = sets.join(wanted, F.col("node") == F.col("x"), "left_semi").groupBy("node").agg(F.first("s").alias("s"))
-    else:  # copies become one row before the join
-        sets = sets.groupBy("node").agg(F.first("s").alias("s")).join(wanted, F.col("node") == F.col("x"), "left_semi")
+    wanted = asked.join(nodes, F.col("x") == F.col("node")).select(F.col("digest").alias("d")).distinct()
+    sets = texts.join(F.broadcast(wanted) if few else wanted, F.col("digest") == F.col("d"), "left_semi").select("text")
+    sets = sets.mapInArrow(_sets(shingle), "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s"))
+    sets = sets.join(F.broadcast(asked) if few else asked, F.col("node") == F.col("x"), "left_semi")
     sets = stored(sets, "parity-sets")
 
-    left = sets.select(F.col("node").alias("l"), F.col("s").alias("a"))
-    right = sets.select(F.col("node").alias("r"), F.col("s").alias("b"))
-    both = pairs.join(left, F.col("u") == F.col("l")).join(right, F.col("v") == F.col("r"))
-    near = both.filter(alike(F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b"), similar)).select("u", "v")
-    roots = stars(near, "parity-links")
+    met = pairs.select(F.col("u").alias("x")).union(pairs.select(F.col("v").alias("x"))).distinct()
+    sketches = stored(named(sketched, "node").join(met, F.col("node") == F.col("x"), "left_semi"), "parity-sketches")
+
+    # a crowd of near copies has pairs by the square of its size, but one a node shows most of its links:
+    # what the first rounds connect is not compared any more, and the last one takes all that is left
+    roots, left = stars(pairs.select("u", "v").limit(0), "parity-links"), pairs
+    for last in (False, False, True):
+        if left.isEmpty():
+            break
+        pick = left if last else stored(left.groupBy("u").agg(F.min(F.struct("v", "at")).alias("p")).select("u", "p.v", "p.at"), "parity-picked")
+        near = verified(pick, sketches, sets, similar)
+        roots = stars(roots.union(near), "parity-links")
+        if not last:
+            linked = forest(roots)
+            for c in ("u", "v"):
+                left = left.join(linked.select(F.col("x").alias(f"{c}_x"), F.col("root").alias(f"{c}_root")), F.col(c) == F.col(f"{c}_x"), "left")
+            apart = ~F.coalesce(F.col("u_root") == F.col("v_root"), F.lit(False))
+            left = stored(left.filter(apart).select("u", "v", "at").join(pick, ["u", "v", "at"], "left_anti"), "parity-left")
     more = stored(family_links(long, roots, sets, similar), "parity-family-links")
     if not more.isEmpty():
         roots = stars(roots.union(more), "parity-links")
