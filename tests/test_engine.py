@@ -241,4 +241,4 @@ def test_queries_equal_their_sql(spark, sf, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 3
     missing = set(catalog.QUERIES) - set(catalog.SQL)
-    assert not missing
+    assert missing == {"search_evolved"}  # breeding from what was scored is beyond SQL; tests/test_evolve.py holds it
