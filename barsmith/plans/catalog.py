@@ -567,7 +567,7 @@ def search_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Members of the pool of the query, few enough that batches push each other out.
 POOL_SIZE = 5
 #: Rounds and programs of the learning search of the query.
-EVOLVED = 3, 8
+EVOLVED = 3, 5
 
 
 def search_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
