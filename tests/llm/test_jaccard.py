@@ -122,8 +122,8 @@ def test_common_passage_makes_few_pairs(spark):
     words = [passage + [f"w{rng.getrandbits(30)}" for _ in range(60)] for _ in range(400)]
     df = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate(words)], SCHEMA)
     bands = parity.Bands()
-    schema = "doc_id long, row long, node long, n long, band int, own array<long>, next array<long>"
-    texts = df.select("doc_id", F.col("text").cast("binary").alias("text"))
+    schema = "doc_id long, digest long, row long, node long, n long, band int, own array<long>, next array<long>"
+    texts = df.select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("digest"))
     nodes = texts.mapInArrow(parity._sketches(parity.SHINGLE, bands), schema)
     assert parity.candidates(parity.lists(nodes, bands), bands, parity.SIMILAR)[0].count() < 800  # of 79,800
     assert {(r["doc_id"], r["component_id"]) for r in parity.near_sets(df).collect()} == {(i, i) for i in range(400)}
