@@ -117,8 +117,9 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Per document doc_id, fp and component_id, the smallest doc_id that links reach.
 
-    Null and empty texts have the fingerprint zero and are linked like any other. A null id is
-    never the smallest unless its component has no other; repeated rows return once each; an
+    Null and empty texts have the fingerprint zero and are linked like any other. A bit that is set in
+    just half of the shingles is 0. Of a component's ids the smallest decides, whatever the order of
+    rows, and equal ids share it. A null id is never the smallest unless its component has no other; repeated rows return once each; an
     empty table gives an empty result. Copies need not be paired, and no link is lost.
     """
     rows = stored(fingerprints(docs, shingle), "simhash-fingerprints")
