@@ -256,8 +256,10 @@ def near_sets(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
     sets = sets.join(F.broadcast(asked) if few else asked, F.col("node") == F.col("x"), "left_semi")
     sets = stored(sets, "parity-sets")
 
-    met = pairs.select(F.col("u").alias("x")).union(pairs.select(F.col("v").alias("x"))).distinct()
-    sketches = stored(named(sketched, "node").join(met, F.col("node") == F.col("x"), "left_semi"), "parity-sketches")
+    # sketches of other texts stay where they are
+    rows_of = asked.join(nodes, F.col("x") == F.col("node")).select(F.col("kept_row").alias("w"))
+    few_sketches = sketched.join(F.broadcast(rows_of) if few else rows_of, F.col("node") == F.col("w"), "left_semi")
+    sketches = stored(named(few_sketches, "node"), "parity-sketches")
 
     # a crowd of near copies has pairs by the square of its size, but one a node shows most of its links:
     # what the first rounds connect is not compared any more, and the last one takes all that is left
