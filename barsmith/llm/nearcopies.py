@@ -1,18 +1,23 @@
-"""Near copies by word-set similarity: operator 8's byte-position index, count filter and check, for
-similarities that sign bits cannot serve.
+"""Near copies by word-set similarity: operator 8's fingerprints, byte-position index, count filter and
+check of bits, then the same index and filter over more bytes for what 64 sign bits cannot show.
 
-At a similarity of 0.8 two SimHash fingerprints differ in about 10 of 64 bits: no byte is sure to
-agree, and keys long enough to be selective would be needed by the hundred. So the positional bytes
-here are those of minima: byte i of a text's signature is the lowest byte of the least value of its
-shingles under the i-th hash function, and two texts of similarity s share each byte with a
-probability of s at least. A text is the set of its shingles of SHINGLE words (64-bit hashes); texts
-of one set are one node, so exact copies cost nothing.
+A text is the set of its shingles of SHINGLE words (64-bit hashes); texts of one set are one node,
+so exact copies cost nothing. Every link is counted on whole sets, in integers, whichever way its
+pair was met, so no link is below the similarity.
+
+Sign bits: a node's SimHash fingerprint is the majority of its shingles' hashes, bit by bit. The
+fingerprints go through `simhash.links`; nodes of one fingerprint are held to the smallest of them.
+
+Minima: at a similarity of 0.8 two fingerprints differ in about 10 of 64 bits: no byte is sure to
+agree, and keys long enough to be selective would be needed by the hundred. So the further
+positional bytes are those of minima: byte i of a text's signature is the lowest byte of the least
+value of its shingles under the i-th hash function, and two texts of similarity s share each byte
+with a probability of s at least.
 
 * Index: BANDS keys of ROWS positions each, over the whole minima. Two sets at 0.8 share a key with
   probability 1 - (1 - 0.8 ** ROWS) ** BANDS, all but 5 in 100 million.
 * Count filter: pairs that meet are tallied over all positional bytes, kept from MIN_SHARED on; at
   0.8 a pair shares 102 of 128 with a deviation of 4.5, so fewer than 1 in a million is lost.
-* Check: what is kept is counted on whole sets, in integers, so no link is below the similarity.
 
 Lists of up to LIST nodes are paired whole. In longer ones each node is paired with the list's
 smallest. Lists that share nodes make a family; what these pairs leave outside a family's largest
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import sliced, stored
 from .components import stars
-from .simhash import tally
+from .simhash import bit_counts, links, majority, tally
 
 SHINGLE = 5
 #: Similarity as a fraction, so that no rounding decides.
@@ -72,6 +77,11 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of hashes, in signed form."""
+    return int(np.uint64(majority(bit_counts(hashes), len(hashes))).view(np.int64))
+
+
 def node_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -94,9 +104,9 @@ def _each(shingle: int, what: str):
             if what == "keys":
                 least = [minima(s) for s in sets]
                 numbers = pa.list_(pa.int64())
-                more = [pa.array([len(s) for s in sets], pa.int64())]
+                more = [pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())]
                 more += [pa.array([keys_of(x) for x in least], numbers), pa.array([signature(x) for x in least], numbers)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), nodes, *more], names=["doc_id", "node", "n", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), nodes, *more], names=["doc_id", "node", "n", "fp", "keys", "sig"])
             else:
                 values = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([nodes, values], names=["node", "s"])
@@ -173,6 +183,18 @@ def family_links(lists: DataFrame, linked: DataFrame, sets: DataFrame, similar:
     return dealt.groupBy("family", "a", "b").applyInArrow(compared, "u long, v long")
 
 
+def sign_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes, u < v, that operator 8 links by their fingerprints; nodes: node, fp.
+    Fingerprints within its bits are connected through their smallest nodes, and nodes of one
+    fingerprint with the smallest of them."""
+    heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")), "near-fingerprints")
+    of = lambda name, head: heads.select(F.col("fp").alias(name), F.col("head").alias(head))
+    met = links(heads.select("fp")).join(of("l", "a"), F.col("u") == F.col("l")).join(of("r", "b"), F.col("v") == F.col("r"))
+    same = heads.filter("size > 1").select(F.col("fp").alias("l"), F.col("head").alias("a"))
+    same = nodes.join(same, F.col("fp") == F.col("l")).filter("node <> a").select("a", F.col("node").alias("b"))
+    return met.select("a", "b").union(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Per document doc_id and component_id, the smallest doc_id that links of similarity 0.8 reach.
 
@@ -183,8 +205,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    rows = stored(texts.mapInArrow(_each(shingle, "keys"), f"doc_id {kind}, node long, n long, keys array<long>, sig array<long>"), "near-rows")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n", "keys", "sig")])
+    rows = stored(texts.mapInArrow(_each(shingle, "keys"), f"doc_id {kind}, node long, n long, fp long, keys array<long>, sig array<long>"), "near-rows")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n", "fp", "keys", "sig")])
     nodes = stored(nodes, "near-nodes")
     posts = nodes.filter("n > 0").select("node", "n", F.explode("keys").alias("key"))
     lists = posts.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).filter("size > 1")
@@ -205,7 +227,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     of = lambda name, sig: nodes.select(F.col("node").alias(name), F.col("sig").alias(sig))
     pairs = pairs.join(of("l", "a"), F.col("u") == F.col("l")).join(of("r", "b"), F.col("v") == F.col("r"))
     shared = F.aggregate(F.zip_with("a", "b", lambda x, y: tally(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = stored(pairs.filter(shared >= MIN_SHARED).select("u", "v"), "near-pairs")
+    pairs = pairs.filter(shared >= MIN_SHARED).select("u", "v")
+    pairs = stored(pairs.union(sign_pairs(nodes.filter("n > 0").select("node", "fp"))).distinct(), "near-pairs")
 
     asked = pairs.select(F.col("u").alias("x")).union(pairs.select(F.col("v").alias("x"))).union(long.select(F.col("node").alias("x")))
     asked = stored(asked.distinct(), "near-asked")

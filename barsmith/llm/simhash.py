@@ -51,7 +51,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         h = np.fromiter((hashed(p, SEED) for p in islice(parts, _CHUNK)), np.uint64)
         if not len(h):
             break
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += bit_counts(h)
+    return majority(ones, n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), _CHUNK):
+        part = hashes[k : k + _CHUNK].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return ones
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits that more than half of n hashes have, as an unsigned integer."""
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 

@@ -6,7 +6,8 @@ import random
 
 import corpus_pipeline
 import pytest
-from helpers import SCHEMA, documents, near_components
+import xxhash
+from helpers import SCHEMA, WORD, documents, near_components
 
 from barsmith.llm import nearcopies
 
@@ -54,3 +55,41 @@ def test_stage_drops_copies_of_four_fifths(spark, sf):
     rows = [(1, " ".join(base), "en", "s", 1), (2, edited(rng, base, 6), "en", "s", 1), (3, edited(rng, base, 60), "en", "s", 1)]
     left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf)
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 3]
+
+
+def plain_fingerprint(text):
+    """SimHash of the different 5-word shingles, bit by bit."""
+    words = WORD.findall(text.lower())
+    hashes = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(len(words) - 4)}
+    return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+
+def test_fingerprints_alone_find_their_links(spark, sf, monkeypatch):
+    """Without a single pair from the minima the stage still joins what operator 8 links and whole sets confirm."""
+    monkeypatch.setattr(nearcopies, "MIN_SHARED", nearcopies.BANDS * nearcopies.ROWS + 1)
+    rng = random.Random(5)
+    texts = []
+    for t in range(12):
+        base = [f"t{t}w{rng.randrange(5000)}" for _ in range(800)]
+        texts += [" ".join(base), edited(rng, base, 1)]
+    fps = [plain_fingerprint(t) for t in texts]
+    near = [(fps[i] ^ fps[i + 1]).bit_count() <= 2 for i in range(0, len(texts), 2)]
+    assert 3 < sum(near) < 12
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    left = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, sf).collect())
+    assert left == sorted(i for i in range(len(texts)) if i % 2 == 0 or not near[i // 2])
+
+
+def test_pairs_of_fingerprints(spark):
+    """Equal fingerprints meet at the smallest node, others within two bits through the smallest of each."""
+    nodes = [(5, 0), (3, 0), (9, 0), (7, 3), (2, 7), (1, -1)]
+    got = nearcopies.sign_pairs(spark.createDataFrame(nodes, "node long, fp long")).collect()
+    assert sorted(map(tuple, got)) == [(2, 7), (3, 5), (3, 7), (3, 9)]
+
+
+def test_fingerprint_links_are_checked(spark, monkeypatch):
+    """Sets that have only a fingerprint in common stay apart."""
+    monkeypatch.setattr(nearcopies, "fingerprint", lambda hashes: 0)
+    texts = [" ".join(f"t{t}w{i}" for i in range(60)) for t in range(6)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert all(r["doc_id"] == r["component_id"] for r in nearcopies.near_copies(df).collect())
