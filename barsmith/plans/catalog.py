@@ -528,8 +528,14 @@ for _i, _text in enumerate(PREFIX):
 # ---- search
 
 
+def search_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel of a search, written once: batches and the levels of their plans read bars, not the ticks.
+    The ticks are read once, as the alignment asks three times for the bars that are written first."""
+    return stored(B.aligned(stored(B.lineitem_days(spark, sf_dir), "search-bars")), "search-panel")
+
+
 def search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.scores(Engine(B.day_panel(spark, sf_dir)), search.POOL)
+    return search.scores(Engine(search_panel(spark, sf_dir)), search.POOL)
 
 
 def search_elite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -543,7 +549,7 @@ def _resembling() -> list[int]:
 
 def search_pool_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which formulas of the pool a candidate resembles too much, on the training bars."""
-    b, others = Engine(B.day_panel(spark, sf_dir)), _resembling()
+    b, others = Engine(search_panel(spark, sf_dir)), _resembling()
     wide = b.frame(**search.columns(b, search.POOL), bars=b.bars()).filter("bar_idx < floor(bars * 8e-1)")
     each = [F.abs(F.corr("x0", f"x{i}")).alias(f"x{i}") for i in others]
     kinds = ", ".join(f"'{search.POOL[i]}', x{i}" for i in others)
@@ -572,9 +578,9 @@ EVOLVED = 3, 5
 
 def search_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The factor pool after several batches, each held to the members that it met."""
-    kept = pool.FactorPool(spark, shared_path(spark, "factor-pool"), POOL_SIZE)
+    kept, panel = pool.FactorPool(spark, shared_path(spark, "factor-pool"), POOL_SIZE), search_panel(spark, sf_dir)
     for batch in search.batches():
-        b = Engine(B.day_panel(spark, sf_dir))
+        b = Engine(panel)
         wide = stored(b.frame(**search.columns(b, batch), bars=b.bars()), "search-batch")
         place = spark.createDataFrame([(f, f"x{i}") for i, f in enumerate(batch)], "formula string, column string")
         good = search.scored(wide, batch).filter("status = 'ok'").join(place, "formula")
@@ -584,7 +590,8 @@ def search_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every formula of a learning search, by round, with what the pool left of its score."""
-    run = evolve.Search(spark, shared_path(spark, "search"), lambda: Engine(B.day_panel(spark, sf_dir)))
+    panel = search_panel(spark, sf_dir)
+    run = evolve.Search(spark, shared_path(spark, "search"), lambda: Engine(panel))
     return run.run(*EVOLVED)
 
 

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 from barsmith.functions.algebra import Engine
-from barsmith.plans import evolve, formulas, pool, search
+from barsmith.plans import catalog, evolve, formulas, pool, search
+from barsmith.sources import bars
 
 PANEL = "symbol string, bar_idx long, time long, open double, high double, low double, close double, volume double"
 
@@ -106,3 +107,26 @@ def test_canonical_programs_are_scored_once():
     doubled = formulas.simplified([*one, "NEG", "NEG"])
     assert doubled == one
     assert all(formulas.simplified(m) == m for m in (formulas.simplified(evolve.mutated(rng, one)) for _ in range(50)))
+
+
+def engines(monkeypatch):
+    """What a query of the catalog gives its batches, kept from running; and how often it asks for the ticks."""
+    real, asked, seen = bars.lineitem_days, [], []
+    monkeypatch.setattr(bars, "lineitem_days", lambda *a, **k: (asked.append(a), real(*a, **k))[1])
+    monkeypatch.setattr(search, "looped", lambda engine, tries: seen.extend(engine() for _ in tries))
+    monkeypatch.setattr(catalog, "Engine", lambda panel: (seen.append(Engine(panel)), seen[-1])[1])
+    monkeypatch.setattr(search, "columns", lambda b, tries: {f"x{i}": b.plain(b.close) for i in range(len(tries))} | {"y": b.plain(b.open)})
+    return asked, seen
+
+
+@pytest.mark.parametrize("name", ["search_pool"])
+def test_batches_read_bars_that_are_written(spark, sf, monkeypatch, name):
+    """The ticks are read once for all batches, and the bars are those of the panel."""
+    asked, seen = engines(monkeypatch)
+    want = sorted(map(tuple, bars.day_panel(spark, sf).collect()))
+    asked.clear()
+    catalog.QUERIES[name](spark, sf)
+    assert len(asked) == 1 and len(seen) >= search.ROUNDS
+    for b in seen[:: len(seen) - 1]:
+        assert not any("lineitem" in f for f in b.panel.inputFiles())
+        assert sorted(map(tuple, b.panel.collect())) == want
