@@ -567,7 +567,8 @@ def _pool_sql() -> str:
 
 def search_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pool after several batches of sampled formulas, each scored in one job."""
-    return search.looped(lambda: Engine(B.day_panel(spark, sf_dir)), search.batches())
+    panel = search_panel(spark, sf_dir)
+    return search.looped(lambda: Engine(panel), search.batches())
 
 
 #: Members of the pool of the query, few enough that batches push each other out.

@@ -119,7 +119,7 @@ def engines(monkeypatch):
     return asked, seen
 
 
-@pytest.mark.parametrize("name", ["search_pool"])
+@pytest.mark.parametrize("name", ["search_loop", "search_pool"])
 def test_batches_read_bars_that_are_written(spark, sf, monkeypatch, name):
     """The ticks are read once for all batches, and the bars are those of the panel."""
     asked, seen = engines(monkeypatch)
